@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidebar.llm.common import table, words
 
+#: A power of two.
 BUCKETS = 1 << 16
 MAX_TRUSTED = 20_000
 THRESHOLD = -0.15
@@ -28,13 +29,14 @@ _SPACE = " \t\n\x0b\x0c\r"
 
 
 def _hashes(df: DataFrame) -> DataFrame:
-    """Adds __w, the words, and __h, their hashes."""
-    return df.withColumn("__w", words(F.col("text"))).withColumn("__h", F.expr("transform(__w, x -> xxhash64(x))"))
+    """Adds __w, the words, __h, their hashes, and __2, the hashes of word pairs."""
+    df = df.withColumn("__w", words(F.col("text"))).withColumn("__h", F.expr("transform(__w, x -> xxhash64(x))"))
+    return df.withColumn("__2", F.expr("slice(transform(__h, (x, i) -> xxhash64(x, get(__h, i + 1))), 1, greatest(size(__h) - 1, 0))"))
 
 
 def _grams(buckets: int) -> Column:
-    """Buckets of the unigrams, then of the bigrams, of __h."""
-    return F.expr(f"concat(transform(__h, x -> int(pmod(x, {buckets}L))), transform(slice(__h, 2, greatest(size(__h) - 1, 0)), (x, i) -> int(pmod(xxhash64(x, __h[i]), {buckets}L))))")
+    """Buckets of the unigrams, then of the bigrams."""
+    return F.expr(f"concat(transform(__h, x -> int(x & {buckets - 1}L)), transform(__2, x -> int(x & {buckets - 1}L)))")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float] | None:
@@ -64,7 +66,9 @@ def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept to every document."""
     ratios = log_ratios(docs, trusted_ids(labels, max_trusted), buckets)
     out = _hashes(docs)
-    out = out.withColumn("__v", F.expr(f"case when size(__h) >= {WINDOW} then transform(sequence(1, size(__h) - {WINDOW - 1}), i -> xxhash64(slice(__h, i, {WINDOW}))) else array() end"))
+    # A window's hash is that of its halves: pairs of words make fours, pairs of fours make eights.
+    out = out.withColumn("__4", F.expr("transform(__2, (x, i) -> xxhash64(x, get(__2, i + 2)))"))
+    out = out.withColumn("__v", F.expr(f"slice(transform(__4, (x, i) -> xxhash64(x, get(__4, i + 4))), 1, greatest(size(__h) - {WINDOW - 1}, 0))"))
     # Only where a window repeats: sort windows with their places, keep those equal to a neighbour, and add up the words they newly cover.
     out = out.withColumn("__s", F.expr("case when size(array_distinct(__v)) < size(__v) then array_sort(transform(__v, (x, i) -> struct(x as v, i as i))) end"))
     out = out.withColumn("__p", F.expr("array_sort(transform(filter(__s, (e, k) -> e.v <=> get(__s, k - 1).v or e.v <=> get(__s, k + 1).v), e -> e.i))"))
@@ -81,12 +85,12 @@ def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
     if ratios is None:
         score = F.lit(None).cast("double")
     else:
-        out = out.withColumn("__g", _grams(buckets))
-        total = F.aggregate("__g", F.lit(0.0), lambda a, b: a + F.get(F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>"), b))
-        score = F.when(F.size("__g") > 0, total / F.size("__g"))
+        ratio = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
+        add = lambda a, x: a + F.get(ratio, x.bitwiseAND(F.lit(buckets - 1)).cast("int"))
+        score = F.when(F.size("__h") > 0, F.aggregate("__2", F.aggregate("__h", F.lit(0.0), add), add) / (F.size("__h") + F.size("__2")))
     out = out.withColumn("score", score).withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("score").isNull() | (F.col("score") >= threshold)))
-    return out.drop("__w", "__h", "__v", "__s", "__p", "__l", "__g")
+    return out.drop("__w", "__h", "__v", "__s", "__p", "__l", "__2", "__4")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
