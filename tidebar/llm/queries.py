@@ -2,10 +2,41 @@
 
 from __future__ import annotations
 
+from tidebar.llm.mixing import op5_mix_sources
 from tidebar.llm.quality import op10_quality_rules
+from tidebar.llm.tokens import op4_byte_bpe, op7_token_files
 
 QUERIES = {
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_mix_sources": op5_mix_sources,
+    "op7_token_files": op7_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+#: Left out: tokenizers (4, 7) and the hash of the n-grams (10) aren't in SQL; tests hold those queries against brute force.
+SQL: dict[str, str] = {
+    "op5_mix_sources": r"""
+WITH sizes AS (
+  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sizes GROUP BY source),
+weighed AS (
+  SELECT *, CASE place % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS cap FROM sources),
+filled AS (
+  SELECT *, cap / weight AS level,
+    ((sum(source_size) OVER ()) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fill
+  FROM weighed),
+chosen AS (SELECT coalesce((SELECT fill FROM filled WHERE level > fill ORDER BY level, place LIMIT 1), (SELECT max(level) FROM filled)) AS water),
+targets AS (
+  SELECT source, source_size, least(cap, water * weight) AS target,
+    CASE WHEN source_size > 0 THEN least(cap, water * weight) / source_size ELSE 0.0 END AS rate,
+    CAST(CAST('0x' || substr(md5('7:' || coalesce(source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u
+  FROM filled, chosen),
+ranked AS (
+  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST, text) AS i FROM sizes)
+SELECT r.doc_id, r.size, t.source_size, t.target,
+  CAST((floor(r.i * t.rate + t.u) - floor((r.i - 1) * t.rate + t.u)) * r.size AS BIGINT) AS taken
+FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
+""",
+}
