@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from tidebar.llm.html import op9_main_text
+from tidebar.llm.licenses import op3_license_scan
 from tidebar.llm.mixing import op5_mix_sources
 from tidebar.llm.quality import op10_quality_rules
 from tidebar.llm.tokens import op4_byte_bpe, op7_token_files
 
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mix_sources": op5_mix_sources,
     "op7_token_files": op7_token_files,
+    "op9_main_text": op9_main_text,
     "op10_quality_rules": op10_quality_rules,
 }
 
-#: Left out: tokenizers (4, 7) and the hash of the n-grams (10) aren't in SQL; tests hold those queries against brute force.
+#: Left out: fuzzy matching (3), tokenizers (4, 7), HTML (9) and the hash of the n-grams (10) aren't in SQL; tests hold those queries against brute force.
 SQL: dict[str, str] = {
     "op5_mix_sources": r"""
 WITH sizes AS (
