@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidebar.llm.html import op9_main_text
 from tidebar.llm.licenses import op3_license_scan
 from tidebar.llm.mixing import op5_mix_sources
+from tidebar.llm.neardup import op8_near_duplicates
 from tidebar.llm.quality import op10_quality_rules
 from tidebar.llm.tokens import op4_byte_bpe, op7_token_files
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mix_sources": op5_mix_sources,
     "op7_token_files": op7_token_files,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_main_text": op9_main_text,
     "op10_quality_rules": op10_quality_rules,
 }
