@@ -1,9 +1,10 @@
 """Byte-level BPE: encoding, decoding and token files.
 
-Texts are encoded by the tokenizers library over Arrow batches. Encoding dominates, and words repeat, so a text is first split
-at single spaces between two characters that aren't white space. The tokenizer's own pattern never matches across such a
-place (a match either ends before a space that follows other characters, or starts with that space), so the pieces' ids put
-together are the text's ids. Each piece is encoded once in a worker; what is remembered is bounded by CACHE pieces.
+Texts are encoded by the tokenizers library over Arrow batches. Words repeat, so a text is first split at single spaces
+between two characters that aren't white space. The pattern never matches across such a place (a match either ends before a
+space that follows other characters, or starts with that space), so the pieces' ids put together are the text's ids. Pieces
+that are new to a worker are cut by the pattern, and matches that are new are given to the library, many in a string, a
+line break between them. What a worker remembers is bounded by PIECES and MATCHES.
 
 Rank files: every way to split a token into two tokens becomes a merge, in rank order, so that the library merges the
 neighbours whose union has the lowest rank, as the ranks ask for.
@@ -27,20 +28,23 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
+from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from tidebar.llm.common import new_path, table
 
-CACHE = 400_000
+PIECES = 1_000_000
+MATCHES = 500_000
 #: Longer pieces are encoded each time they come.
 LONG_PIECE = 200
 RANKS = "byte_bpe_multi_50k.tiktoken"
 MODEL = "byte_bpe_50k.json"
 
-_SAFE_SPACE = re.compile(r"(?<=\S)(?= \S)")
+_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _TWO_SPACES = re.compile(r"\s\s")
 
 
@@ -53,8 +57,6 @@ def byte_characters() -> list[str]:
 
 def from_ranks(path: str, pattern: str):
     """A tokenizers.Tokenizer that encodes as the rank file says, each match of pattern by itself."""
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
-
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     sign = byte_characters()
@@ -81,12 +83,7 @@ class Codec:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path.endswith(".tiktoken"):
-            self.tokenizer = from_ranks(path, public_tokenizers.PATTERN)
-        else:
-            from tokenizers import Tokenizer
-
-            self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = self._load(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         byte = {c: b for b, c in enumerate(byte_characters())}
@@ -94,25 +91,73 @@ class Codec:
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = token.encode() if token in added else bytes(byte[c] for c in token)
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
+        self.matches = regex.compile(public_tokenizers.PATTERN)
+        # The same model for matches of the pattern that stand between line breaks.
+        self.model = self._load(path)
+        self.model.encode_special_tokens = True
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.line_break = self.bytes.index(b"\n")
+        self.starts: dict[str, bytes] = {}  # pieces at a text's start
+        self.known: dict[str, bytes] = {}  # other pieces, without their leading space
+        self.small: dict[str, bytes] = {}  # matches of the pattern
+
+    def _load(self, path: str):
+        return from_ranks(path, public_tokenizers.PATTERN) if path.endswith(".tiktoken") else Tokenizer.from_file(path)
+
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        """A text's pieces, all but the first without their leading space."""
         if _TWO_SPACES.search(text) or text[:1].isspace() or text[-1:].isspace():
             return _SAFE_SPACE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        return text.split(" ")
+
+    def _encode_matches(self, matches: list[str]) -> Iterator[bytes]:
+        """Ids of each of some matches of the pattern without line breaks."""
+        runs = ["\n".join(matches[i : i + 100]) for i in range(0, len(matches), 100)]
+        for e in self.model.encode_batch_fast(runs, add_special_tokens=False):
+            ids = np.asarray(e.ids, "<u4")
+            packed, at = ids.tobytes(), (np.flatnonzero(ids == self.line_break) * 4).tolist()
+            a = 0
+            for z in at:
+                yield packed[a:z]
+                a = z + 4
+            yield packed[a:]
+
+    def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
+        """Adds the ids of new pieces to known. A piece of letters is one match; others are cut by the pattern."""
+        letters = [x for x in new if x.isalpha()]
+        known.update(zip(letters, self._encode_matches([lead + x for x in letters]), strict=True))
+        cut = [(x, self.matches.findall(lead + x)) for x in new if not x.isalpha()]
+        if len(self.small) > MATCHES:
+            self.small = {}
+        matches = {m for _, ms in cut for m in ms} - self.small.keys()
+        plain = [m for m in matches if "\n" not in m]
+        self.small.update(zip(plain, self._encode_matches(plain), strict=True))
+        for m in matches:
+            if "\n" in m:
+                self.small[m] = np.asarray(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes()
+        small = self.small
+        for x, ms in cut:
+            known[x] = small[ms[0]] + small[ms[1]] if len(ms) == 2 else b"".join([small[m] for m in ms])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, put together."""
         split = [self.pieces(x) for x in texts]
-        known = self.known
-        new = list({x for s in split for x in s if x not in known})
-        if len(known) + len(new) > CACHE:
-            known = self.known = {}
-            new = list({x for s in split for x in s})
-        fresh = {x: np.asarray(e.ids, "<u4").tobytes() for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        known |= {x: ids for x, ids in fresh.items() if len(x) <= LONG_PIECE}
-        return [b"".join([known[x] if x in known else fresh[x] for x in s]) for s in split]
+        if len(self.known) + len(self.starts) > PIECES:
+            self.known, self.starts = {}, {}
+        firsts, rest = {x[0] for x in split}, set().union(*[x[1:] for x in split])
+        self._learn(self.starts, firsts - self.starts.keys(), "")
+        self._learn(self.known, rest - self.known.keys(), " ")
+        start, known = self.starts.__getitem__, self.known.__getitem__
+        out = [start(x[0]) + b"".join(map(known, x[1:])) for x in split]
+        long = [[x for x in own if len(x) > LONG_PIECE] for own in (firsts, rest)]
+        for x in long[0]:
+            del self.starts[x]
+        for x in long[1]:
+            del self.known[x]
+        if any(long):
+            self.small = {x: ids for x, ids in self.small.items() if len(x) <= LONG_PIECE}
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
