@@ -6,10 +6,14 @@ from tidebar.llm.html import op9_main_text
 from tidebar.llm.licenses import op3_license_scan
 from tidebar.llm.mixing import op5_mix_sources
 from tidebar.llm.neardup import op8_near_duplicates
+from tidebar.llm.pii import op2_pseudonyms
 from tidebar.llm.quality import op10_quality_rules
 from tidebar.llm.tokens import op4_byte_bpe, op7_token_files
+from tidebar.llm.urls import op1_url_verdicts
 
 QUERIES = {
+    "op1_url_verdicts": op1_url_verdicts,
+    "op2_pseudonyms": op2_pseudonyms,
     "op3_license_scan": op3_license_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mix_sources": op5_mix_sources,
@@ -19,7 +23,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-#: Left out: fuzzy matching (3), tokenizers (4, 7), HTML (9) and the hash of the n-grams (10) aren't in SQL; tests hold those queries against brute force.
+#: Left out: iteration until convergence (1), keyed permutations (2), fuzzy matching (3), tokenizers (4, 7), HTML (9) and the hash of the n-grams (10) aren't in SQL; tests hold those queries against brute force.
 SQL: dict[str, str] = {
     "op5_mix_sources": r"""
 WITH sizes AS (
