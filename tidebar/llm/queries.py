@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidebar.llm.ann import op6_nearest
 from tidebar.llm.html import op9_main_text
 from tidebar.llm.licenses import op3_license_scan
 from tidebar.llm.mixing import op5_mix_sources
@@ -17,13 +18,15 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mix_sources": op5_mix_sources,
+    "op6_nearest": op6_nearest,
     "op7_token_files": op7_token_files,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_main_text": op9_main_text,
     "op10_quality_rules": op10_quality_rules,
 }
 
-#: Left out: iteration until convergence (1), keyed permutations (2), fuzzy matching (3), tokenizers (4, 7), HTML (9) and the hash of the n-grams (10) aren't in SQL; tests hold those queries against brute force.
+#: Left out: iteration until convergence (1), keyed permutations (2), fuzzy matching (3), tokenizers (4, 7), approximate search (6), near-duplicates (8), HTML (9)
+#: and the hash of the n-grams (10) aren't in SQL; tests hold those queries against brute force.
 SQL: dict[str, str] = {
     "op5_mix_sources": r"""
 WITH sizes AS (
