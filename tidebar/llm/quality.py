@@ -7,7 +7,8 @@ those with the smallest hash of their id, so that their ids can be broadcast (8
 
 Nulls and odd rows: a null or blank text has no words, zero counts, a null score and fails the base rule. Null ids are scored
 but are never trusted. Repeated rows count once each. Without trusted documents there is no ratio: the score is null and the
-base rule alone decides. Extra columns play no part; internal names start with two underscores.
+base rule alone decides. Extra columns pass
+through; ones named as a result give way to it, and internal names start with two underscores.
 """
 
 from __future__ import annotations
@@ -90,7 +91,10 @@ def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
         score = F.when(F.size("__h") > 0, F.aggregate("__2", F.aggregate("__h", F.lit(0.0), add), add) / (F.size("__h") + F.size("__2")))
     out = out.withColumn("score", score).withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("score").isNull() | (F.col("score") >= threshold)))
-    return out.drop("__w", "__h", "__v", "__s", "__p", "__l", "__2", "__4")
+    # The results pass through a generator of one row: a filter on them would else be moved below and compute them, arrays and all, once an element.
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return out.select(*kept, F.explode_outer(F.array(F.struct(*names))).alias("__r")).select(*kept, "__r.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
