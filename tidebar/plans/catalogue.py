@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from tidebar.plans import market
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _module in (market,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
