@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidebar.plans import market
+from tidebar.plans import market, research
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (market,):
+for _module in (market, research):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

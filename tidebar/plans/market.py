@@ -368,17 +368,17 @@ def buy_hold_stats(spark, sf_dir):
 _DAILY = "de AS (SELECT instrument, CAST(ts AS DATE) AS day, arg_max(equity, ts) AS equity FROM p GROUP BY 1, 2)"
 
 
-@query("daily_equity", f"WITH RECURSIVE {_z_parts()}, {_DAILY} SELECT instrument, day, round(equity + 1e-7, 4) AS equity FROM de")
+@query("daily_equity", f"WITH RECURSIVE {_z_parts()}, {_DAILY} SELECT instrument, CAST(day AS VARCHAR) AS day, round(equity + 1e-7, 4) AS equity FROM de")
 def daily_equity(spark, sf_dir):
     """Every day has bars in this table, so that nothing is carried over; tests cover days without."""
-    return stats.daily_equity(path_of(spark, sf_dir)).select(KEY, "day", F.round(F.col("equity") + 1e-7, 4).alias("equity"))
+    return stats.daily_equity(path_of(spark, sf_dir)).select(KEY, F.col("day").cast("string").alias("day"), F.round(F.col("equity") + 1e-7, 4).alias("equity"))
 
 
-@query("daily_fills", f"WITH RECURSIVE {_z_parts()} SELECT instrument, CAST(ts AS DATE) AS day, CAST(sum(abs(qty)) AS BIGINT) AS lots, round(sum(abs(qty) * open) + 1e-9, 6) AS turnover FROM p WHERE qty <> 0 GROUP BY 1, 2")
+@query("daily_fills", f"WITH RECURSIVE {_z_parts()} SELECT instrument, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(sum(abs(qty)) AS BIGINT) AS lots, round(sum(abs(qty) * open) + 1e-9, 6) AS turnover FROM p WHERE qty <> 0 GROUP BY 1, 2")
 def daily_fills(spark, sf_dir):
     b = bars(spark, sf_dir, "1h")
     f = strategies.fills(b, _STRATEGIES["z"][1](b))
-    return f.groupBy(KEY, F.to_date("ts").alias("day")).agg(F.sum(F.abs("qty")).alias("lots"), F.round(F.sum(F.abs("qty") * F.col("price")) + 1e-9, 6).alias("turnover"))
+    return f.groupBy(KEY, F.to_date("ts").cast("string").alias("day")).agg(F.sum(F.abs("qty")).alias("lots"), F.round(F.sum(F.abs("qty") * F.col("price")) + 1e-9, 6).alias("turnover"))
 
 
 @query("chart_stats", f"""WITH RECURSIVE {_z_parts()}, {_DAILY}, pk AS (SELECT instrument, max(CASE WHEN qty <> 0 THEN abs(position) * open END) AS peak, arg_min(equity, ts) AS a, arg_max(equity, ts) AS z FROM p GROUP BY 1),
@@ -390,9 +390,9 @@ def chart_stats(spark, sf_dir):
     return stats.chart_stats(path_of(spark, sf_dir))
 
 
-@query("daily_closes", f"WITH {sql.candles('1h')} SELECT instrument, CAST(ts AS DATE) AS day, arg_max(close, ts) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM c GROUP BY 1, 2")
+@query("daily_closes", f"WITH {sql.candles('1h')} SELECT instrument, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, arg_max(close, ts) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM c GROUP BY 1, 2")
 def daily_closes(spark, sf_dir):
-    return candles.daily_close(bars(spark, sf_dir, "1h"))
+    return candles.daily_close(bars(spark, sf_dir, "1h")).withColumn("day", F.col("day").cast("string"))
 
 
 @query("merge_candles", f"""WITH {sql.candles('1h')}, a AS (SELECT * FROM c WHERE ts < TIMESTAMP '2024-01-20'), f AS (SELECT instrument, ts, open + 1 AS open, high, low, close, volume FROM c WHERE ts >= TIMESTAMP '2024-01-10')
