@@ -37,8 +37,8 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from tidebar.llm.common import new_path, table
 
-PIECES = 1_000_000
-MATCHES = 500_000
+PIECES = 600_000
+MATCHES = 200_000
 #: Longer pieces are encoded each time they come.
 LONG_PIECE = 200
 RANKS = "byte_bpe_multi_50k.tiktoken"
