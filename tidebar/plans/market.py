@@ -236,7 +236,7 @@ _TREND = f"WITH RECURSIVE {sql.candles('1h')}, {sql.numbered()}, {sql.ewm('e', '
 
 
 @query("cross_trend_match", _TREND + """, o AS (SELECT ts, lag(trend) OVER (ORDER BY ts) AS trend FROM t WHERE instrument = 'click'), x AS (SELECT instrument, ts + INTERVAL 1 HOUR AS ts, trend FROM t WHERE instrument <> 'click'), n AS (SELECT DISTINCT instrument FROM x)
-SELECT n.instrument, o.ts, CAST(sign(o.trend) * sign(x.trend) AS DOUBLE) AS trend_match FROM o CROSS JOIN n ASOF LEFT JOIN x ON n.instrument = x.instrument AND o.ts >= x.ts""")
+SELECT n.instrument, o.ts, CAST(sign(o.trend) * sign(x.trend) AS DOUBLE) + 0.0::DOUBLE AS trend_match FROM o CROSS JOIN n ASOF LEFT JOIN x ON n.instrument = x.instrument AND o.ts >= x.ts""")
 def cross_trend_match(spark, sf_dir):
     """Long form: a row for each bar of the primary series and each other series."""
     trends = ewm.means(bars(spark, sf_dir, "1h"), ewm.span(5), False, __a="close")
@@ -244,7 +244,7 @@ def cross_trend_match(spark, sf_dir):
     others = trends.where(F.col(KEY) != "click")
     own = trends.where(F.col(KEY) == "click").select(KEY, "ts", win.lag("trend").alias("own")).drop(KEY)
     probe = own.crossJoin(F.broadcast(others.select(KEY).distinct()))  # one row a series of the universe, a configured list
-    return asof.on_bar_end(probe, others, "1h", ["trend"]).select(KEY, "ts", (F.signum("own") * F.signum("trend")).alias("trend_match"))
+    return asof.on_bar_end(probe, others, "1h", ["trend"]).select(KEY, "ts", (F.signum("own") * F.signum("trend") + 0.0).alias("trend_match"))
 
 
 @query("cross_volz", f"""WITH {sql.candles('1h')}, a AS (SELECT instrument, ts, volume AS v, avg(volume) {_frame(19)} AS m, stddev_samp(volume) {_frame(19)} AS sd, count(*) {_frame(19)} AS n FROM c),

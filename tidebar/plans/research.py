@@ -69,7 +69,7 @@ def _pairs_sql() -> str:
     for a, b in (("ret1", "spread"), ("ret1", "body"), ("spread", "body")):
         for op in OPS:
             x = {"mul": f"{a} * {b}", "div": f"{a} / nullif({b}, 0)", "add": f"{a} + {b}", "sub": f"{a} - {b}", "rel": f"({a} - {b}) / nullif({a} + {b}, 0)"}[op]
-            each.append(f"SELECT '{op}__{a}__{b}' AS name, count(CASE WHEN {x} IS NOT NULL AND target IS NOT NULL THEN 1 END) AS n, round(abs(corr({x}, target)), 5) AS corr FROM t")
+            each.append(f"SELECT '{op}__{a}__{b}' AS name, count(CASE WHEN {x} IS NOT NULL AND target IS NOT NULL THEN 1 END) AS n, CASE WHEN count(CASE WHEN {x} IS NOT NULL AND target IS NOT NULL THEN 1 END) >= 100 THEN round(abs(corr({x}, target)), 5) ELSE 0.0 END AS corr FROM t")
     return _LAGGED + " " + " UNION ALL ".join(each)
 
 

@@ -47,7 +47,7 @@ def read_candles(spark: SparkSession, root: str, instruments: list[str] | None =
             month = F.col("year") * 12 + F.col("month")
             limit = F.year(t) * 12 + F.month(t)
             out = out.where((F.col("ts") >= t) & (month >= limit)) if later else out.where((F.col("ts") <= t) & (month <= limit))
-    return out.drop("year", "month")
+    return out.select(*CANDLE.names)
 
 
 def append_fresh(spark: SparkSession, root: str, fresh: DataFrame, prefer: str = "cached") -> None:
