@@ -32,7 +32,7 @@ from tidebar.llm.common import cut, table
 DIMENSIONS = 8
 CONFIDENCE = 0.99
 SAMPLE = 20_000
-CELL = 1024
+CELL = 4096
 MAX_CELLS = 1024
 SEED = 11
 TOP = 20
@@ -118,19 +118,21 @@ def _search(search: Projection, top: int, limit: float):
             ids, x = rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy())
             q, q_ids, best = np.stack(queries["v"].to_numpy()), queries["vec_id"].to_numpy(), queries["best"].to_numpy()
             px, pq, length = search.of(x, False), search.of(q, True), (q * q).sum(axis=1)
+            away = (px * px).sum(axis=1) + (pq * pq).sum(axis=1)[:, None] - 2 * (pq @ px.T)
             for i in range(len(q)):
-                away = ((px - pq[i]) ** 2).sum(axis=1)
-                order = np.argsort(away, kind="stable")
+                # The stopping test: how far out could a row lie that beats the k-th best so far?
+                reach = lambda worst: limit * max(length[i] + search.longest**2 - 2 * worst, 0) * (1 + 1e-9) + 1e-9  # noqa: B023, E731
+                worst, own = best[i], np.flatnonzero(away[i] <= reach(best[i]))
+                own = own[np.argsort(away[i, own], kind="stable")]
                 scores, kept = np.empty(0), np.empty(0, np.int64)
-                worst = best[i]
-                for a in range(0, len(order), 128):
-                    # The stopping test: could an unseen row that beats the k-th best lie this far out?
-                    within = length[i] + search.longest**2 - 2 * worst
-                    if away[order[a]] > limit * max(within, 0) * (1 + 1e-9) + 1e-9:
+                for a in range(0, len(own), 256):
+                    if away[i, own[a]] > reach(worst):
                         break
-                    part = order[a : a + 128]
+                    part = own[a : a + 256]
                     part = part[ids[part] != q_ids[i]]
-                    scores, kept = np.concatenate((scores, x[part] @ q[i])), np.concatenate((kept, ids[part]))
+                    found = x[part] @ q[i]
+                    good = found >= best[i] - (abs(best[i]) * 1e-12 if best[i] > -math.inf else 0)  # nothing below the k-th best of the first search is needed
+                    scores, kept = np.concatenate((scores, found[good])), np.concatenate((kept, ids[part][good]))
                     first = np.lexsort((kept, -scores))[:top]
                     scores, kept = scores[first], kept[first]
                     if len(scores) == top:
