@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 MODEL = "byte_bpe_50k.json"
 
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_TWO_SPACES = re.compile(r"\s\s")
+#: Texts with a space at an end or beside other white space, as RE2 writes it.
+_UNSAFE = r"^ | $| [\s\x0b\x1c-\x1f\x85\p{Z}]|[\s\x0b\x1c-\x1f\x85\p{Z}] "
 
 
 def byte_characters() -> list[str]:
@@ -97,20 +99,12 @@ class Codec:
         self.model.encode_special_tokens = True
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.line_break = self.bytes.index(b"\n")
-        self.starts: dict[str, bytes] = {}  # pieces at a text's start
-        self.known: dict[str, bytes] = {}  # other pieces, without their leading space
+        self.known: dict[str, bytes] = {}  # pieces after a space
         self.small: dict[str, bytes] = {}  # matches of the pattern
 
     def _load(self, path: str):
         return from_ranks(path, public_tokenizers.PATTERN) if path.endswith(".tiktoken") else Tokenizer.from_file(path)
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """A text's pieces, all but the first without their leading space."""
-        if _TWO_SPACES.search(text) or text[:1].isspace() or text[-1:].isspace():
-            return _SAFE_SPACE.split(text)
-        return text.split(" ")
-
     def _encode_matches(self, matches: list[str]) -> Iterator[bytes]:
         """Ids of each of some matches of the pattern without line breaks."""
         runs = ["\n".join(matches[i : i + 100]) for i in range(0, len(matches), 100)]
@@ -123,40 +117,73 @@ class Codec:
                 a = z + 4
             yield packed[a:]
 
-    def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
-        """Adds the ids of new pieces to known. A piece of letters is one match; others are cut by the pattern."""
-        letters = [x for x in new if x.isalpha()]
-        known.update(zip(letters, self._encode_matches([lead + x for x in letters]), strict=True))
-        cut = [(x, self.matches.findall(lead + x)) for x in new if not x.isalpha()]
-        if len(self.small) > MATCHES:
-            self.small = {}
-        matches = {m for _, ms in cut for m in ms} - self.small.keys()
-        plain = [m for m in matches if "\n" not in m]
-        self.small.update(zip(plain, self._encode_matches(plain), strict=True))
-        for m in matches:
+    def _fresh(self, pieces: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of different pieces. A piece of letters is one match; others are cut by the pattern."""
+        letters = [x for x in pieces if x.isalpha()]
+        out = dict(zip(letters, self._encode_matches([lead + x for x in letters]), strict=True))
+        cut = [(x, self.matches.findall(lead + x)) for x in pieces if x not in out]
+        new = {m for _, ms in cut for m in ms} - self.small.keys()
+        plain = [m for m in new if "\n" not in m]
+        made = dict(zip(plain, self._encode_matches(plain), strict=True))
+        for m in new:
             if "\n" in m:
-                self.small[m] = np.asarray(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes()
-        small = self.small
+                made[m] = np.asarray(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.small) < MATCHES:
+            self.small.update((m, ids) for m, ids in made.items() if len(m) <= LONG_PIECE)
+        look = self.small | made if len(made) > len(self.small) else made
         for x, ms in cut:
-            known[x] = small[ms[0]] + small[ms[1]] if len(ms) == 2 else b"".join([small[m] for m in ms])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers, put together."""
-        split = [self.pieces(x) for x in texts]
-        if len(self.known) + len(self.starts) > PIECES:
-            self.known, self.starts = {}, {}
-        firsts, rest = {x[0] for x in split}, set().union(*[x[1:] for x in split])
-        self._learn(self.starts, firsts - self.starts.keys(), "")
-        self._learn(self.known, rest - self.known.keys(), " ")
-        start, known = self.starts.__getitem__, self.known.__getitem__
-        out = [start(x[0]) + b"".join(map(known, x[1:])) for x in split]
-        long = [[x for x in own if len(x) > LONG_PIECE] for own in (firsts, rest)]
-        for x in long[0]:
-            del self.starts[x]
-        for x in long[1]:
-            del self.known[x]
-        if any(long):
-            self.small = {x: ids for x, ids in self.small.items() if len(x) <= LONG_PIECE}
+            out[x] = b"".join([look[m] if m in look else self.small[m] for m in ms])
+        return out
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces that follow a space. The first ones seen, which are the frequent ones, are remembered."""
+        out = list(map(self.known.get, pieces))
+        new = [x for x, ids in zip(pieces, out, strict=True) if ids is None]
+        if new:
+            fresh = self._fresh(new, " ")
+            out = [fresh[x] if ids is None else ids for x, ids in zip(pieces, out, strict=True)]
+            if len(self.known) < PIECES:
+                self.known.update((x, ids) for x, ids in fresh.items() if len(x) <= LONG_PIECE)
+        return out
+
+    def _slow(self, text: str) -> bytes:
+        """A text in which spaces stand beside other white space."""
+        first, *rest = _SAFE_SPACE.split(text)
+        return self._fresh([first], "")[first] + b"".join(self._ids(rest))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers, put together.
+
+        Arrow splits the texts and numbers their different pieces; ids are then gathered by those numbers."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        slow = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.flatnonzero(slow).tolist():
+            out[i] = self._slow(texts[i].as_py())
+        plain = np.flatnonzero(~slow)
+        if not len(plain):
+            return out
+        split = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        ends, numbered = np.asarray(split.offsets), split.values.dictionary_encode()
+        codes, different = np.asarray(numbered.indices).astype(np.int64), numbered.dictionary.to_pylist()
+        firsts = [different[i] for i in codes[ends[:-1]].tolist()]
+        of_first = self._fresh(list(dict.fromkeys(firsts)), "")
+        used = np.ones(len(codes), bool)
+        used[ends[:-1]] = False
+        place = np.flatnonzero(np.bincount(codes[used], minlength=len(different)))
+        table = self._ids([different[i] for i in place.tolist()]) + [of_first[x] for x in firsts]
+        renumber = np.zeros(len(different), np.int64)
+        renumber[place] = np.arange(len(place))
+        codes = renumber[codes]
+        codes[ends[:-1]] = len(place) + np.arange(len(firsts))
+        lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        starts, ids = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(table), "<u4")
+        n = lengths[codes]
+        after = np.cumsum(n)
+        values = ids[np.repeat(starts[codes] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
+        packed, at = values.tobytes(), (np.append(0, after)[ends] * 4).tolist()
+        for i, a, z in zip(plain.tolist(), at, at[1:], strict=False):
+            out[i] = packed[a:z]
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -168,15 +195,15 @@ class Codec:
         return e.ids, e.offsets
 
 
-def _texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return ["" if x is None else x for x in batch.column(column).to_pylist()]
-
-
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that one batch of long texts stays small once encoded."""
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, of a row or about `most` bytes of text, so that long texts stay small once encoded."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right")))
+            yield b.slice(a, z - a)
+            a = z
 
 
 def _lists(chunks: list[bytes], kind: pa.DataType) -> pa.ListArray:
@@ -194,13 +221,12 @@ def encode(docs: DataFrame, path: str, with_offsets: bool = False) -> DataFrame:
     def run(batches):
         codec = Codec.of(path)
         for b in _slices(batches):
-            texts = _texts(b)
             if with_offsets:
-                found = [codec.offsets(x) for x in texts]
+                found = [codec.offsets(x or "") for x in b.column("text").to_pylist()]
                 new = [[ids for ids, _ in found], [[a for a, _ in at] for _, at in found], [[z for _, z in at] for _, at in found]]
                 arrays = [pa.array(x, pa.list_(pa.int32())) for x in new]
             else:
-                arrays = [_lists(codec.encode(texts), pa.int32())]
+                arrays = [_lists(codec.encode(b.column("text")), pa.int32())]
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], *arrays], names=[f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
@@ -213,7 +239,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches):
         codec = Codec.of(path)
-        for b in _slices(batches):
+        for b in batches:
             texts = [None if x is None else codec.decode(x).decode("utf-8", "replace") for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], pa.array(texts, pa.string())], names=[f.name for f in schema])
 
@@ -228,7 +254,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         number = [str(i) for i in range(len(codec.bytes))]
         for b in _slices(batches):
             n, ids_sha, decoded_sha = [], [], []
-            for packed in codec.encode(_texts(b)):
+            for packed in codec.encode(b.column("text")):
                 ids = np.frombuffer(packed, "<u4").tolist()
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(number.__getitem__, ids)).encode()).hexdigest())
@@ -251,7 +277,7 @@ def write_tokens(docs: DataFrame, path: str, target: str, end_id: int = 0, parti
     def run(batches):
         codec, seq, end = Codec.of(path), 0, int(end_id).to_bytes(4, "little")
         for b in _slices(batches):
-            ids = _lists([x + end for x in codec.encode(_texts(b))], pa.int32())
+            ids = _lists([x + end for x in codec.encode(b.column("text"))], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(range(seq, seq + b.num_rows), pa.int64()), ids], names=["doc_id", "seq", "ids"])
             seq += b.num_rows
 
