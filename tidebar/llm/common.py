@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,3 +50,10 @@ def forget(df: DataFrame) -> None:
         if "/tidebar-" in path:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing can read any more: it does so once the driver has collected its garbage, which
+    between two steps of a long loop may not happen by itself."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -74,13 +74,15 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     # Rows of equal id, source and text are equals for the draw, so their copies are added up and dealt out evenly by a number among them.
     drawn = copies(sized(docs), **options).groupBy("doc_id", "source", "__tie").agg(F.sum("__copies").alias("__k"), F.count(F.lit(1)).alias("__n"))
-    drawn = drawn.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("__tie").alias("__t"), "__k", "__n")
+    drawn = cut(drawn.where("__k > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("__tie").alias("__t"), "__k", "__n"), "drawn")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src")) & (F.xxhash64("text") == F.col("__t"))
-    single, several = drawn.where("__n = 1 and __k > 0"), drawn.where("__n > 1 and __k > 0")
-    once = docs.join(single, same).withColumn("__c", F.col("__k"))
-    number = F.row_number().over(W.partitionBy("__id", "__src", "__t").orderBy(F.lit(1))) - 1
-    more = docs.join(several, same).withColumn("__i", number).withColumn("__c", F.floor((F.col("__i") + 1) * F.col("__k") / F.col("__n")) - F.floor(F.col("__i") * F.col("__k") / F.col("__n"))).drop("__i")
-    out = once.unionByName(more).withColumn("__e", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__c").cast("int"), F.lit(1))))).where("__c > 0")
+    out = docs.join(drawn, same)
+    share = F.col("__k")
+    if drawn.where("__n > 1").limit(1).count():  # else texts needn't move for it
+        i = F.row_number().over(W.partitionBy("__id", "__src", "__t").orderBy(F.lit(1)))
+        out = out.withColumn("__i", i)
+        share = F.floor(F.col("__i") * F.col("__k") / F.col("__n")) - F.floor((F.col("__i") - 1) * F.col("__k") / F.col("__n"))
+    out = out.withColumn("__c", share.cast("int")).where("__c > 0").withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__c"))))
     return out.select(*[F.col(f"`{c}`") for c in columns])
 
 
