@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from tests.compare import same
 from tidebar.llm import ann, html, neardup, queries, urls
 
 
@@ -43,6 +44,10 @@ def test_components_as_brute_force(spark, sf_dir):
         assert (got[k].component_id, got[k].n_shingles, got[k].kept) == (c, n, c == k)
 
 
+def test_components_as_sql(spark, sf_dir):
+    same(queries.QUERIES["op8_near_duplicates"](spark, sf_dir), queries.SQL["op8_near_duplicates"], sf_dir)
+
+
 @pytest.fixture(scope="module")
 def crowd(spark):
     """Edited copies of one text, only alike through it; chains; short and empty texts; repeated rows and ids."""

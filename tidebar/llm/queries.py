@@ -25,7 +25,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-#: Left out: iteration until convergence (1), keyed permutations (2), fuzzy matching (3), tokenizers (4, 7), approximate search (6), near-duplicates (8), HTML (9)
+#: Left out: iteration until convergence (1), keyed permutations (2), fuzzy matching (3), tokenizers (4, 7), approximate search (6), HTML (9)
 #: and the hash of the n-grams (10) aren't in SQL; tests hold those queries against brute force.
 SQL: dict[str, str] = {
     "op5_mix_sources": r"""
@@ -51,5 +51,17 @@ ranked AS (
 SELECT r.doc_id, r.size, t.source_size, t.target,
   CAST((floor(r.i * t.rate + t.u) - floor((r.i - 1) * t.rate + t.u)) * r.size AS BIGINT) AS taken
 FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
+""",
+    "op8_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c USING (doc_id)
 """,
 }
