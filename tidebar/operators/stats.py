@@ -23,15 +23,16 @@ def strategy(path: DataFrame, initial: float = 100_000.0, by: tuple[str, ...] =
     """The 11 figures of each path (rows of strategies.equity): returns are in parts of the largest exposure; n_trades counts fills."""
     order = W.partitionBy(*by).orderBy("ts")
     path = path.select("*", win.last_of_day(order).alias("__last"), win.drawdown("equity", initial, order).alias("__dd"), ((F.col("position") != 0) & (F.lag("position").over(order) == 0)).alias("__entry"))
-    whole = path.groupBy(*by).agg(
+    # Daily changes stand on the last bar of each day, against that of the day before: one window and one aggregation give all.
+    before = F.last(F.when(F.col("__last"), F.col("equity")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    path = path.select("*", F.when(F.col("__last"), F.col("equity") - F.coalesce(before, F.lit(initial))).alias("__r"))
+    down = F.when(F.col("__r") < 0, F.col("__r"))
+    out = path.groupBy(*by).agg(
         F.min("ts").alias("__t0"), F.max("ts").alias("__t1"), F.max_by("equity", "ts").alias("__end"), F.count(F.lit(1)).alias("__n"),
         F.sum((F.col("qty") != 0).cast("long")).alias("n_trades"), F.sum((F.col("position") != 0).cast("long")).alias("__held"), F.sum(F.coalesce(F.col("__entry"), F.lit(False)).cast("long")).alias("__entries"),
         F.sum(F.abs("qty") * F.col("open")).alias("__turn"), F.sum("fee").alias("__fees"), F.min("__dd").alias("__dd"),
-        F.coalesce(F.max(F.when(F.col("qty") != 0, F.abs("position") * F.col("open"))), F.lit(0.0)).alias("__peak"))
-    daily = path.where("__last").select(*by, (F.col("equity") - F.lag("equity", 1, initial).over(order)).alias("__r"))
-    down = F.when(F.col("__r") < 0, F.col("__r"))
-    daily = daily.groupBy(*by).agg(F.avg("__r").alias("__mean"), F.stddev_pop("__r").alias("__std"), F.count(down).alias("__downs"), F.stddev_pop(down).alias("__down"))
-    out = whole.join(daily, list(by))
+        F.coalesce(F.max(F.when(F.col("qty") != 0, F.abs("position") * F.col("open"))), F.lit(0.0)).alias("__peak"),
+        F.avg("__r").alias("__mean"), F.stddev_pop("__r").alias("__std"), F.count(down).alias("__downs"), F.stddev_pop(down).alias("__down"))
     peak, pnl, some = F.col("__peak"), F.col("__end") - F.lit(initial), F.col("__peak") > 0
     grown = 1 + divide(pnl, peak)
     flat = F.col("__std") <= F.abs("__mean") * 1e-12

@@ -109,7 +109,17 @@ def fills(bars: DataFrame, decided: DataFrame, fee_rate: float = FEE) -> DataFra
 
 def equity(bars: DataFrame, filled: DataFrame, cash: float = CASH) -> DataFrame:
     """Every bar with qty, fee, position, cash and equity."""
-    out = numbered(bars).join(filled.select(KEY, "i", "qty", "fee"), [KEY, "i"], "left").fillna(0, subset=["qty", "fee"])
+    return _accounts(numbered(bars).join(filled.select(KEY, "i", "qty", "fee"), [KEY, "i"], "left"), cash)
+
+
+def path(bars: DataFrame, decided: DataFrame, fee_rate: float = FEE, cash: float = CASH) -> DataFrame:
+    """The same from decisions: bars are joined to the fold once. Rows with a qty are the fills, at their bar's open."""
+    rows = numbered(bars).join(fold(decided, [KEY]), [KEY, "i"], "left")
+    return _accounts(rows.withColumn("fee", F.abs("qty") * F.col("open") * F.lit(fee_rate)), cash)
+
+
+def _accounts(rows: DataFrame, cash: float) -> DataFrame:
+    rows = rows.fillna(0, subset=["qty", "fee"])
     order = W.partitionBy(KEY).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    out = out.withColumn("position", F.sum("qty").over(order)).withColumn("cash", F.lit(cash) - F.sum(F.col("qty") * F.col("open") + F.col("fee")).over(order))
-    return out.withColumn("equity", F.col("cash") + F.col("position") * F.col("close"))
+    rows = rows.withColumn("position", F.sum("qty").over(order)).withColumn("cash", F.lit(cash) - F.sum(F.col("qty") * F.col("open") + F.col("fee")).over(order))
+    return rows.withColumn("equity", F.col("cash") + F.col("position") * F.col("close"))

@@ -309,7 +309,7 @@ def _fills(spark, sf_dir, make):
 
 def path_of(spark, sf_dir, which: str = "z") -> DataFrame:
     b = bars(spark, sf_dir, "1h")
-    return strategies.equity(b, strategies.fills(b, _STRATEGIES[which][1](b)))
+    return strategies.path(b, _STRATEGIES[which][1](b))
 
 
 for _n, (_parts, _make) in _STRATEGIES.items():
