@@ -123,10 +123,12 @@ class Codec:
         out = dict(zip(letters, self._encode_matches([lead + x for x in letters]), strict=True))
         cut = [(x, self.matches.findall(lead + x)) for x in pieces if x not in out]
         new = {m for _, ms in cut for m in ms} - self.small.keys()
-        plain = [m for m in new if "\n" not in m]
-        made = dict(zip(plain, self._encode_matches(plain), strict=True))
+        # A match after a space may be known as a piece.
+        made = {m: ids for m in new if m[:1] == " " and (ids := self.known.get(m[1:]) or (out.get(m[1:]) if lead else None)) is not None}
+        plain = [m for m in new if "\n" not in m and m not in made]
+        made |= zip(plain, self._encode_matches(plain), strict=True)
         for m in new:
-            if "\n" in m:
+            if "\n" in m and m not in made:
                 made[m] = np.asarray(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.small) < MATCHES:
             self.small.update((m, ids) for m, ids in made.items() if len(m) <= LONG_PIECE)
