@@ -49,6 +49,24 @@ def test_ewm_std_as_pandas(bars, walk):
     assert np.allclose(got["s"], want, atol=1e-8, equal_nan=True)
 
 
+def test_extended_catalogue(bars):
+    made = [n for n in features.extended(bars).columns if n not in (KEY, "ts", *features.OHLC)]
+    assert len(made) == len(set(made)) == 537 and ewm.tag(0.05) == "a05"
+
+
+def test_extended_values(bars, walk):
+    got = frame(features.extended(bars, alphas=(0.05, 0.5), lags=(2,)))
+    one = walk[walk[KEY] == "a"].reset_index(drop=True)
+    got = got[got[KEY] == "a"].reset_index(drop=True)
+    c, v = one["close"], one["volume"].astype(float)
+    mean = lambda x: x.ewm(alpha=0.05, adjust=False).mean()
+    ref = v.where(v > 0).ffill()
+    want = {"vwap_a05": mean(c * v) / mean(v).where(lambda s: s > 0) / c - 1, "cd2_ewm_a05": mean(c.diff(2)) / c, "vd1": v.diff() / ref, "vm_a05": mean(v) / ref, "vsum_a05": v.ewm(alpha=0.05).sum() / ref, "macd_a5_a05": (c.ewm(alpha=0.5, adjust=False).mean() - mean(c)) / c}
+    for n, x in want.items():
+        assert np.allclose(got[n].astype(float), x.replace([np.inf, -np.inf], np.nan), atol=1e-9, equal_nan=True), n
+    assert np.allclose(got["cd2_ewm_a05_lag2"].astype(float), got["cd2_ewm_a05"].astype(float).shift(2), equal_nan=True)
+
+
 def test_ewm_prefix(bars):
     """What comes later changes nothing before."""
     whole = ewm.means(bars, 0.05, True, m="close")

@@ -29,7 +29,8 @@ def span(n: float) -> float:
 
 
 def tag(alpha: float) -> str:
-    return "a" + f"{alpha:g}".replace(".", "").ljust(3, "0") if alpha >= 0.1 else "a" + f"{alpha:.2f}".replace(".", "")
+    """0.05 is a05."""
+    return "a" + f"{alpha:g}".partition(".")[2]
 
 
 class Decay:

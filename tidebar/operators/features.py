@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.functions.columns import SECONDS, divide, true
+from tidebar.functions.columns import divide, true
 from tidebar.operators import asof, ewm
 from tidebar.operators import windows as win
 from tidebar.operators.candles import KEY, series
@@ -94,36 +94,37 @@ def macd(bars: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
 
 
 def extended(bars: DataFrame, alphas: tuple[float, ...] = ALPHAS, lags: tuple[int, ...] = LAGS) -> DataFrame:
-    """Adds to base features the decayed ones of every alpha, and lags and slopes of all of them."""
-    price, flow = list(BASE), []
+    """Adds to base features the decayed ones of every alpha, lags of all price features, and slopes of price and volume ones."""
+    price, flow = [n for n in BASE if not n.startswith("vol_")], [n for n in BASE if n.startswith("vol_")]
     out = base(bars)
     o, h, low, c, v = (F.col(x) for x in OHLC)
+    v = v.cast("double")
 
-    def add(**made: Column) -> None:
+    def add(into: list[str] | None = None, **made: Column) -> None:
         nonlocal out
         out = out.select("*", *[x.alias(n) for n, x in made.items()])
+        if into is not None:
+            into += made
 
     known = set(out.columns)
     out = macd(out, alphas)
     price += [n for n in out.columns if n not in known]
-    ratios = {"hl": divide(h, low) - 1, "co": divide(c, o) - 1, "ch": divide(c, h) - 1, "cl": divide(c, low) - 1}
-    add(**ratios)
-    price += ratios
-    add(**{f"cd{n}": win.difference("close", n) for n in STEPS}, **{f"vd{n}": win.difference(v.cast("double"), n) for n in STEPS})
-    add(vm=win.last_known(F.when(v > 0, v.cast("double"))))
+    add(price, hl=divide(h, low) - 1, co=divide(c, o) - 1, ch=divide(c, h) - 1, cl=divide(c, low) - 1)
+    # Volumes are relative to the last one that was traded.
+    add(__ref=win.last_known(F.when(v > 0, v)), **{f"__c{n}": win.difference("close", n) for n in STEPS}, **{f"__v{n}": win.difference(v, n) for n in STEPS})
+    add(price, **{f"cd{n}": divide(f"__c{n}", c) for n in STEPS if n > 1})
+    add(flow, **{f"vd{n}": divide(f"__v{n}", "__ref") for n in STEPS})
     for a in alphas:
         t = ewm.tag(a)
-        out = ewm.weighted(out, a, **{f"__vw_{t}": "close", f"__vh_{t}": "high", f"__vl_{t}": "low"})
-        out = ewm.efficiency(out, a, f"eff_{t}")
-        out = ewm.efficiency(out, a, f"effv_{t}", weight="volume")
-        out = ewm.means(out, a, False, **{f"cd{n}_{t}": f"cd{n}" for n in STEPS}, **{f"vd{n}_{t}": f"vd{n}" for n in STEPS}, **{f"vm_{t}": "vm"})
-        out = ewm.sums(out, a, **{f"vsum_{t}": v.cast("double")})
-        near = {f"vwap_{t}": f"__vw_{t}", f"vwh_{t}": f"__vh_{t}", f"vwl_{t}": f"__vl_{t}"}
-        add(**{n: divide("close", x) - 1 for n, x in near.items()}, **{f"vwhl_{t}": divide(F.col(f"__vh_{t}") - F.col(f"__vl_{t}"), "close"), f"v_over_vm_{t}": divide(v, f"vm_{t}"), f"v_over_vsum_{t}": divide(v, f"vsum_{t}")})
-        price += [*near, f"vwhl_{t}", f"eff_{t}", f"effv_{t}", *[f"cd{n}_{t}" for n in STEPS]]
-        flow += [f"vm_{t}", f"v_over_vm_{t}", f"vsum_{t}", f"v_over_vsum_{t}", *[f"vd{n}_{t}" for n in STEPS]]
-    price += [f"cd{n}" for n in STEPS if n > 1]
-    flow += [f"vd{n}" for n in STEPS]
+        out = ewm.weighted(out, a, **{f"__wc_{t}": "close", f"__wh_{t}": "high", f"__wl_{t}": "low"})
+        add(price, **{f"vwap_{t}": divide(f"__wc_{t}", c) - 1, f"vwh_{t}": divide(f"__wh_{t}", c) - 1, f"vwl_{t}": divide(f"__wl_{t}", c) - 1, f"vwhl_{t}": divide(F.col(f"__wh_{t}") - F.col(f"__wl_{t}"), c)})
+        out = ewm.efficiency(ewm.efficiency(out, a, f"eff_{t}"), a, f"effv_{t}", weight="volume")
+        price += [f"eff_{t}", f"effv_{t}"]
+        out = ewm.means(out, a, False, **{f"__vm_{t}": v}, **{f"__c{n}_{t}": f"__c{n}" for n in STEPS}, **{f"__v{n}_{t}": f"__v{n}" for n in STEPS})
+        out = ewm.sums(out, a, **{f"__vs_{t}": v})
+        add(price, **{f"cd{n}_ewm_{t}": divide(f"__c{n}_{t}", c) for n in STEPS})
+        add(flow, **{f"vm_{t}": divide(f"__vm_{t}", "__ref"), f"v_over_vm_{t}": divide(v, f"__vm_{t}"), f"vsum_{t}": divide(f"__vs_{t}", "__ref"), f"v_over_vsum_{t}": divide(v, f"__vs_{t}")})
+        add(flow, **{f"vd{n}_ewm_{t}": divide(f"__v{n}_{t}", "__ref") for n in STEPS})
     out = out.select(*bars.columns, *price, *flow)
     add(__n=F.row_number().over(series()).cast("double"))
     late = [win.lag(x, n).alias(f"{x}_lag{n}") for x in price for n in lags]
@@ -169,7 +170,3 @@ def row_mean(columns: list[str]) -> Column:
     """Mean of a row's values that aren't missing."""
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) for c in columns])
     return divide(total, reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in columns]))
-
-
-def bar_end_of(timeframe: str) -> int:
-    return SECONDS[timeframe]
