@@ -80,6 +80,35 @@ def test_components_of_a_crowd(spark, crowd):
     assert neardup.components(df.limit(0)).count() == 0 and neardup.one_of_each(df.limit(0)).count() == 0
 
 
+def test_copies_without_their_original(spark):
+    """1000 copies with four words replaced in each: whom a hub doesn't reach, others do; against all pairs."""
+    rng = np.random.default_rng(1)
+    for n in (240, 215):
+        words, rows = [f"w{n}x{i}" for i in range(n)], []
+        for i in range(1000):
+            copy = list(words)
+            for at in rng.choice(n, 4, replace=False):
+                copy[at] = f"new{i}x{at}"
+            rows.append((i, " ".join(copy)))
+        sets = [neardup.shingles(t) for _, t in rows]
+        values, at = np.unique(np.concatenate(sets), return_inverse=True)
+        held = np.zeros((len(rows), len(values)), np.float32)
+        held[np.repeat(np.arange(len(rows)), [len(x) for x in sets]), at] = 1
+        both, size = held @ held.T, held.sum(axis=1)
+        near, label = 100 * both >= 85 * (size[:, None] + size - both), np.arange(len(rows))
+        while (after := np.where(near, label, len(rows)).min(axis=1)).tolist() != label.tolist():
+            label = after
+        got = {r.doc_id: r.component_id for r in neardup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert [got[i] for i in range(len(rows))] == label.tolist()
+
+
+def test_bands_follow_the_similarity():
+    for percent in (50, 70, 80, 85, 90, 95, 100):
+        n = neardup.bins_per_band(percent)
+        assert (1 - (percent / 100) ** n) ** (256 // n) <= neardup.MISS
+        assert len(set(neardup.band_keys(neardup.shingles("a b c d e f g"), percent))) == 256 // n
+
+
 def rank(seeds, links, steps=200, d=urls.DAMPING):
     """One walk, by a loop: seeds and links (a, b) -> weight."""
     nodes = set(seeds) | {x for k in links for x in k}

@@ -5,10 +5,12 @@ shingle serves all bins: its leading bits name the bin, the smallest hash of a b
 value of the first filled bin of its own fixed random sequence. Bands of bins make buckets. In each bucket a hub, the member
 that meets most others over all its buckets, is paired with every other member, so a bucket of g members gives g - 1 pairs.
 Pairs are confirmed on the full sets. Members of a bucket that none of its hubs is linked with are paired with its next hub, up
-to HUBS times. Confirmed links are merged to components.
+to HUBS times. Confirmed links are merged to components. Buckets that then hold several components and pairs not yet compared
+are compared in full: in blocks of members whose intersections are counted by matrix products, so that no row is made for a
+pair; only members of different components count, and buckets of the same members are one. New links merge the components.
 
-With 32 bands of 8 bins, documents at similarity 0.85 share no bucket with a chance of 4e-5. A link can also be lost where
-neither of its ends was a hub and no other confirmed link joins them; tests and the README give measured losses.
+So components are those of all pairs that share a bucket. Bins per band follow from the similarity: as many as leave a chance
+of at most MISS that two documents just at it share no bucket (0.85: 32 bands of 8 bins, 4e-5; 0.8: 42 of 6, 3e-6).
 
 Nulls and odd rows: a text without words (or null) is linked with nothing and is a component of its own. Repeated rows and
 texts are one node. A component's id is its smallest document id; null ids count only where there is no other. Extra columns
@@ -31,17 +33,21 @@ from tidebar.llm.common import cut, forget, sweep, table
 PERCENT = 85
 SHINGLE = 3
 BIN_BITS = 8
-BANDS = 32
+MISS = 5e-5
 HUBS = 4
+#: Size of a block of members: their shingles, and _EACH for each member.
+BLOCK = 1 << 18
+_EACH = 256
+_SLICE = 2048
 _BINS = 1 << BIN_BITS
-_ROWS = _BINS // BANDS
 _LAST = (1 << 63) - 1
 
 _random = np.random.Generator(np.random.PCG64(2017))
 _MIX = _random.integers(1, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _random.integers(1, 1 << 63, BANDS, np.uint64)
+_BAND = _random.integers(1, 1 << 63, 32, np.uint64)
 #: Where an empty bin looks for a value: a few places first, then more.
 _PROBES = _random.integers(0, _BINS, (_BINS, 1024)).astype(np.int16)
+_BAND = np.concatenate((_BAND, _random.integers(1, 1 << 63, _BINS - len(_BAND), np.uint64)))
 _EDGES = (np.arange(_BINS, dtype=np.uint64) << np.uint64(64 - BIN_BITS)).astype(np.uint64)
 
 
@@ -84,32 +90,36 @@ def signature(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    rows = signature(found).reshape(BANDS, _ROWS) * _MIX[:_ROWS]
-    return _mixed(rows.sum(axis=1, dtype=np.uint64) + _BAND).view(np.int64)
+def bins_per_band(percent: int) -> int:
+    """The most bins a band can have if documents at this similarity are to share a bucket but for a chance of MISS."""
+    return max((r for r in range(2, len(_MIX) + 1) if (1 - (percent / 100) ** r) ** (_BINS // r) <= MISS), default=1)
+
+
+def band_keys(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    n = bins_per_band(percent)
+    bands = _BINS // n
+    rows = signature(found)[: bands * n].reshape(bands, n) * _MIX[:n]
+    return _mixed(rows.sum(axis=1, dtype=np.uint64) + _BAND[:bands]).view(np.int64)
 
 
 def _node(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+def sketches(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, node (a hash of the set) and bands of every document; null and empty for an empty set."""
 
     def run(batches):
         for b in batches:
             sets = [shingles(x.as_py(), width) for x in b.column("text")]
-            bands = pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
+            bands = pa.array([band_keys(x, percent) if len(x) else [] for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_node(x) if len(x) else None for x in sets], pa.binary()), bands], names=["doc_id", "n_shingles", "node", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Those of the pairs (a, b, a_id, b_id) whose full sets are similar enough. Only documents in a pair are read again."""
-    # Written first: where few documents are left, Spark sees the small table and needn't move the texts.
-    pairs = cut(pairs, "pairs")
-    ends = cut(pairs.select(F.explode(F.array("a_id", "b_id")).alias("__id")).distinct(), "ends")
+def _sets(docs: DataFrame, ends: DataFrame, width: int) -> DataFrame:
+    """node and set of the documents whose ids are in ends (__id)."""
     texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text").join(ends, F.col("doc_id") == F.col("__id"), "left_semi")
 
     def sets(batches):
@@ -117,6 +127,15 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> D
             found = [shingles(x.as_py(), width) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "set"])
 
+    return texts.mapInArrow(sets, "node binary, set binary")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Those of the pairs (a, b, a_id, b_id) whose full sets are similar enough. Only documents in a pair are read again."""
+    # Written first: where few documents are left, Spark sees the small table and needn't move the texts.
+    pairs = cut(pairs, "pairs")
+    ends = cut(pairs.select(F.explode(F.array("a_id", "b_id")).alias("__id")).distinct(), "ends")
+
     def similar(batches):
         for b in batches:
             keep = []
@@ -126,7 +145,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> D
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = cut(texts.mapInArrow(sets, "node binary, set binary"), "sets")
+    own = cut(_sets(docs, ends, width), "sets")
     with_a = pairs.select("a", "b").join(own.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a")
     both = with_a.join(own.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b").select("a", "b", "a_set", "b_set")
     out = cut(both.mapInArrow(similar, "a binary, b binary").distinct(), "links")
@@ -136,6 +155,85 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> D
     return out
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of left with each of right."""
+    (a, rows), (b, columns) = ((np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x])) for x in (left, right))
+    known = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def places(x, at):
+        to = np.searchsorted(known, x)
+        held = known[np.minimum(to, len(known) - 1)] == x
+        order = np.argsort(to[held], kind="stable")
+        return to[held][order], at[held][order]
+
+    if len(known):
+        (a, rows), (b, columns) = places(a, rows), places(b, columns)
+        for start in range(0, len(known), _SLICE):
+            sides = []
+            for x, at, n in ((a, rows, len(left)), (b, columns, len(right))):
+                i, j = np.searchsorted(x, (start, start + _SLICE))
+                side = np.zeros((n, min(_SLICE, len(known) - start)), np.float32)
+                side[at[i:j], x[i:j] - start] = 1
+                sides.append(side)
+            out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _joined(docs: DataFrame, live: DataFrame, reach: DataFrame, percent: int, width: int, hubs: int) -> DataFrame | None:
+    """Links (a, b) between components that the stars have left apart; live: buckets, reach: node and label of every node."""
+    own = cut(live.select("key", "node", "id", "n").join(reach.select(F.col("node").alias("__n"), F.col("label.node").alias("part")), F.col("node") == F.col("__n")).drop("__n"), "parts")
+    parts = own.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") + _EACH).alias("w"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    whole = parts.groupBy("key").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("w", "part")).alias("most"), F.sum("w").alias("w"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    # Where every member is a component of its own and was a hub or the last one left, all pairs have been compared.
+    whole = whole.where(f"parts > 1 and not (size <= {hubs + 1} and parts = size)").groupBy("x", "y", "size").agg(F.min(F.struct("key", "most", "w")).alias("k")).select("k.*")
+    # Members of a bucket's largest component needn't be compared with each other: the others, in `few` blocks, meet all blocks.
+    few = F.expr(f"if(w <= {BLOCK}, 1L, ceil((w - most.w) / {BLOCK}))")
+    many = F.expr(f"if(w <= {BLOCK}, 0L, ceil(most.w / {BLOCK}))")
+    whole = cut(whole.select(F.col("key").alias("__k"), F.col("most.part").alias("most"), few.alias("few"), many.alias("many")), "open")
+    if not whole.limit(1).count():
+        for done in (own, whole):
+            forget(done)
+        return None
+    block = F.expr("if(many > 0 and part = most, few + pmod(xxhash64(node), many), pmod(xxhash64(node), few))")
+    rows = own.join(whole, F.col("key") == F.col("__k")).withColumn("block", block)
+    pairs = F.expr("transform(sequence(0L, if(block < few, few + many, few) - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")
+    rows = cut(rows.select("key", "node", "id", "part", "block", F.explode(pairs).alias("p")).select("key", "node", "id", "part", "block", "p.*"), "blocks")
+    ends = cut(rows.select(F.col("id").alias("__id")).distinct(), "ends")
+    sets = cut(_sets(docs, ends, width).withColumnRenamed("node", "__n").dropDuplicates(["__n"]), "sets")
+
+    def compare(key, found):
+        i, j = key[1].as_py(), key[2].as_py()
+        block = found.column("block").to_numpy()
+        part = np.array(found.column("part").to_pylist(), object)
+        set_of = [np.frombuffer(x.as_buffer(), np.uint64) for x in found.column("set").combine_chunks()] if len(found) else []
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        links, root = [], {}
+
+        def top(x):
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        if len(left) and len(right):
+            names, number = np.unique(part, return_inverse=True)
+            both = _shared([set_of[x] for x in left], [set_of[x] for x in right])
+            sizes = np.array([len(x) for x in set_of])
+            near = (100 * both >= percent * (sizes[left][:, None] + sizes[right] - both)) & (number[left][:, None] != number[right])
+            a, b = np.nonzero(near)
+            for x, y in np.unique(np.stack((number[left[a]], number[right[b]]), axis=1), axis=0).tolist():
+                if (x := top(x)) != (y := top(y)):
+                    root[x] = y
+                    links.append((names[x], names[y]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+    out = cut(rows.join(sets, F.col("node") == F.col("__n")).select("key", "i", "j", "block", "part", "set").groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary").distinct(), "joined")
+    for done in (own, whole, rows, ends, sets):
+        forget(done)
+    sweep(docs.sparkSession)
+    return out
+
+
 def merged(links: DataFrame, names: DataFrame) -> DataFrame:
     """Components of links (a, b): each node's label, the smallest name in reach. names: node and label of every linked node."""
     ways = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "ways")
@@ -157,9 +255,10 @@ def merged(links: DataFrame, names: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, hubs: int = HUBS) -> DataFrame:
     """doc_id, n_shingles, node and component_id of every document; links need 100 * intersection >= percent * union."""
-    found = cut(sketches(docs, width), "sketches")
+    found = cut(sketches(docs, width, percent), "sketches")
     nodes = cut(found.where("node is not null").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(_LAST)).alias("id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")), "nodes")
-    rows = nodes.select("node", "id", "n", F.explode("bands").alias("key"))
+    # Smaller sets can't be so similar without being equal.
+    rows = nodes.where(f"n * (100 - {percent}) >= {percent}").select("node", "id", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     first = cut(rows.join(shared, "key"), "buckets")
     central = first.groupBy(F.col("node").alias("__n")).agg(F.sum("size").alias("met"))
@@ -187,12 +286,22 @@ def components(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, hu
         alone, last = still, hub
         if not alone.limit(1).count():
             break
-    for done in (live, alone, last):
-        forget(done)
+    for done in (alone, last):
+        if done is not live:
+            forget(done)
     links = reduce(DataFrame.unionByName, found_links)
     ends = links.select(F.explode(F.array("a", "b")).alias("__n")).distinct()
     labels = merged(links, cut(nodes.join(ends, F.col("node") == F.col("__n"), "left_semi").select("node", F.struct("id", "node").alias("label")), "names"))
-    reach = cut(nodes.select("node", "id").join(labels, "node", "left").select("node", F.coalesce(F.col("label.id"), "id").alias("__least")), "reach")
+    own = F.struct("id", "node")
+    reach = cut(nodes.select(F.col("node").alias("__n"), own.alias("own")).join(labels, F.col("node") == F.col("__n"), "left").select(F.col("__n").alias("node"), F.coalesce("label", "own").alias("label")), "reach")
+    joins = _joined(docs, live, reach, percent, width, hubs)
+    forget(live)
+    if joins is not None and joins.limit(1).count():
+        ends = joins.select(F.explode(F.array("a", "b")).alias("__n")).distinct()
+        over = merged(joins, cut(nodes.join(ends, F.col("node") == F.col("__n"), "left_semi").select("node", own.alias("label")), "names"))
+        over = over.select(F.col("node").alias("__p"), F.col("label").alias("over"))
+        reach = cut(reach.join(over, F.col("label.node") == F.col("__p"), "left").select("node", F.coalesce("over", "label").alias("label")), "reach")
+    reach = reach.select("node", F.col("label.id").alias("__least"))
     out = found.select("doc_id", "n_shingles", "node").join(reach.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
     least = F.when(F.col("__n").isNull(), F.col("doc_id")).when(F.col("__least") != _LAST, F.col("__least"))
     return out.select("doc_id", "n_shingles", "node", least.alias("component_id"))
