@@ -147,6 +147,19 @@ def test_rules_and_odd_urls(spark):
     assert urls.judge(df).count() == len(rows) and urls.judge(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("linkers", [2, 100])
+def test_linkers_of_a_blocked_host(spark, linkers):
+    """However many link to a blocked host, those that link mostly to it are blocked, and a host by its own pages."""
+    bad, good = "<a href='http://bad.org/es/1'>", "<a href='http://good.net/1'>"
+    rows = [("http://bad.org/es/1", None), ("http://good.net/1", None)]
+    rows += [(f"http://only{i}.net/1", bad) for i in range(linkers)] + [(f"http://most{i}.net/1", 2 * bad + good) for i in range(linkers)] + [(f"http://half{i}.net/1", bad + good) for i in range(linkers)]
+    rows += [("http://far.net/1", "<a href='http://only0.net/'>")] + [(f"http://own.org/{p}", None) for p in ("es/1", "es/2", "es/3", "x", "y")] + [(f"http://fan{i}.net/1", good + "<a href='http://own.org/x'>" + good) for i in range(linkers)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {(r.host, r.path): r.verdict for r in urls.judge(df).collect()}
+    for (host, path), verdict in got.items():
+        assert verdict == ("block" if re.match("bad|only|most|far|own", host) else "allow"), (host, path)
+
+
 def test_all_pages_judged(spark, sf_dir):
     got = queries.QUERIES["op1_url_verdicts"](spark, sf_dir).toPandas()
     assert set(got["verdict"]) <= {"allow", "block"} and got["page_id"].is_unique

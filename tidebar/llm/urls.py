@@ -3,12 +3,16 @@
 A rule fits its host and all subdomains where the url's path starts with the rule's; the longest fitting rule decides. Hosts of
 urls without a rule are judged by propagation: trust is a personalised PageRank from trusted seeds along links, distrust one
 from blocked seeds against them (who links to a blocked host shares its distrust). A seed's weight is the share of its host's
-pages that rules allow or block. A host without links keeps what it has. Hosts are blocked at a distrust of at least THRESHOLD
-that also exceeds their trust.
+pages that rules allow or block. A host without links keeps what it has. The columns trust and distrust hold these walks.
+
+A walk's mass is split among all who link to a blocked host, so verdicts don't depend on it but on shares, which no degree
+dilutes: a host's share of distrust is its seed or, if more, DAMPING times the mean over its out-links of the shares of the
+hosts linked to; its share of trust the same over its in-links. Hosts are blocked at a share of distrust of at least THRESHOLD
+that also exceeds their share of trust.
 
 Links come from absolute href attributes in the html; links inside a host move nothing and are left out. Propagation is
-joins and sums in Spark, written to the shared folder after each step, until nothing moves by more than EPSILON or after
-STEPS steps (damping bounds what is left then by DAMPING ** STEPS).
+joins and sums in Spark, written to the shared folder after each step, until nothing moves by more than EPSILON; walks end after
+STEPS steps too (damping bounds what is left then by DAMPING ** STEPS).
 
 Nulls and odd rows: a null url or one without :// has empty host and path, fits no rule and is allowed; null html has no links.
 Null ids, ties and repeated rows are judged one by one (each counts as a page of its host). Extra columns are left out.
@@ -80,6 +84,26 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, step
     return now.groupBy("host").agg(F.max(F.when(F.col("kind"), F.col("value"))).alias("trust"), F.max(F.when(~F.col("kind"), F.col("value"))).alias("distrust"))
 
 
+def shares(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, epsilon: float = EPSILON) -> DataFrame:
+    """host, trust_share and distrust_share from seeds (host, trusted, blocked) and links (src, dst, weight)."""
+    ways = links.select(F.lit(False).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight").unionByName(links.select(F.lit(True).alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
+    total = ways.groupBy(F.col("kind").alias("k"), F.col("a").alias("s")).agg(F.sum("weight").alias("total"))
+    ways = cut(ways.join(total, (F.col("kind") == F.col("k")) & (F.col("a") == F.col("s"))).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")), "ways")
+    hosts = seeds.select("host", "trusted", "blocked").unionByName(links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("trusted"), F.lit(0.0).alias("blocked")))
+    hosts = hosts.groupBy("host").agg(F.max("trusted").alias("trusted"), F.max("blocked").alias("blocked"))
+    start = hosts.select("host", F.explode(F.array(F.struct(F.lit(True).alias("kind"), F.col("trusted").alias("seed")), F.struct(F.lit(False).alias("kind"), F.col("blocked").alias("seed")))).alias("x")).select("host", "x.*")
+    now = cut(start.withColumn("value", F.col("seed")).withColumn("moved", F.lit(1.0)), "shares")
+    # Values only grow, and each step moves them by at most damping times the step before.
+    while ways.limit(1).count() and now.where(F.col("moved") > epsilon).limit(1).count():
+        out = now.where("value > 0").select(F.col("kind").alias("k"), F.col("host").alias("h"), "value")
+        told = ways.join(out, (F.col("kind") == F.col("k")) & (F.col("b") == F.col("h"))).groupBy(F.col("kind").alias("k"), F.col("a").alias("h")).agg(F.sum(F.col("value") * F.col("share")).alias("told"))
+        value = F.greatest("seed", F.lit(damping) * F.coalesce("told", F.lit(0.0)))
+        after = cut(now.join(told, (F.col("host") == F.col("h")) & (F.col("kind") == F.col("k")), "left").select("host", "kind", "seed", value.alias("value"), F.abs(value - F.col("value")).alias("moved")), "shares")
+        forget(now)
+        now = after
+    return now.groupBy("host").agg(F.max(F.when(F.col("kind"), F.col("value"))).alias("trust_share"), F.max(F.when(~F.col("kind"), F.col("value"))).alias("distrust_share"))
+
+
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD, **options) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page."""
     host, path = host_and_path(F.col("url"))
@@ -87,9 +111,12 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     found = read.withColumn("rule", rule).withColumn("by_rule", verdict)
     seeds = found.where("host != ''").groupBy("host").agg(F.avg(F.expr("if(by_rule <=> 'allow', 1.0D, 0.0D)")).alias("trusted"), F.avg(F.expr("if(by_rule <=> 'block', 1.0D, 0.0D)")).alias("blocked"))
-    hosts = cut(propagate(seeds, cut(host_links(read), "links"), **options), "hosts").withColumnRenamed("host", "__h")
+    links = cut(host_links(read), "links")
+    walks = propagate(seeds, links, **options).withColumnRenamed("host", "__h")
+    judged = shares(seeds, links, **{k: v for k, v in options.items() if k != "steps"})
+    hosts = cut(walks.join(judged, F.col("__h") == F.col("host")).drop("host"), "hosts")
     out = found.select("page_id", "host", "path", "rule", "by_rule").join(hosts, F.col("host") == F.col("__h"), "left")
-    method = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    method = F.when((F.col("distrust_share") >= threshold) & (F.col("distrust_share") > F.col("trust_share")), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), "trust", "distrust")
 
 
