@@ -186,6 +186,16 @@ def test_page_parts():
     assert html.Page("<div a='x>y' b=\"'\">t</div><script>never closed").text(set()) == "t"
 
 
+def test_main_text_beside_or_inside_of_furniture_names():
+    text = lambda x: html.Page(x).text(set())
+    for comments in ('<section class="comments"><article>c</article></section>', '<div class="comment-list"><article>c</article></div>', "<aside><article>c</article></aside>", '<div id="related-posts"><main>c</main></div>'):
+        assert text(f"<div>The text</div>{comments}") == "The text"
+        assert text(f"<div>Out</div><article>The text</article>{comments}") == "The text"
+    for names in ('id="page" class="has-sidebar"', 'class="no-sidebar"', 'class="with-banner"', 'class="search-page"', 'class="no-comments"'):
+        assert text(f'<div {names}><div class="sidebar">s</div><article>The text</article><div class="nav-bar">n</div></div><p>Out</p>') == "The text"
+    assert text('<div class="cookie-bar"><p>c</p></div><p>The text</p>') == text("<article> </article><p>The text</p>") == "The text"
+
+
 def test_templates_go_and_articles_stay(spark):
     shared = "<div>Read our letter</div>"
     page = lambda i, main: f"<body>{shared}<{main}><p>shared passage</p><p>own {i}</p></{main}></body>"

@@ -6,7 +6,9 @@ classes name as menus, headers, footers, side bars, notices, adverts, forms, scr
 of the remaining blocks.
 
 An article is content even where many pages share it: subtrees in `article` or `main`, or around one, are never templates.
-Where a page has an `article` or `main`, text outside of it is left out. A subtree is a template on a host if it stands on at
+Where a page has an `article` or `main` with text, outside of furniture, text outside of it is left out. A class or id that only
+describes an element around one (has-sidebar, search-page) drops nothing; one that names a region of its own does (comments,
+related-posts). A subtree is a template on a host if it stands on at
 least MIN_PAGES different pages (equal pages count once) and on MIN_SHARE of the host's pages; so a host has no more templates
 than 1 / MIN_SHARE times the elements of a mean page, which bounds the list that goes to each page.
 
@@ -36,6 +38,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 FURNITURE = frozenset("script style noscript template svg math iframe object embed canvas audio video head title nav footer aside form button select option textarea dialog menu".split())
 MAIN = frozenset(["article", "main"])
 WORDS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo promotion related search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget alert complementary contentinfo".split())
+#: Words that name a region even as a part of a longer name, unless one of the words after stands there too.
+REGIONS = frozenset("ad ads advert advertisement advertising adverts comment comments disqus promo promotion related sponsor sponsored".split())
+DESCRIBES = frozenset("closed enabled disabled free has is layout no open page single template with without".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Starting one of these ends an open paragraph.
 BLOCKS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -48,23 +53,27 @@ _END = {x: re.compile(rf"</{x}[\s/>]", re.I) for x in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "hash", "drop", "main", "start", "has_main")
+    __slots__ = ("tag", "hash", "drop", "mild", "main", "start", "has_main", "live")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None, start: int):
-        self.tag, self.start, self.has_main = tag, start, False
+        self.tag, self.start, self.has_main, self.live = tag, start, False, False  # live: holds an article or main that isn't dropped
         self.main = tag in MAIN or parent is not None and parent.main
         self.hash = xxhash.xxh64(f"{tag}{attributes}")
-        self.drop = parent is not None and parent.drop or self._furniture(tag, attributes)
+        furniture, self.mild = self._furniture(tag, attributes)
+        self.drop = parent is not None and parent.drop or furniture
 
-    def _furniture(self, tag: str, attributes: str) -> bool:
+    def _furniture(self, tag: str, attributes: str) -> tuple[bool, bool]:
+        """Whether it is furniture, and whether it is unless it turns out to hold an article or main."""
         if tag in FURNITURE:
-            return True
+            return True, False
         if tag == "header":
-            return not self.main
+            return not self.main, False
         if tag in MAIN or tag in ("html", "body") or "=" not in attributes:
-            return False
-        words = {w for m in _NAMES.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower())}
-        return bool((words & WORDS) - ({"header"} if self.main else set()))
+            return False, False
+        names = [set(filter(None, _SPLIT.split(x))) for m in _NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split()]
+        bad = WORDS - {"header"} if self.main else WORDS
+        names = [x for x in names if x & bad]
+        return any(len(x) == 1 or x & REGIONS and not x & DESCRIBES for x in names), bool(names)
 
 
 class Page:
@@ -74,7 +83,7 @@ class Page:
         self.html = html
         self.subtrees: list[tuple[int, int, int]] = []  # hash, and first and last piece of text
         self.texts: list[tuple[str, bool, bool]] = []  # text, kept, main; an empty text ends a block
-        self.any_main = False
+        self.dropped: list[tuple[int, int]] = []  # first and last piece of text of furniture that is known when it closes
         self._read()
 
     def _close(self, node: Node, parent: Node | None) -> None:
@@ -82,6 +91,9 @@ class Page:
         if parent is not None:
             parent.hash.update(digest.to_bytes(8, "little"))
             parent.has_main |= node.has_main or node.tag in MAIN
+            parent.live |= node.live
+        if node.mild and not node.live:
+            self.dropped.append((node.start, len(self.texts)))
         if not node.main and not node.has_main and node.tag not in ("html", "body"):
             self.subtrees.append((digest - (1 << 64) if digest >> 63 else digest, node.start, len(self.texts)))
         if node.tag not in INLINE:
@@ -118,7 +130,7 @@ class Page:
                     parent.hash.update(tag)
                 continue
             node = Node(tag, m[3].strip(), parent, len(texts))
-            self.any_main |= tag in MAIN
+            node.live = tag in MAIN and not node.drop
             stack.append(node)
             if tag in RAW:
                 stop = _END[tag].search(html, at)
@@ -154,12 +166,17 @@ class Page:
         for digest, a, b in self.subtrees:
             if digest in templates:
                 gone[a:b] = [True] * (b - a)
+        for a, b in self.dropped:
+            gone[a:b] = [True] * (b - a)
+        return self._joined(gone, True) or self._joined(gone, False)
+
+    def _joined(self, gone: list[bool], only_main: bool) -> str:
         blocks, block = [], []
         for (text, kept, main), away in zip(self.texts, gone, strict=True):
             if not text:
                 blocks.append("".join(block))
                 block = []
-            elif kept and not away and (main or not self.any_main):
+            elif kept and not away and (main or not only_main):
                 block.append(unescape(text))
         blocks.append("".join(block))
         return " ".join(" ".join(blocks).split())
