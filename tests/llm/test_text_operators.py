@@ -198,6 +198,17 @@ def test_pseudonyms():
     assert pii.replace(text, b"other")[0] != new
 
 
+def test_pseudonyms_beside_digits_and_capitals():
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    for text, value in ((f"{card} 12/26", card), (f"{card} 123", card), ("4111-1111-1111-1111-12", "4111-1111-1111-1111"), (f"{iban} EUR", iban), (f"{iban} EURO 5", iban)):
+        new, found = pii.replace(text, b"k")
+        assert [text[f["start"] : f["end"]] for f in found] == [value] and value not in new and len(new) == len(text)
+    for day in ("12 March 2020", "March 12, 2020", "3 Sep 1999", "MAY 04 2001"):
+        new, found = pii.replace(f"On {day}.", b"k")
+        assert [f["kind"] for f in found] == ["date"] and day not in new and len(new) == len(day) + 4 and pii.replace(new, b"k")[1] == found
+    assert pii.replace("31 February 2020", b"k") == ("31 February 2020", [])
+
+
 def test_pseudonyms_of_odd_rows(docs, none):
     out = pii.pseudonymise(docs)
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((i, t) for i, t, _ in ROWS)

@@ -7,7 +7,8 @@ document, however they are spaced, and different values different ones. Permutat
 on until they are inside. Lengths in characters never change.
 
 Kinds: email (local part), iban, ip, card, ssn, phone, date, and secret (values of password, token, key assignments).
-A pattern whose value isn't valid is left alone.
+Where a match isn't valid, shorter ones that end between its groups are tried, then later starts; what is valid nowhere is left
+alone. Dates are numbers, or a day, an English month name (or its first three letters) and a year.
 
 Nulls and odd rows: a null text stays null with no finds. Every row is handled by itself: null ids, ties, repeated rows
 and very long texts need nothing special. Extra columns pass through `pseudonymise`; ones named n_found or found give way.
@@ -197,17 +198,45 @@ def _date(found: str, key: bytes) -> str | None:
             return new[0] + next(marks) + new[1] + next(marks) + new[2]
 
 
+_MONTHS = "January February March April May June July August September October November December".split()
+
+
+def _named_date(found: str, key: bytes) -> str | None:
+    """Another date with a month name as long as its own, in the same case; May counts as shortened."""
+    name = re.search(r"[A-Za-z]{3,}", found)[0]
+    short = len(name) == 3
+    names = [x[:3] if short else x for x in _MONTHS]
+    day, year = (x for x in re.findall(r"\d+", found))
+    try:
+        known = date(int(year), [x.lower() for x in names].index(name.lower()) + 1, int(day))
+    except ValueError:
+        return None
+    x = known.toordinal() - _FIRST
+    if not 0 <= x < _DAYS:
+        return None
+    case = str.upper if name.isupper() else str.lower if name.islower() else str.title
+    while True:
+        x = permuted(x, _DAYS, key, f"date:named:{short}:{len(name)}:{len(day)}")
+        d = date.fromordinal(_FIRST + x)
+        new = str(d.day).zfill(len(day))
+        if len(names[d.month - 1]) == len(name) and len(new) == len(day):
+            parts = {name: case(names[d.month - 1]), year: str(d.year)}
+            return re.sub(r"[A-Za-z]{3,}|\d{4}|\d{1,2}", lambda m: parts.get(m[0], new), found)
+
+
 KINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes], str | None]], ...] = (
     ("secret", re.compile(r"(?i:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?()([A-Za-z0-9_\-]{8,})"), _secret),
     ("email", re.compile(r"(?<![\w.+%-])()([A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"), _email),
     ("iban", re.compile(r"(?<!\w)()([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"), _iban),
     ("ip", re.compile(r"(?<![\d.])()((?:\d{1,3}\.){3}\d{1,3})(?!\.?\d)"), _ip),
     ("date", re.compile(r"(?<![\d./-])()(\d{4}([-/.])\d{1,2}\3\d{1,2}|\d{1,2}([-/.])\d{1,2}\4\d{4})(?![\d/-]|\.\d)"), _date),
+    ("date", re.compile(r"(?i)(?<![\w./-])()(\d{1,2} (?:MONTHS),? \d{4}|(?:MONTHS) \d{1,2},? \d{4})(?!\w)".replace("MONTHS", "|".join([*_MONTHS, *(x[:3] for x in _MONTHS)]))), _named_date),
     ("card", re.compile(r"(?<![\d+])()(\d(?:[ -]?\d){12,18})(?![\d])"), _card),
     ("ssn", re.compile(r"(?<![\d-])()(\d{3}-\d{2}-\d{4})(?![\d-])"), _ssn),
     ("phone", re.compile(r"(?<![\w+])()((?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\d)"), _phone),
     ("phone", re.compile(r"(?<![\w+])()(\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6})(?!\d)"), _phone),
 )
+GROUPED = frozenset(["card", "iban", "phone"])
 _SOME = re.compile(r"[0-9@]")
 
 
@@ -222,10 +251,18 @@ def replace(text: str, key: bytes) -> tuple[str, list[dict]]:
         return text, []
     found: list[tuple[int, int, str, str]] = []
     for i, (kind, pattern, _) in enumerate(KINDS):
-        for m in pattern.finditer(text):
+        at = 0
+        while m := pattern.search(text, at):
             a, b = m.span(2)
-            if all(b <= x or a >= y for x, y, _, _ in found) and (new := _new(i, m[2], key)) is not None:
-                found.append((a, b, kind, new))
+            at = m.start() + 1
+            while m:
+                if all(m.end(2) <= x or a >= y for x, y, _, _ in found) and (new := _new(i, m[2], key)) is not None:
+                    found.append((a, m.end(2), kind, new))
+                    at = max(at, m.end())
+                    break
+                # The last border between groups before the end of this match; other kinds have no groups to leave out.
+                b = max(text.rfind(" ", a, b), text.rfind("-", a, b)) if kind in GROUPED else -1
+                m = pattern.match(text, m.start(), b) if b > a else None
     found.sort()
     parts, at = [], 0
     for a, b, _, new in found:
