@@ -4,19 +4,24 @@ Values are found by pattern and validated (check digits, ranges of numbers, cale
 Feistel network over all values of its own format: a card number becomes another card number with a right check digit, a date
 another date written alike. A permutation depends on key and format only, so equal values get equal pseudonyms in every
 document, however they are spaced, and different values different ones. Permutations over sizes that are no power of two walk
-on until they are inside. Lengths in characters never change.
+on until they are inside. Lengths in characters never change. Dates stay within their part of a month and of a year (days to 9,
+to 12, from 13; months to 9, from 10), so that one date has one pseudonym in all numeric formats, padded or not, and with short
+month names; long names keep their length and are linked among themselves. Letters and digits of emails, secrets and IBANs are
+permuted in stretches of at most CHUNK. Phone numbers with a plus sign keep their country code, known by its first digits.
 
 Kinds: email (local part), iban, ip, card, ssn, phone, date, and secret (values of password, token, key assignments).
 Where a match isn't valid, shorter ones that end between its groups are tried, then later starts; what is valid nowhere is left
-alone. Dates are numbers, or a day, an English month name (or its first three letters) and a year.
+alone. Dates are numbers, or a day, an English month name (or its first three letters) and a year. Digits are ASCII ones. What
+follows a word for a version or section is no address.
 
 Nulls and odd rows: a null text stays null with no finds. Every row is handled by itself: null ids, ties, repeated rows
-and very long texts need nothing special. Extra columns pass through `pseudonymise`; ones named n_found or found give way.
+and very long texts need nothing special (time grows with their length). Extra columns pass through `pseudonymise`; ones named n_found or found give way.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
@@ -31,6 +36,7 @@ from tidebar.llm.common import table
 #: For tests and examples only: whoever has the key can undo the pseudonyms.
 EXAMPLE_KEY = b"tidebar example key"
 ROUNDS = 8
+CHUNK = 64
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FIRST, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
 
@@ -40,14 +46,16 @@ def permuted(x: int, size: int, key: bytes, kind: str, inverse: bool = False) ->
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, width = (1 << half) - 1, (half + 7) // 8
     salt = f"{kind}:{size}".encode()
-    order = range(ROUNDS)[::-1] if inverse else range(ROUNDS)
+
+    def mixed(i: int, value: int) -> int:
+        told = salt + bytes([i]) + value.to_bytes(width, "big")
+        made = b"".join(blake2b(told + bytes([j]), key=key[:64], digest_size=min(64, width - 64 * j)).digest() for j in range((width + 63) // 64))
+        return int.from_bytes(made, "big") & mask
+
     while True:
         a, b = x >> half, x & mask
-        for i in order:
-            if inverse:
-                a, b = b ^ (int.from_bytes(blake2b(salt + bytes([i]) + a.to_bytes(width, "big"), key=key[:64], digest_size=width).digest(), "big") & mask), a
-            else:
-                a, b = b, a ^ (int.from_bytes(blake2b(salt + bytes([i]) + b.to_bytes(width, "big"), key=key[:64], digest_size=width).digest(), "big") & mask)
+        for i in range(ROUNDS)[:: -1 if inverse else 1]:
+            a, b = (b ^ mixed(i, a), a) if inverse else (b, a ^ mixed(i, b))
         x = a << half | b
         if x < size:
             return x
@@ -87,6 +95,10 @@ def _card(found: str, key: bytes) -> str | None:
 
 def _by_class(value: str, key: bytes, kind: str) -> str:
     """Permutes letters and digits, each within its own class and case; other characters stay."""
+    return "".join(_chunk(value[i : i + CHUNK], key, f"{kind}:{i}" if i else kind) for i in range(0, len(value), CHUNK))
+
+
+def _chunk(value: str, key: bytes, kind: str) -> str:
     sets = [next((s for s in (_DIGITS, _LOWER, _UPPER) if c in s), None) for c in value]
     x, size = 0, 1
     for c, s in zip(value, sets, strict=True):
@@ -110,7 +122,7 @@ def _email(found: str, key: bytes) -> str | None:
 
 
 def _secret(found: str, key: bytes) -> str | None:
-    return _by_class(found, key, "secret") if re.search(r"\d", found) else None
+    return _by_class(found, key, "secret") if re.search("[0-9]", found) else None
 
 
 def _iban_digits(country: str, rest: str) -> str:
@@ -153,49 +165,59 @@ def _ssn(found: str, key: bytes) -> str | None:
     return _refill(found, _walk(n, key, "ssn", _valid_ssn)) if _valid_ssn(n) else None
 
 
-def _valid_phone(n: str) -> bool:
-    return n[0] not in "01" and n[3] not in "01"
-
-
 def _phone(found: str, key: bytes) -> str | None:
     n = _digits(found)
-    lead = len(n) - 10 if not found.startswith("+") or n.startswith("1") and len(n) == 11 else -1
+    plus = found.startswith("+")
+    lead = len(n) - 10 if not plus or n.startswith("1") else -1
     if lead in (0, 1):
-        own = n[lead:]
-        return _refill(found, n[:lead] + _walk(own, key, "phone", _valid_phone)) if _valid_phone(own) and n[:lead] in ("", "1") else None
-    if not found.startswith("+") or not 8 <= len(n) <= 15 or n[0] == "0":
+        # Area codes that aren't given out (from 0 or 1) count only where the plus sign says that it is a number; they stay among themselves.
+        own, odd = n[lead:], n[lead] in "01"
+        if odd and not plus or own[3] in "01" or n[:lead] not in ("", "1"):
+            return None
+        return _refill(found, n[:lead] + _walk(own, key, "phone", lambda x: (x[0] in "01") == odd and x[3] not in "01"))
+    if not plus or not 8 <= len(n) <= 15 or n[0] in "01":
         return None
-    keep = len(re.match(r"\+(\d{1,3})", found)[1]) if re.match(r"\+\d{1,3}\D", found) else 2
+    keep = 1 if n[0] == "7" else 2 if n[:2] in TWO_DIGIT_CODES else 3
     return _refill(found, n[:keep] + _walk(n[keep:], key, "phone:" + n[:keep], lambda x: True))
 
 
+def _part(d: date) -> tuple[int, int]:
+    """Part of the month and of the year; a date's pseudonym stays in both."""
+    return (d.day > 9) + (d.day > 12), int(d.month > 9)
+
+
+@lru_cache
+def _days(part: tuple[int, int], months: tuple[int, ...] = ()) -> list[date]:
+    """The dates of a part, or of some months."""
+    every = map(date.fromordinal, range(_FIRST, _FIRST + _DAYS))
+    return [d for d in every if _part(d) == part and (not months or d.month in months)]
+
+
+def _other_day(d: date, key: bytes, months: tuple[int, ...] = ()) -> date | None:
+    if not 0 <= d.toordinal() - _FIRST < _DAYS:
+        return None
+    days = _days(_part(d), months)
+    kind = "date:" + ":".join(map(str, (*_part(d), *months)))
+    return days[permuted(bisect_left(days, d), len(days), key, kind)]
+
+
 def _date(found: str, key: bytes) -> str | None:
     """Year first, or day and month first; what could be either is read month first with slashes, else day first."""
     parts = re.split(r"[-/.]", found)
-    year_first = len(parts[0]) == 4
-
-    def read(parts: list[str]) -> tuple[date, str] | None:
-        try:
-            a, b, c = map(int, parts)
-            if year_first:
-                return date(a, b, c), "ymd"
-            day_first = a > 12 or "/" not in found and b <= 12
-            return (date(c, b, a), "dmy") if day_first else (date(c, a, b), "mdy")
-        except ValueError:
-            return None
-
-    known = read(parts)
-    if not known or not 0 <= known[0].toordinal() - _FIRST < _DAYS:
+    a, b, c = map(int, parts)
+    if len(parts[0]) == 4:
+        order = "ymd"
+    else:
+        order = "dmy" if a > 12 or "/" not in found and b <= 12 else "mdy"
+    at = dict(zip(order, (a, b, c), strict=True))
+    try:
+        new = _other_day(date(at["y"], at["m"], at["d"]), key)
+    except ValueError:
         return None
-    x = known[0].toordinal() - _FIRST
-    kind = f"date:{known[1]}:{''.join(str(len(p)) for p in parts)}:{'/' in found}"
-    while True:
-        x = permuted(x, _DAYS, key, kind)
-        d = date.fromordinal(_FIRST + x)
-        new = [str({"y": d.year, "m": d.month, "d": d.day}[c]).zfill(len(p)) for c, p in zip(known[1], parts, strict=True)]
-        if [len(p) for p in new] == [len(p) for p in parts] and read(new) == (d, known[1]):
-            marks = iter(re.findall(r"[-/.]", found))
-            return new[0] + next(marks) + new[1] + next(marks) + new[2]
+    if new is None:
+        return None
+    marks = iter([*re.findall(r"[-/.]", found), ""])
+    return "".join(str({"y": new.year, "m": new.month, "d": new.day}[k]).zfill(len(p)) + next(marks) for k, p in zip(order, parts, strict=True))
 
 
 _MONTHS = "January February March April May June July August September October November December".split()
@@ -204,37 +226,35 @@ _MONTHS = "January February March April May June July August September October N
 def _named_date(found: str, key: bytes) -> str | None:
     """Another date with a month name as long as its own, in the same case; May counts as shortened."""
     name = re.search(r"[A-Za-z]{3,}", found)[0]
-    short = len(name) == 3
-    names = [x[:3] if short else x for x in _MONTHS]
-    day, year = (x for x in re.findall(r"\d+", found))
+    names = [x[:3] if len(name) == 3 else x for x in _MONTHS]
+    day, year = (x for x in re.findall(r"[0-9]+", found))
+    same = tuple(i + 1 for i, x in enumerate(names) if len(x) == len(name)) if len(name) > 3 else ()
     try:
-        known = date(int(year), [x.lower() for x in names].index(name.lower()) + 1, int(day))
+        d = _other_day(date(int(year), [x.lower() for x in names].index(name.lower()) + 1, int(day)), key, same)
     except ValueError:
         return None
-    x = known.toordinal() - _FIRST
-    if not 0 <= x < _DAYS:
+    if d is None:
         return None
     case = str.upper if name.isupper() else str.lower if name.islower() else str.title
-    while True:
-        x = permuted(x, _DAYS, key, f"date:named:{short}:{len(name)}:{len(day)}")
-        d = date.fromordinal(_FIRST + x)
-        new = str(d.day).zfill(len(day))
-        if len(names[d.month - 1]) == len(name) and len(new) == len(day):
-            parts = {name: case(names[d.month - 1]), year: str(d.year)}
-            return re.sub(r"[A-Za-z]{3,}|\d{4}|\d{1,2}", lambda m: parts.get(m[0], new), found)
+    parts = {name: case(names[d.month - 1]), year: str(d.year)}
+    return re.sub(r"[A-Za-z]{3,}|[0-9]{4}|[0-9]{1,2}", lambda m: parts.get(m[0], str(d.day).zfill(len(day))), found)
 
 
+# The country codes of two digits; of the others 1 and 7 have one, the rest three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: What stands before a number of a version or section, not before an address.
+_NUMBERED = re.compile(r"(?i)\b(?:version|ver|release|build|firmware|section|chapter|clause|v|rev)[.:]?\s*$")
 KINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes], str | None]], ...] = (
     ("secret", re.compile(r"(?i:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?()([A-Za-z0-9_\-]{8,})"), _secret),
     ("email", re.compile(r"(?<![\w.+%-])()([A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"), _email),
-    ("iban", re.compile(r"(?<!\w)()([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"), _iban),
-    ("ip", re.compile(r"(?<![\d.])()((?:\d{1,3}\.){3}\d{1,3})(?!\.?\d)"), _ip),
-    ("date", re.compile(r"(?<![\d./-])()(\d{4}([-/.])\d{1,2}\3\d{1,2}|\d{1,2}([-/.])\d{1,2}\4\d{4})(?![\d/-]|\.\d)"), _date),
-    ("date", re.compile(r"(?i)(?<![\w./-])()(\d{1,2} (?:MONTHS),? \d{4}|(?:MONTHS) \d{1,2},? \d{4})(?!\w)".replace("MONTHS", "|".join([*_MONTHS, *(x[:3] for x in _MONTHS)]))), _named_date),
-    ("card", re.compile(r"(?<![\d+])()(\d(?:[ -]?\d){12,18})(?![\d])"), _card),
-    ("ssn", re.compile(r"(?<![\d-])()(\d{3}-\d{2}-\d{4})(?![\d-])"), _ssn),
-    ("phone", re.compile(r"(?<![\w+])()((?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\d)"), _phone),
-    ("phone", re.compile(r"(?<![\w+])()(\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6})(?!\d)"), _phone),
+    ("iban", re.compile(r"(?<!\w)()([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"), _iban),
+    ("ip", re.compile(r"(?<![\w.])()((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?!\.?[0-9])"), _ip),
+    ("date", re.compile(r"(?<![0-9./-])()([0-9]{4}([-/.])[0-9]{1,2}\3[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\4[0-9]{4})(?![0-9/-]|\.[0-9])"), _date),
+    ("date", re.compile(r"(?i)(?<![\w./-])()([0-9]{1,2} (?:MONTHS),? [0-9]{4}|(?:MONTHS) [0-9]{1,2},? [0-9]{4})(?!\w)".replace("MONTHS", "|".join([*_MONTHS, *(x[:3] for x in _MONTHS)]))), _named_date),
+    ("card", re.compile(r"(?<![0-9+])()([0-9](?:[ -]?[0-9]){12,18})(?![0-9])"), _card),
+    ("ssn", re.compile(r"(?<![0-9-])()([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"), _ssn),
+    ("phone", re.compile(r"(?<![\w+])()((?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])"), _phone),
+    ("phone", re.compile(r"(?<![\w+])()(\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6})(?![0-9])"), _phone),
 )
 GROUPED = frozenset(["card", "iban", "phone"])
 _SOME = re.compile(r"[0-9@]")
@@ -249,21 +269,25 @@ def replace(text: str, key: bytes) -> tuple[str, list[dict]]:
     """The text with pseudonyms, and kind and span of each; spans hold in either text."""
     if not _SOME.search(text):
         return text, []
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # in order, and none over another
     for i, (kind, pattern, _) in enumerate(KINDS):
         at = 0
         while m := pattern.search(text, at):
             a, b = m.span(2)
             at = m.start() + 1
+            if kind == "ip" and _NUMBERED.search(text, max(0, a - 12), a):
+                continue
+            here = bisect_left(found, (a,))
+            free = here == 0 or found[here - 1][1] <= a
+            to = found[here][0] if here < len(found) else len(text)
             while m:
-                if all(m.end(2) <= x or a >= y for x, y, _, _ in found) and (new := _new(i, m[2], key)) is not None:
-                    found.append((a, m.end(2), kind, new))
+                if free and m.end(2) <= to and (new := _new(i, m[2], key)) is not None:
+                    insort(found, (a, m.end(2), kind, new))
                     at = max(at, m.end())
                     break
                 # The last border between groups before the end of this match; other kinds have no groups to leave out.
                 b = max(text.rfind(" ", a, b), text.rfind("-", a, b)) if kind in GROUPED else -1
                 m = pattern.match(text, m.start(), b) if b > a else None
-    found.sort()
     parts, at = [], 0
     for a, b, _, new in found:
         parts += [text[at:a], new]
