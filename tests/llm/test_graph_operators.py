@@ -80,6 +80,17 @@ def test_components_of_a_crowd(spark, crowd):
     assert neardup.components(df.limit(0)).count() == 0 and neardup.one_of_each(df.limit(0)).count() == 0
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    """Near copies with null ids go, and one row stays of each component whatever ids are shared."""
+    text = lambda i, *new: " ".join([*new, *(f"t{i}x{j}" for j in range(len(new), 100))])
+    rows = [(3, text(1)), (None, text(1, "n")), (None, text(2)), (None, text(2, "n")), (5, text(1, "m")), (5, text(4)), (6, text(5)), (6, text(5, "n")), (None, None), (None, None), (7, "A b c d"), (7, "a b c d")]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, tie string")
+    got = neardup.one_of_each(df).collect()
+    ids = sorted((r.doc_id or 0) for r in got)
+    assert ids == [0, 0, 3, 5, 6, 7] and {r.text for r in got if r.doc_id in (3, 5)} == {text(1), text(4)}
+    assert sum(r.text is None for r in got) == 1 and neardup.one_of_each(df).columns == df.columns
+
+
 def test_copies_without_their_original(spark):
     """1000 copies with four words replaced in each: whom a hub doesn't reach, others do; against all pairs."""
     rng = np.random.default_rng(1)

@@ -6,6 +6,7 @@ import pytest
 from tests.llm.test_graph_operators import components_of
 from tests.llm.test_text_operators import base_counts, own_ranks
 from tidebar.llm import quality
+from tidebar.llm.common import cut
 
 
 @pytest.fixture(scope="module")
@@ -13,7 +14,7 @@ def stages(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in pipeline.STAGES:
-        docs = pipeline.cut(stage(spark, docs, sf_dir), name)
+        docs = cut(stage(spark, docs, sf_dir), name)
         out.append((name, docs.columns, docs.collect()))
     return out
 

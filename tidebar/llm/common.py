@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: With this Spark deletes a query's shuffle files as soon as the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of the tables that cut() has written and nothing has emptied yet; the second by the DataFrame that reads them.
+_WRITTEN: set[str] = set()
+_PATH: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +29,12 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Where that is unset, a local session gets a folder of its
+    own (tests); a cluster has none that every executor could read."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not (spark.conf.get("spark.master", "") or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidebar-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -38,22 +47,34 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, so that a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table that cut() has written, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/tidebar-" in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing can read any more: it does so once the driver has collected its garbage, which
-    between two steps of a long loop may not happen by itself."""
-    gc.collect()
-    spark._jvm.System.gc()
+    path, before = new_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.add(path)
+    _PATH[out] = path
+    return out
+
+
+def _empty(spark: SparkSession, path: str) -> None:
+    spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
+    _WRITTEN.discard(path)
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Empties tables that cut() has written, once nothing reads them any more; other DataFrames stay."""
+    for df in tables:
+        if df is not None and _PATH.get(df) in _WRITTEN:
+            _empty(df.sparkSession, _PATH[df])
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() gives, cut; the tables that it has cut on the way are emptied."""
+    before = set(_WRITTEN)
+    out = cut(make(), name)
+    for path in _WRITTEN - before - {_PATH[out]}:
+        _empty(out.sparkSession, path)
+    return out

@@ -9,12 +9,16 @@ to HUBS times. Confirmed links are merged to components. Buckets that then hold
 are compared in full: in blocks of members whose intersections are counted by matrix products, so that no row is made for a
 pair; only members of different components count, and buckets of the same members are one. New links merge the components.
 
+Hot groups: a bucket's rows and its hub meet in parts of about SPLIT rows, a hub's set goes once to each part of about BLOCK of
+its partners (not to each pair), and joins by a component's name are left joins that adaptive execution splits.
+
 So components are those of all pairs that share a bucket. Bins per band follow from the similarity: as many as leave a chance
 of at most MISS that two documents just at it share no bucket (0.85: 32 bands of 8 bins, 4e-5; 0.8: 42 of 6, 3e-6).
 
 Nulls and odd rows: a text without words (or null) is linked with nothing and is a component of its own. Repeated rows and
 texts are one node. A component's id is its smallest document id; null ids count only where there is no other. Extra columns
-play no part in `components`; `one_of_each` keeps them.
+play no part in `components`; `one_of_each` keeps them, and one row of each component: of its smallest id, and where rows share
+that id, of its smallest node, then of the smallest hash of the text.
 """
 
 from __future__ import annotations
@@ -28,16 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidebar.llm.common import cut, forget, sweep, table
+from tidebar.llm.common import cut, forget, settled, table
 
 PERCENT = 85
 SHINGLE = 3
 BIN_BITS = 8
 MISS = 5e-5
-HUBS = 4
+HUBS = 2
 #: Size of a block of members: their shingles, and _EACH for each member.
 BLOCK = 1 << 18
 _EACH = 256
+#: Rows of a bucket that meet its hub in one part.
+SPLIT = 1024
 _SLICE = 2048
 _BINS = 1 << BIN_BITS
 _LAST = (1 << 63) - 1
@@ -107,15 +113,15 @@ def _node(found: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the set) and bands of every document; null and empty for an empty set."""
+    """doc_id, tie (a hash of the text), n_shingles, node (a hash of the set) and bands of every document; null and empty for an empty set."""
 
     def run(batches):
         for b in batches:
             sets = [shingles(x.as_py(), width) for x in b.column("text")]
             bands = pa.array([band_keys(x, percent) if len(x) else [] for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_node(x) if len(x) else None for x in sets], pa.binary()), bands], names=["doc_id", "n_shingles", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_node(x) if len(x) else None for x in sets], pa.binary()), bands], names=["doc_id", "tie", "n_shingles", "node", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, n_shingles long, node binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, ends: DataFrame, width: int) -> DataFrame:
@@ -131,27 +137,31 @@ def _sets(docs: DataFrame, ends: DataFrame, width: int) -> DataFrame:
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Those of the pairs (a, b, a_id, b_id) whose full sets are similar enough. Only documents in a pair are read again."""
+    """Those of the pairs (hub, node, h_id, id, n) whose full sets are similar enough. Only documents in a pair are read again."""
     # Written first: where few documents are left, Spark sees the small table and needn't move the texts.
     pairs = cut(pairs, "pairs")
-    ends = cut(pairs.select(F.explode(F.array("a_id", "b_id")).alias("__id")).distinct(), "ends")
-
-    def similar(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("a_set"), b.column("b_set"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+    ends = cut(pairs.select(F.explode(F.array("h_id", "id")).alias("__id")).distinct(), "ends")
+    own = cut(_sets(docs, ends, width), "sets")
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.sum(F.col("n") + _EACH) / BLOCK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    partners = pairs.join(sizes, "hub").select("hub", "node", part).join(own, "node")
+    hubs = sizes.join(own, F.col("hub") == F.col("node")).select(F.col("hub").alias("h"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("set").alias("h_set"))
+
+    def similar(key, hub, found):
+        keep = []
+        if hub.num_rows:
+            x = np.frombuffer(hub.column("h_set")[0].as_buffer(), np.uint64)
+            for s in found.column("set"):
+                y = np.frombuffer(s.as_buffer(), np.uint64)
+                at = np.searchsorted(x, y)
+                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        kept = found.column("node").filter(pa.array(keep, pa.bool_())) if keep else pa.chunked_array([], pa.binary())
+        return pa.table({"hub": pa.array([key[0].as_py()] * len(kept), pa.binary()), "node": kept.cast(pa.binary())})
 
-    own = cut(_sets(docs, ends, width), "sets")
-    with_a = pairs.select("a", "b").join(own.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a")
-    both = with_a.join(own.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b").select("a", "b", "a_set", "b_set")
-    out = cut(both.mapInArrow(similar, "a binary, b binary").distinct(), "links")
-    for done in (own, ends, pairs):
-        forget(done)
-    sweep(docs.sparkSession)
+    out = hubs.groupBy("h", "part").cogroup(partners.groupBy("hub", "part")).applyInArrow(similar, "hub binary, node binary")
+    out = cut(out.distinct(), "links")
+    forget(own)
     return out
 
 
@@ -192,8 +202,7 @@ def _joined(docs: DataFrame, live: DataFrame, reach: DataFrame, percent: int, wi
     many = F.expr(f"if(w <= {BLOCK}, 0L, ceil(most.w / {BLOCK}))")
     whole = cut(whole.select(F.col("key").alias("__k"), F.col("most.part").alias("most"), few.alias("few"), many.alias("many")), "open")
     if not whole.limit(1).count():
-        for done in (own, whole):
-            forget(done)
+        forget(own)
         return None
     block = F.expr("if(many > 0 and part = most, few + pmod(xxhash64(node), many), pmod(xxhash64(node), few))")
     rows = own.join(whole, F.col("key") == F.col("__k")).withColumn("block", block)
@@ -228,9 +237,7 @@ def _joined(docs: DataFrame, live: DataFrame, reach: DataFrame, percent: int, wi
         return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
     out = cut(rows.join(sets, F.col("node") == F.col("__n")).select("key", "i", "j", "block", "part", "set").groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary").distinct(), "joined")
-    for done in (own, whole, rows, ends, sets):
-        forget(done)
-    sweep(docs.sparkSession)
+    forget(own, rows, sets)
     return out
 
 
@@ -244,17 +251,18 @@ def merged(links: DataFrame, names: DataFrame) -> DataFrame:
         far = nearer.select(F.col("node").alias("__n"), F.col("label").alias("__l"))
         jumped = cut(nearer.join(far, F.col("label")["node"] == F.col("__n"), "left").select("node", "old", F.least("label", F.coalesce("__l", "label")).alias("label")), "labels")
         changed = jumped.where("old != label").limit(1).count()
-        forget(nearer)
-        if labels is not names:
-            forget(labels)
         labels = jumped.select("node", "label")
         if not changed:
-            forget(ways)
             return labels
 
 
-def components(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, hubs: int = HUBS) -> DataFrame:
-    """doc_id, n_shingles, node and component_id of every document; links need 100 * intersection >= percent * union."""
+def _salted(of: DataFrame) -> DataFrame:
+    """A row for each part of a bucket; of has the number of its parts."""
+    return of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+
+def _labelled(docs: DataFrame, percent: int, width: int, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all documents, and node and label (id, node) of every node."""
     found = cut(sketches(docs, width, percent), "sketches")
     nodes = cut(found.where("node is not null").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(_LAST)).alias("id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")), "nodes")
     # Smaller sets can't be so similar without being equal.
@@ -262,37 +270,33 @@ def components(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, hu
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     first = cut(rows.join(shared, "key"), "buckets")
     central = first.groupBy(F.col("node").alias("__n")).agg(F.sum("size").alias("met"))
-    live = cut(first.join(central, F.col("node") == F.col("__n")).select("key", "node", "id", "n", "met"), "buckets")
+    parts = F.ceil(F.col("size") / SPLIT).cast("int").alias("parts")
+    live = first.join(central, F.col("node") == F.col("__n")).select("key", "node", "id", "n", "met", parts)
+    live = cut(live.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "buckets")
     forget(first)
-    sweep(docs.sparkSession)
     place = F.struct("met", F.xxhash64("node").alias("tie"), "node", "id", "n")
     # Rows that no hub of their bucket has been linked with; at first all.
     alone, last, found_links = live, None, []
     for _ in range(hubs):
         # The next hub of each bucket with such rows: the most central member after the last one.
-        free = live.join(alone.select("key").distinct(), "key", "left_semi").withColumn("place", place)
+        free = live.join(_salted(alone.select("key", "parts").distinct()).drop("parts"), ["key", "salt"], "left_semi").withColumn("place", place)
         if last is not None:
-            free = free.join(last, "key").where("place < hub").drop("hub")
-        hub = cut(free.groupBy("key").agg(F.max("place").alias("hub")), "hubs")
-        star = cut(alone.select("key", "node", "id", "n").join(hub.select("key", F.col("hub.node").alias("h_node"), F.col("hub.id").alias("h_id"), F.col("hub.n").alias("h_n")), "key").where("node != h_node"), "star")
-        low, high = F.least("node", "h_node"), F.greatest("node", "h_node")
-        ends = F.expr("if(node < h_node, struct(id as a_id, h_id as b_id), struct(h_id as a_id, id as b_id))")
-        near = star.where(f"100 * least(n, h_n) >= {percent} * greatest(n, h_n)").select(low.alias("a"), high.alias("b"), ends.alias("e")).select("a", "b", "e.*").distinct()
+            free = free.join(_salted(last).drop("parts"), ["key", "salt"]).where("place < hub").drop("hub")
+        hub = cut(free.groupBy("key", "parts").agg(F.max("place").alias("hub")), "hubs")
+        to = _salted(hub).select("key", "salt", F.col("hub.node").alias("hub"), F.col("hub.id").alias("h_id"), F.col("hub.n").alias("h_n"))
+        star = cut(alone.select("key", "salt", "parts", "node", "id", "n").join(to, ["key", "salt"]).where("node != hub"), "star")
+        near = star.where(f"100 * least(n, h_n) >= {percent} * greatest(n, h_n)").select("hub", "node", "h_id", "id", "n").distinct()
         links = _confirmed(docs, near, percent, width)
         found_links.append(links)
-        still = cut(star.join(links, (low == F.col("a")) & (high == F.col("b")), "left_anti").select("key", "node", "id", "n"), "alone")
-        for done in (star, *([alone] if alone is not live else []), *([last] if last is not None else [])):
-            forget(done)
+        still = cut(star.join(links, ["hub", "node"], "left_anti").select("key", "salt", "parts", "node", "id", "n"), "alone")
+        forget(star)
         alone, last = still, hub
         if not alone.limit(1).count():
             break
-    for done in (alone, last):
-        if done is not live:
-            forget(done)
-    links = reduce(DataFrame.unionByName, found_links)
+    links = reduce(DataFrame.unionByName, found_links).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     ends = links.select(F.explode(F.array("a", "b")).alias("__n")).distinct()
-    labels = merged(links, cut(nodes.join(ends, F.col("node") == F.col("__n"), "left_semi").select("node", F.struct("id", "node").alias("label")), "names"))
     own = F.struct("id", "node")
+    labels = merged(links, cut(nodes.join(ends, F.col("node") == F.col("__n"), "left_semi").select("node", own.alias("label")), "names"))
     reach = cut(nodes.select(F.col("node").alias("__n"), own.alias("own")).join(labels, F.col("node") == F.col("__n"), "left").select(F.col("__n").alias("node"), F.coalesce("label", "own").alias("label")), "reach")
     joins = _joined(docs, live, reach, percent, width, hubs)
     forget(live)
@@ -301,23 +305,35 @@ def components(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, hu
         over = merged(joins, cut(nodes.join(ends, F.col("node") == F.col("__n"), "left_semi").select("node", own.alias("label")), "names"))
         over = over.select(F.col("node").alias("__p"), F.col("label").alias("over"))
         reach = cut(reach.join(over, F.col("label.node") == F.col("__p"), "left").select("node", F.coalesce("over", "label").alias("label")), "reach")
-    reach = reach.select("node", F.col("label.id").alias("__least"))
-    out = found.select("doc_id", "n_shingles", "node").join(reach.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
+    return found.drop("bands"), reach
+
+
+def components(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, hubs: int = HUBS) -> DataFrame:
+    """doc_id, n_shingles, node and component_id of every document; links need 100 * intersection >= percent * union."""
+    found, reach = _labelled(docs, percent, width, hubs)
+    reach = reach.select(F.col("node").alias("__n"), F.col("label.id").alias("__least"))
+    out = found.join(reach, F.col("node") == F.col("__n"), "left")
     least = F.when(F.col("__n").isNull(), F.col("doc_id")).when(F.col("__least") != _LAST, F.col("__least"))
     return out.select("doc_id", "n_shingles", "node", least.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents, of each component only one row: that of the smallest id. Null ids stay if nothing else is in reach."""
-    found = components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = cut(found, "kept")
-    sweep(docs.sparkSession)
-    out = docs.join(kept.where("__id is not null"), F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.where("doc_id is null"))
-    # Rows that repeat an id are told apart by their text; equal ones leave one. Without such rows, texts needn't move again.
-    if not docs.groupBy("doc_id", F.xxhash64("text").alias("__t")).count().where("count > 1").limit(1).count():
+def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, hubs: int = HUBS) -> DataFrame:
+    """The documents, of each component only one row; all rows without words, but for equal ones."""
+
+    def choose() -> DataFrame:
+        found, reach = _labelled(docs, percent, width, hubs)
+        first = reach.where("node = label.node").select(F.col("node").alias("__n"), F.col("label.id").alias("__least"))
+        chosen = found.join(first, (F.col("node") == F.col("__n")) & (F.coalesce("doc_id", F.lit(_LAST)) == F.col("__least")))
+        chosen = chosen.groupBy("doc_id", "node").agg(F.min("tie").alias("tie"))
+        return chosen.select("doc_id", "tie").unionByName(found.where("node is null").select("doc_id", "tie").distinct())
+
+    kept = settled(choose, "kept").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"))
+    text = F.xxhash64("text")
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (text == F.col("__tie")), "left_semi")
+    # Equal rows leave one. Without such rows, texts needn't move again.
+    if not docs.groupBy("doc_id", text.alias("__t")).count().where("count > 1").limit(1).count():
         return out
-    first = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    return out.withColumn("__i", F.row_number().over(first)).where("__i = 1").drop("__i")
+    return out.withColumn("__i", F.row_number().over(W.partitionBy("doc_id", text).orderBy(F.lit(1)))).where("__i = 1").drop("__i")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
