@@ -1,16 +1,21 @@
 """Approximate nearest neighbours by inner product: stable projections, a kd-tree, and a chi-square stopping test.
 
-Inner products become distances: each vector gets one more component that brings it to the length of the longest, queries get
-0 there. Vectors are projected to a few dimensions by a fixed Gaussian (2-stable) matrix; the square of a projected distance,
-divided by that of the true one, is chi-square distributed with as many degrees of freedom.
+Vectors are projected to a few dimensions by a fixed Gaussian (2-stable) matrix; the square of a projected distance, divided by
+that of the true one, is chi-square distributed with as many degrees of freedom. A row that beats an inner product is nearer to
+the query than its own and the query's length and that product allow, so rows of any length share the test.
 
-A kd-tree over the projections of a bounded sample (at most SAMPLE rows) cuts space into cells of about CELL rows; every row is
-put into its cell. A query first searches its own cell. Then it goes to every other cell that the stopping test doesn't rule
-out: one nearer, in the projection, than where a neighbour that beats the query's k-th best would lie with probability
-CONFIDENCE. In a cell, rows are verified on the original vectors by ascending projected distance until the test holds.
+A kd-tree over the projections of a bounded sample (at most SAMPLE rows) cuts space into cells of about CELL rows, at most one
+for 16 rows of the sample; every row is put into its cell. A query first searches its own cell. Then it goes to every other cell
+that the stopping test doesn't rule out: one nearer, in the projection, than where a neighbour that beats the query's k-th best
+would lie with probability CONFIDENCE. In a block of a cell the rows nearest in the projection are verified on the original
+vectors first; the k-th best then bounds how far out the rest is verified by the same test. Verifying is one matrix product of the queries with the rows that any of them needs. The column verified counts, for
+each query, the rows that the test has left.
 
-Cells are dealt in blocks of at most about CELL rows, and queries in blocks of at most about CELL queries, so neither a
-crowded cell nor many queries meet in one task; a crowded cell just has more blocks, none is cut short.
+Where neighbours are hardly nearer than other rows (as among random vectors in many dimensions), the test rules out few rows
+and no cells, and work grows with queries times rows; it does so more slowly the nearer neighbours are.
+
+Cells are dealt in blocks of at most about CELL rows by a row's place in the table, and queries in blocks of at most about CELL
+queries, so neither a crowded cell, a repeated id nor many queries meet in one task; a crowded cell just has more blocks.
 
 Nulls and odd rows: vectors that are null, zero, of another length than most, or hold nulls, NaN or infinities take no part, as
 queries or candidates. Ties go to the smaller id. Rows that repeat an id are candidates each; a query's own id is never its
@@ -27,13 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidebar.llm.common import cut, table
+from tidebar.llm.common import cut, forget, table
 
-DIMENSIONS = 8
-CONFIDENCE = 0.99
-SAMPLE = 20_000
+DIMENSIONS = 16
+CONFIDENCE = 0.93
+SAMPLE = 1 << 15
 CELL = 4096
-MAX_CELLS = 1024
 SEED = 11
 TOP = 20
 
@@ -52,19 +56,9 @@ def chi_square_at(p: float, dof: int = DIMENSIONS) -> float:
     return high
 
 
-class Projection:
-    """The fixed matrix, with the row for the added component last."""
-
-    def __init__(self, size: int, longest: float, dimensions: int = DIMENSIONS, seed: int = SEED):
-        self.matrix = np.random.Generator(np.random.PCG64(seed)).normal(size=(size + 1, dimensions))
-        self.longest = longest
-
-    def of(self, x: np.ndarray, queries: bool) -> np.ndarray:
-        out = x @ self.matrix[:-1]
-        if queries:
-            return out
-        extra = np.sqrt(np.maximum(self.longest**2 - (x * x).sum(axis=1), 0))
-        return out + extra[:, None] * self.matrix[-1]
+def projection(size: int, dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray:
+    """The fixed matrix."""
+    return np.random.Generator(np.random.PCG64(seed)).normal(size=(size, dimensions))
 
 
 class Cells:
@@ -109,71 +103,92 @@ def usable(vectors: DataFrame, size: int) -> DataFrame:
     return out.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).where("norm > 0")
 
 
-def _search(search: Projection, top: int, limit: float):
-    """Searches a block of a cell for a block of queries."""
+FOUND = "query_id long, vec_id long, score double, verified long"
+
+
+def _search(matrix: np.ndarray, top: int, limit: float, slice_: int = 256):
+    """Searches a block of a cell for a block of queries: at least one row a query, the first with the number of verified rows."""
 
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows):
             ids, x = rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy())
-            q, q_ids, best = np.stack(queries["v"].to_numpy()), queries["vec_id"].to_numpy(), queries["best"].to_numpy()
-            px, pq, length = search.of(x, False), search.of(q, True), (q * q).sum(axis=1)
-            away = (px * px).sum(axis=1) + (pq * pq).sum(axis=1)[:, None] - 2 * (pq @ px.T)
-            for i in range(len(q)):
+            px, lengths = x @ matrix, (x * x).sum(axis=1)
+            far = (px * px).sum(axis=1)
+            for a in range(0, len(queries), slice_):
+                part = queries.iloc[a : a + slice_]
+                q, q_ids, worst = np.stack(part["v"].to_numpy()), part["vec_id"].to_numpy(), part["best"].to_numpy().copy()
+                pq, length = q @ matrix, (q * q).sum(axis=1)[:, None]
+                away = far + (pq * pq).sum(axis=1)[:, None] - 2 * (pq @ px.T)
+                other = ids != q_ids[:, None]
+                first = np.argpartition(away, 4 * top, axis=1)[:, : 4 * top] if len(x) > 4 * top else np.tile(np.arange(len(x)), (len(q), 1))
                 # The stopping test: how far out could a row lie that beats the k-th best so far?
-                reach = lambda worst: limit * max(length[i] + search.longest**2 - 2 * worst, 0) * (1 + 1e-9) + 1e-9  # noqa: B023, E731
-                worst, own = best[i], np.flatnonzero(away[i] <= reach(best[i]))
-                own = own[np.argsort(away[i, own], kind="stable")]
-                scores, kept = np.empty(0), np.empty(0, np.int64)
-                for a in range(0, len(own), 256):
-                    if away[i, own[a]] > reach(worst):
-                        break
-                    part = own[a : a + 256]
-                    part = part[ids[part] != q_ids[i]]
-                    found = x[part] @ q[i]
-                    good = found >= best[i] - (abs(best[i]) * 1e-12 if best[i] > -math.inf else 0)  # nothing below the k-th best of the first search is needed
-                    scores, kept = np.concatenate((scores, found[good])), np.concatenate((kept, ids[part][good]))
-                    first = np.lexsort((kept, -scores))[:top]
-                    scores, kept = scores[first], kept[first]
-                    if len(scores) == top:
-                        worst = max(worst, scores[-1])
-                out.append(pd.DataFrame({"query_id": np.full(len(kept), q_ids[i]), "vec_id": kept, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                reach = lambda: limit * np.maximum(length + lengths - 2 * worst[:, None], 0) * (1 + 1e-9) + 1e-9  # noqa: B023, E731
+                nearest_ = np.take_along_axis(other & (away <= reach()), first, 1)
+                scores = np.where(nearest_, np.einsum("qd,qkd->qk", q, x[first]), -math.inf)
+                if scores.shape[1] >= top:
+                    worst = np.maximum(worst, np.partition(scores, -top, axis=1)[:, -top])
+                near = other & (away <= reach())
+                np.put_along_axis(near, first, nearest_, 1)
+                needed = np.flatnonzero(near.any(axis=0))
+                scores = np.where(near[:, needed], q @ x[needed].T, -math.inf)
+                slack = 1e-12 * (1 + np.sqrt(length[:, 0] * lengths.max()))
+                least = np.partition(scores, -top, axis=1)[:, -top] if len(needed) >= top else np.full(len(q), -math.inf)
+                i, j = np.nonzero((scores >= (np.maximum(least, worst) - slack)[:, None]) & near[:, needed])
+                # Summed alike for every pair, so that equal vectors tie exactly wherever they are.
+                exact, found = (q[i] * x[needed[j]]).sum(axis=1), ids[needed[j]]
+                order = np.lexsort((found, -exact, i))
+                i, exact, found = i[order], exact[order], found[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, exact, found, place = (y[place < top] for y in (i, exact, found, place))
+                verified = np.where(place == 0, near.sum(axis=1)[i], 0)
+                none = np.setdiff1d(np.arange(len(q)), i)
+                out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": pd.array(found, "Int64"), "score": exact, "verified": verified}))
+                out.append(pd.DataFrame({"query_id": q_ids[none], "vec_id": pd.array([None] * len(none), "Int64"), "score": np.full(len(none), -math.inf), "verified": near.sum(axis=1)[none]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="Int64"), "score": pd.Series(dtype="float64"), "verified": pd.Series(dtype="int64")})
 
     return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, confidence: float = CONFIDENCE, cell: int = CELL) -> DataFrame:
-    """query_id, rank, vec_id and score of the top nearest rows of (vec_id, embedding) for each query (vec_id, embedding)."""
+    """query_id, rank, vec_id, score and verified of the top nearest rows of (vec_id, embedding) for each query (vec_id, embedding)."""
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long")
     common = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     if not common or common[0]["size"] < 1:
         return empty
     size = common[0]["size"]
     rows, asked = usable(vectors, size), usable(queries, size)
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm")).first()
+    total = rows.agg(F.count(F.lit(1)).alias("n")).first()
     if not total.n:
         return empty
-    search = Projection(size, math.sqrt(total.norm))
-    levels = min(max(0, math.ceil(math.log2(total.n / cell))), int(math.log2(MAX_CELLS)))
-    sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).select("v").collect()
-    cells = Cells(search.of(np.array([r.v for r in sample]), False), levels)
-    limit = chi_square_at(confidence)
+    matrix = projection(size)
+    levels = min(max(0, math.ceil(math.log2(total.n / cell))), int(math.log2(SAMPLE // 16)))
 
-    def located(as_queries: bool):
-        def run(batches):
-            for b in batches:
-                b["cell"] = cells.of(search.of(np.stack(b["v"].to_numpy()), as_queries)) if len(b) else np.empty(0, np.int64)
-                yield b
+    def projected(batches):
+        for b in batches:
+            yield pd.DataFrame({"tie": b["tie"], "p": list(np.stack(b["v"].to_numpy()) @ matrix)}) if len(b) else pd.DataFrame({"tie": [], "p": []})
 
-        return run
+    points = rows.select(F.xxhash64("vec_id", "v").alias("tie"), "v").mapInPandas(projected, "tie long, p array<double>")
+    cells = Cells(np.array([r.p for r in points.orderBy("tie").limit(SAMPLE).collect()]), levels)
+    limit = chi_square_at(confidence)
 
-    placed = cut(rows.select("vec_id", "v").mapInPandas(located(False), "vec_id long, v array<double>, cell long"), "cells")
-    counts = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MAX_CELLS rows
+    def located(batches):
+        for b in batches:
+            b["cell"] = cells.of(np.stack(b["v"].to_numpy()) @ matrix) if len(b) else np.empty(0, np.int64)
+            yield b
+
+    placed = rows.select("vec_id", "v").mapInPandas(located, "vec_id long, v array<double>, cell long")
+    placed = cut(placed.withColumn("at", F.monotonically_increasing_id()), "cells")
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    kept = {r.cell: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest")).collect()}  # a row a cell
+    counts = {c: r.n for c, r in kept.items()}
+    longest = np.array([kept[c].longest if c in kept else 0.0 for c in range(1 << levels)])
     blocks = np.array([math.ceil(counts.get(c, 0) / cell) for c in range(1 << levels)])
     n_blocks = F.element_at(F.array(*[F.lit(int(x)) for x in blocks]), F.col("cell").cast("int") + 1)
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("at"), n_blocks).cast("int"))
+
+    sent_: list[DataFrame] = []
 
     def visits(first: bool):
         """Each query with the cells to search and their blocks."""
@@ -186,8 +201,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, confidence:
                         to = np.array([own])
                     else:
                         v2 = np.asarray(v)
-                        within = max(v2 @ v2 + search.longest**2 - 2 * best, 0)
-                        to = np.flatnonzero(cells.distances(search.of(v2[None], True)[0]) <= limit * within * (1 + 1e-9) + 1e-9)
+                        within = np.maximum(v2 @ v2 + longest - 2 * best, 0)
+                        to = np.flatnonzero(cells.distances(v2 @ matrix) <= limit * within * (1 + 1e-9) + 1e-9)
                         to = to[to != own]
                     to = to[blocks[to] > 0]
                     at = np.repeat(to, blocks[to])
@@ -199,20 +214,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, confidence:
 
     def searched(from_: DataFrame, first: bool) -> DataFrame:
         sent = cut(from_.mapInPandas(visits(first), "vec_id long, v array<double>, best double, cell long, block int"), "visits")
+        sent_.append(sent)
         # Queries of a block of rows are dealt in parts too; each part gets the rows.
         parts = sent.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("parts"))
         left = sent.join(parts, ["cell", "block"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
         right = dealt.join(parts, ["cell", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         key = ["cell", "block", "part"]
-        return left.select(*key, "vec_id", "v", "best").groupBy(*key).cogroup(right.select(*key, "vec_id", "v").groupBy(*key)).applyInPandas(_search(search, top, limit), "query_id long, vec_id long, score double")
-
-    home = asked.select("vec_id", "v").mapInPandas(located(True), "vec_id long, v array<double>, cell long").withColumn("best", F.lit(-math.inf))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = cut(searched(home, True).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top), "near")
-    best = near.where(F.col("rank") == top).select(F.col("query_id").alias("q"), F.col("score").alias("kth"))
+        return left.select(*key, "vec_id", "v", "best").groupBy(*key).cogroup(right.select(*key, "vec_id", "v").groupBy(*key)).applyInPandas(_search(matrix, top, limit), FOUND)
+
+    home = asked.select("vec_id", "v").mapInPandas(located, "vec_id long, v array<double>, cell long").withColumn("best", F.lit(-math.inf))
+    of = W.partitionBy("query_id")
+    order = of.orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
+    ranked = lambda df: df.select("*", F.row_number().over(order).alias("rank"), F.sum("verified").over(of).alias("all")).where(F.col("rank") <= top)
+    near = cut(ranked(searched(home, True)), "near")
+    best = near.where((F.col("rank") == top) & F.col("vec_id").isNotNull()).select(F.col("query_id").alias("q"), F.col("score").alias("kth"))
     again = home.drop("best").join(best, F.col("vec_id") == F.col("q"), "left").select("vec_id", "v", "cell", F.coalesce("kth", F.lit(-math.inf)).alias("best"))
-    both = near.select("query_id", "vec_id", "score").unionByName(searched(again, False))
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    both = near.select("query_id", "vec_id", "score", F.when(F.col("rank") == 1, F.col("all")).otherwise(0).alias("verified")).unionByName(searched(again, False))
+    out = cut(ranked(both).where("vec_id is not null").select("query_id", "rank", "vec_id", "score", F.col("all").alias("verified")), "nearest")
+    forget(near, placed, *sent_)
+    return out
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
