@@ -1,18 +1,19 @@
-"""URL filters: rules by host and path, and trust and distrust over the graph of hosts.
+"""URL filters: rules by host and path, and personalised PageRank of trust and distrust over the graph of hosts.
 
 A rule fits its host and all subdomains where the url's path starts with the rule's; the longest fitting rule decides. Hosts of
-urls without a rule are judged by propagation: trust is a personalised PageRank from trusted seeds along links, distrust one
-from blocked seeds against them (who links to a blocked host shares its distrust). A seed's weight is the share of its host's
-pages that rules allow or block. A host without links keeps what it has. The columns trust and distrust hold these walks.
+urls without a rule are judged by propagation from seeds: the share of a host's pages that rules allow or block.
 
-A walk's mass is split among all who link to a blocked host, so verdicts don't depend on it but on shares, which no degree
-dilutes: a host's share of distrust is its seed or, if more, DAMPING times the mean over its out-links of the shares of the
-hosts linked to; its share of trust the same over its in-links. Hosts are blocked at a share of distrust of at least THRESHOLD
-that also exceeds their share of trust.
+Distrust goes from blocked seeds against the links, trust from trusted seeds along them. Both are personalised PageRank from
+the receiving host's end: distrust is the chance that a walk from the host along its links, which at each host stops there with
+the chance of its seed and else goes on with DAMPING, ends in a blocked host; trust is the chance that the same walk against the
+links ends in a trusted one. So a value never falls below a host's own seed and doesn't shrink with the number of hosts that
+link to a blocked one, as mass that is split among them would; one threshold holds for every degree. Hosts are blocked at a
+distrust of at least THRESHOLD that also exceeds their trust.
 
 Links come from absolute href attributes in the html; links inside a host move nothing and are left out. Propagation is
-joins and sums in Spark, written to the shared folder after each step, until nothing moves by more than EPSILON; walks end after
-STEPS steps too (damping bounds what is left then by DAMPING ** STEPS).
+joins and sums in Spark, written to the shared folder after each step, until no value moves by more than EPSILON. Values only
+grow, by a factor of at most DAMPING from step to step, so what is left then is at most EPSILON * DAMPING / (1 - DAMPING). Hot
+hosts (many pages, links or linkers): sums are partial before shuffles, and adaptive execution splits the joins.
 
 Nulls and odd rows: a null url or one without :// has empty host and path, fits no rule and is allowed; null html has no links.
 Null ids, ties and repeated rows are judged one by one (each counts as a page of its host). Extra columns are left out.
@@ -23,13 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import cut, forget, table
+from tidebar.llm.common import cut, forget, settled, table
 
 # The rules and their verdicts.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
 DAMPING = 0.85
-STEPS = 20
-EPSILON = 1e-4
+EPSILON = 1e-5
 THRESHOLD = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,57 +51,30 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> t
     return rule, verdict
 
 
-def host_links(pages: DataFrame) -> DataFrame:
-    """src, dst and weight (number of links) between different hosts; pages have host and html."""
-    found = pages.select(F.col("host").alias("src"), F.explode_outer(F.regexp_extract_all("html", F.lit(r"(?i)href\s*=\s*[\"']?((?:https?:)?//[^/?#\"'\s>]+)"), F.lit(1))).alias("to"))
-    found = found.select("src", F.translate(F.regexp_extract("to", "//(.*)$", 1), _UPPER, _LOWER).alias("dst"))
-    return found.where("dst != '' and src != '' and src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+def linked_hosts(html: Column) -> Column:
+    """The hosts of all absolute links of a page."""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']?(?:https?:)?//([^/?#\"'\s>]+)"), F.lit(1))
+    return F.transform(found, lambda x: F.translate(x, _UPPER, _LOWER))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, steps: int = STEPS, epsilon: float = EPSILON) -> DataFrame:
-    """host, trust and distrust from seeds (host, trusted, blocked) and links (src, dst, weight).
-
-    Each host's value is (1 - damping) * seed + damping * what flows in, in shares of the sender's value; a host that nothing
-    leaves sends its value to itself."""
-    ways = links.select(F.lit(True).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight").unionByName(links.select(F.lit(False).alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
-    total = ways.groupBy(F.col("kind").alias("k"), F.col("a").alias("s")).agg(F.sum("weight").alias("total"))
-    ways = cut(ways.join(total, (F.col("kind") == F.col("k")) & (F.col("a") == F.col("s"))).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")), "ways")
-    hosts = seeds.select("host", "trusted", "blocked").unionByName(links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("trusted"), F.lit(0.0).alias("blocked")))
-    hosts = hosts.groupBy("host").agg(F.max("trusted").alias("trusted"), F.max("blocked").alias("blocked"))
-    start = hosts.select("host", F.explode(F.array(F.struct(F.lit(True).alias("kind"), F.col("trusted").alias("seed")), F.struct(F.lit(False).alias("kind"), F.col("blocked").alias("seed")))).alias("x")).select("host", "x.*")
-    sends = ways.select(F.col("kind").alias("k"), F.col("a").alias("h")).distinct().withColumn("sends", F.lit(True))
-    now = cut(start.join(sends, (F.col("host") == F.col("h")) & (F.col("kind") == F.col("k")), "left").select("host", "kind", "seed", F.coalesce("sends", F.lit(False)).alias("sends"), F.col("seed").alias("value"), F.lit(1.0).alias("moved")), "trust")
-    if ways.limit(1).count():
-        for _ in range(steps):
-            out = now.select(F.col("kind").alias("k"), F.col("host").alias("h"), "value")
-            told = ways.join(out, (F.col("kind") == F.col("k")) & (F.col("a") == F.col("h"))).groupBy(F.col("kind").alias("k"), F.col("b").alias("h")).agg(F.sum(F.col("value") * F.col("share")).alias("told"))
-            value = F.lit(1 - damping) * F.col("seed") + F.lit(damping) * (F.coalesce("told", F.lit(0.0)) + F.when(F.col("sends"), 0.0).otherwise(F.col("value")))
-            after = cut(now.join(told, (F.col("host") == F.col("h")) & (F.col("kind") == F.col("k")), "left").select("host", "kind", "seed", "sends", value.alias("value"), F.abs(value - F.col("value")).alias("moved")), "trust")
-            forget(now)
-            now = after
-            if not now.where(F.col("moved") > epsilon).limit(1).count():
-                break
-    return now.groupBy("host").agg(F.max(F.when(F.col("kind"), F.col("value"))).alias("trust"), F.max(F.when(~F.col("kind"), F.col("value"))).alias("distrust"))
-
-
-def shares(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, epsilon: float = EPSILON) -> DataFrame:
-    """host, trust_share and distrust_share from seeds (host, trusted, blocked) and links (src, dst, weight)."""
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, epsilon: float = EPSILON) -> DataFrame:
+    """host, trust and distrust of all hosts of seeds (host, trusted, blocked) and links (src, dst, weight)."""
+    # Value flows from b to a, in shares of a's links: out-links for distrust, in-links for trust.
     ways = links.select(F.lit(False).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight").unionByName(links.select(F.lit(True).alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
     total = ways.groupBy(F.col("kind").alias("k"), F.col("a").alias("s")).agg(F.sum("weight").alias("total"))
     ways = cut(ways.join(total, (F.col("kind") == F.col("k")) & (F.col("a") == F.col("s"))).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")), "ways")
     hosts = seeds.select("host", "trusted", "blocked").unionByName(links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("trusted"), F.lit(0.0).alias("blocked")))
     hosts = hosts.groupBy("host").agg(F.max("trusted").alias("trusted"), F.max("blocked").alias("blocked"))
     start = hosts.select("host", F.explode(F.array(F.struct(F.lit(True).alias("kind"), F.col("trusted").alias("seed")), F.struct(F.lit(False).alias("kind"), F.col("blocked").alias("seed")))).alias("x")).select("host", "x.*")
-    now = cut(start.withColumn("value", F.col("seed")).withColumn("moved", F.lit(1.0)), "shares")
-    # Values only grow, and each step moves them by at most damping times the step before.
+    now = cut(start.withColumn("value", F.col("seed")).withColumn("moved", F.col("seed")), "trust")
     while ways.limit(1).count() and now.where(F.col("moved") > epsilon).limit(1).count():
         out = now.where("value > 0").select(F.col("kind").alias("k"), F.col("host").alias("h"), "value")
         told = ways.join(out, (F.col("kind") == F.col("k")) & (F.col("b") == F.col("h"))).groupBy(F.col("kind").alias("k"), F.col("a").alias("h")).agg(F.sum(F.col("value") * F.col("share")).alias("told"))
-        value = F.greatest("seed", F.lit(damping) * F.coalesce("told", F.lit(0.0)))
-        after = cut(now.join(told, (F.col("host") == F.col("h")) & (F.col("kind") == F.col("k")), "left").select("host", "kind", "seed", value.alias("value"), F.abs(value - F.col("value")).alias("moved")), "shares")
-        forget(now)
-        now = after
-    return now.groupBy("host").agg(F.max(F.when(F.col("kind"), F.col("value"))).alias("trust_share"), F.max(F.when(~F.col("kind"), F.col("value"))).alias("distrust_share"))
+        value = F.col("seed") + (1 - F.col("seed")) * F.lit(damping) * F.coalesce("told", F.lit(0.0))
+        after = now.join(told, (F.col("host") == F.col("h")) & (F.col("kind") == F.col("k")), "left")
+        before, now = now, cut(after.select("host", "kind", "seed", value.alias("value"), F.abs(value - F.col("value")).alias("moved")), "trust")
+        forget(before)
+    return now.groupBy("host").agg(F.max(F.when(F.col("kind"), F.col("value"))).alias("trust"), F.max(F.when(~F.col("kind"), F.col("value"))).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -109,14 +82,14 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
     host, path = host_and_path(F.col("url"))
     read = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    found = read.withColumn("rule", rule).withColumn("by_rule", verdict)
+    # Everything that is needed of a page, so that its html is read once.
+    found = cut(read.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), linked_hosts(F.col("html")).alias("to")), "pages")
     seeds = found.where("host != ''").groupBy("host").agg(F.avg(F.expr("if(by_rule <=> 'allow', 1.0D, 0.0D)")).alias("trusted"), F.avg(F.expr("if(by_rule <=> 'block', 1.0D, 0.0D)")).alias("blocked"))
-    links = cut(host_links(read), "links")
-    walks = propagate(seeds, links, **options).withColumnRenamed("host", "__h")
-    judged = shares(seeds, links, **{k: v for k, v in options.items() if k != "steps"})
-    hosts = cut(walks.join(judged, F.col("__h") == F.col("host")).drop("host"), "hosts")
+    links = found.where("host != ''").select(F.col("host").alias("src"), F.explode("to").alias("dst")).where("dst != '' and src != dst")
+    links = cut(links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")), "links")
+    hosts = settled(lambda: propagate(seeds, links, **options).withColumnRenamed("host", "__h"), "hosts")
     out = found.select("page_id", "host", "path", "rule", "by_rule").join(hosts, F.col("host") == F.col("__h"), "left")
-    method = F.when((F.col("distrust_share") >= threshold) & (F.col("distrust_share") > F.col("trust_share")), "block").otherwise("allow")
+    method = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), "trust", "distrust")
 
 
