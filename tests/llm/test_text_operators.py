@@ -184,6 +184,37 @@ def test_licenses_as_brute_force(spark, docs, none):
     assert licenses.scan(docs).count() == len(ROWS) and licenses.scan(none).count() == 0
 
 
+def test_notices_side_by_side():
+    for text, want in (("all rights reservd all rights reserved", [1, 0]), ("released under the mit licence and released under the mit license", [1, 0]), ("all rigts reserved x all rights reserved", [1, 0]), ("All rights reserved. " * 500, [0] * 500)):
+        spans = [x for x in licenses.scan_text(text)["spans"]]
+        assert [x["edits"] for x in sorted(spans, key=lambda x: x["start"])] == want
+        assert all(text[x["start"] : x["end"]].lower().startswith(x["notice"][:5]) for x in spans)
+    assert licenses.scan_text("Licensed under CC BY-NC 4.0")["labels"] == "cc-by-nc"
+    assert licenses.scan_text("Licensed under CC BY-SA 4.0")["labels"] == "cc-by-sa"
+
+
+def test_licenses_of_all_documents(spark, sf_dir):
+    """The query on the whole table; fuzzy search over whole texts, without pieces, on those that name a license and some others."""
+    old = dict(texts(spark, sf_dir))
+    got = {r.doc_id: r for r in queries.QUERIES["op3_license_scan"](spark, sf_dir).collect()}
+    assert set(got) == set(old)
+    for i, text in old.items():
+        ws = re.sub("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", text.translate({c: c + 32 for c in range(65, 91)})).split()
+        places = [(j, k) for p, k in licenses.BASE for j in range(len(ws)) if ws[j : j + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(ws), len(places), min(places, default=(None,))[0], max(places, default=(None,))[0])
+        assert r.base_labels == ",".join(sorted({k for _, k in places})) and set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+        named = re.search("(?i)licen|reserv", text)
+        if named and len(ws) < 400 or i % 40 == 0 and len(ws) < 100:
+            for notice, _ in licenses.NOTICES:
+                m = licenses.matcher(notice).search(" ".join(ws))
+                assert bool(m) or all(x.notice != notice for x in r.spans)
+                if m:
+                    edits = sum(m.fuzzy_counts)
+                    assert any(x.notice == notice and x.edits == edits for x in r.spans) or any(x.edits < edits for x in r.spans), (i, notice)
+    assert any(r.spans for r in got.values())
+
+
 def test_pseudonyms():
     assert len({pii.permuted(x, 1000, b"k", "t") for x in range(1000)}) == 1000
     assert all(pii.permuted(pii.permuted(x, 1000, b"k", "t"), 1000, b"k", "t", inverse=True) == x for x in range(1000))

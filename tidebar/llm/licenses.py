@@ -2,8 +2,10 @@
 
 A text is lower-cased (A-Z), cut into words, and joined by single spaces. A notice of the list with at most k edits is split
 into k + 1 pieces; whatever matches it within k edits holds one piece exactly, so places of the pieces are the only
-candidates. There the regex library's bounded-error matching decides, counts the edits and gives the span. Notices are looked
-for from word start to word end.
+candidates. Pieces that would begin the notice at about the same character are one candidate; at each that has enough of the
+notice's letter triples, the regex library's bounded-error matching finds the best place, counts the edits and gives the span, so
+a place is found beside better ones. Exact places need no matching. Notices are looked for from word start to word end; of places of one notice that overlap, the one with fewest edits stays, then the first,
+and a place goes where a notice with another label stands with fewer edits in at least half of its words.
 
 Nulls and odd rows: a null text is an empty one: no words, no labels (empty strings), null places, score 0. Each row is judged
 by itself, so null ids, ties and repeated rows give rows of their own; extra columns are left out of the result.
@@ -33,6 +35,21 @@ NOTICES = (
     ("licensed under a creative commons attribution", "cc"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("all rights reserved", "reserved"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("distributed under the boost software license", "bsl"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
+    ("licensed under the european union public licence", "eupl"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("creative commons zero", "cc0"),
+    ("dedicated to the public domain", "public-domain"),
+    ("licensed under cc by sa 4 0", "cc-by-sa"),
+    ("licensed under cc by 4 0", "cc-by"),
+    ("subject to the common development and distribution license", "cddl"),
+    ("under the terms of the artistic license", "artistic"),
+    ("under the zlib license", "zlib"),
+    ("server side public license", "sspl"),
+    ("business source license", "busl"),
+    ("licensed under the gnu free documentation license", "gfdl"),
 )
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 10
@@ -58,6 +75,18 @@ def matcher(notice: str):
     return regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits_of(notice)}}}(?![^ ])")
 
 
+@lru_cache
+def triples(notice: str) -> list[str]:
+    return [notice[i : i + 3] for i in range(len(notice) - 2)]
+
+
+def possible(notice: str, part: str) -> bool:
+    """Whether part has as many of the notice's triples as its edits must leave: each edit touches at most three."""
+    own = triples(notice)
+    have = {part[i : i + 3] for i in range(len(part) - 2)}
+    return sum(x in have for x in own) >= len(own) - 3 * edits_of(notice)
+
+
 def normalised(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_FOLD).split()
 
@@ -74,41 +103,71 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
     return found
 
 
-def windows(joined: bytes, notice: str) -> list[tuple[int, int]]:
-    """Merged stretches of joined in which the notice can stand."""
-    edits = edits_of(notice)
-    found = []
-    for offset, piece in pieces_of(notice, edits):
-        at = joined.find(piece)
-        while at >= 0:
-            # Bytes beside the piece: an edit can be a character of up to four bytes.
-            found.append((max(0, at - offset - 4 * edits - 1), at - offset + len(notice) + 4 * edits + 1))
-            at = joined.find(piece, at + 1)
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged
+@lru_cache
+def seeds():
+    """An automaton that finds every piece of every notice in one pass; its values are lists of (notice, offset)."""
+    import ahocorasick
+
+    places: dict[str, list[tuple[int, int]]] = {}
+    for i, (notice, _) in enumerate(NOTICES):
+        for offset, piece in pieces_of(notice, edits_of(notice)):
+            places.setdefault(piece.decode("latin-1"), []).append((i, offset))
+    out = ahocorasick.Automaton()
+    for piece, at in places.items():
+        out.add_word(piece, (len(piece), at))
+    out.make_automaton()
+    return out
+
+
+def candidates(joined: bytes) -> dict[int, list[tuple[int, int]]]:
+    """For each notice by number, stretches of joined in each of which it can stand once, in order."""
+    starts: dict[int, set[int]] = {}
+    for end, (length, at) in seeds().iter(joined.decode("latin-1")):
+        for i, offset in at:
+            starts.setdefault(i, set()).add(end + 1 - length - offset)
+    out = {}
+    for i, own in starts.items():
+        edits = edits_of(NOTICES[i][0])
+        found: list[tuple[int, int]] = []
+        for at in sorted(own):
+            if found and at <= found[-1][0] + 2 * edits:
+                found[-1] = (found[-1][0], at)
+            else:
+                found.append((at, at))
+        # Bytes beside the piece: an edit can be a character of up to four bytes.
+        slack = 4 * edits + 1
+        out[i] = [(max(0, a - slack), b + len(NOTICES[i][0]) + slack) for a, b in found]
+    return out
 
 
 def fuzzy_places(joined: bytes) -> list[tuple[str, str, int, int, int]]:
     """Label, notice, first word, words and edits of each place of each notice."""
-    found = []
-    for notice, label in NOTICES:
-        for a, b in windows(joined, notice):
+    places = []
+    for i, stretches in sorted(candidates(joined).items()):
+        (notice, label), found = NOTICES[i], set()
+        for a, b in stretches:
             while a > 0 and joined[a : a + 1] != b" ":  # whole words, so that characters stay whole too
                 a -= 1
             while b < len(joined) and joined[b : b + 1] != b" ":
                 b += 1
-            first = joined.count(b" ", 0, a)
             part = joined[a:b].decode("utf-8", "replace")
-            for m in matcher(notice).finditer(part):
-                if m.group().strip():
-                    start = first + part.count(" ", 0, m.start() + len(m.group()) - len(m.group().lstrip())) - 1
-                    found.append((label, notice, start, len(m.group().split()), sum(m.fuzzy_counts)))
-    return found
+            at = f" {part} ".find(f" {notice} ")
+            if at >= 0:
+                edits, start, length = 0, at, len(notice)
+            elif possible(notice, part) and (m := matcher(notice).search(part)) and m.group().strip():
+                edits, start, length = sum(m.fuzzy_counts), m.start(), len(m.group())
+            else:
+                continue
+            held = part[start : start + length]
+            before = part[:start] + held[: len(held) - len(held.lstrip())]
+            found.add((edits, joined.count(b" ", 0, a) + before.count(" ") - 1, len(held.split())))
+        taken: list[tuple[int, int]] = []
+        for edits, start, n in sorted(found):
+            if all(start + n <= x or start >= y for x, y in taken):
+                taken.append((start, start + n))
+                places.append((label, notice, start, n, edits))
+    shared = lambda x, y: min(x[2] + x[3], y[2] + y[3]) - max(x[2], y[2])
+    return [x for x in places if not any(y[0] != x[0] and y[4] < x[4] and 2 * shared(x, y) >= x[3] for y in places)]
 
 
 def scan_text(text: str) -> dict:
