@@ -101,23 +101,60 @@ def executions(signalled: DataFrame, minutes: DataFrame, sigma: DataFrame, size:
     return df.withColumn("equity", F.col("cash") + F.col("position") * F.col("close") * lot_size).drop("day")
 
 
-def metrics(path: DataFrame, initial: float = 100_000.0, rf: float = 0.0) -> DataFrame:
-    """Daily figures of executed paths, over days with bars: returns of the last equity of each day in session order."""
+def trades(path: DataFrame) -> DataFrame:
+    """Closed trades of an executed path: instrument, trade, bars, lots and pnl, the equity's change over the trade's bars.
+
+    A trade runs from the bar that opens a position to the one that closes it; a bar that turns it over belongs to the next one."""
+    order = series()
+    prev = F.coalesce(F.lag("position").over(order), F.lit(0.0))
+    df = path.select(KEY, "ts", "qty", "position", (F.col("equity") - F.coalesce(F.lag("equity").over(order), F.lit(0.0))).alias("__d"), ((F.col("position") != 0) & (F.signum("position") != F.signum(prev))).cast("int").alias("__open"))
+    df = df.withColumn("trade", F.sum("__open").over(order.rowsBetween(W.unboundedPreceding, 0))).where("position != 0 or qty != 0")
+    df = df.groupBy(KEY, "trade").agg(F.sum((F.col("position") != 0).cast("long")).alias("bars"), F.max(F.abs("position")).alias("lots"), F.sum("__d").alias("pnl"), (F.max_by("position", "ts") == 0).alias("__done"))
+    following = F.lead("trade").over(W.partitionBy(KEY).orderBy("trade")).isNotNull()
+    return df.withColumn("__done", F.col("__done") | following).where("__done").drop("__done")
+
+
+def metrics(path: DataFrame, run_id: str = "run", split: str = "custom", initial: float = 100_000.0, rf: float = 0.0) -> DataFrame:
+    """The figures of executed paths, without rows that aren't `ready` (warm-up). Returns are daily, of the last equity of each
+    day with bars; trades are those of `trades`."""
+    path = path.where("ready") if "ready" in path.columns else path
     order = W.partitionBy(KEY).orderBy("day")
     days = path.groupBy(KEY, F.to_date("ts").alias("day")).agg((F.max_by("equity", "ts") + F.lit(initial)).alias("eq"))
     free = (1 + rf) ** (1 / 252) - 1
     days = days.withColumn("x", divide("eq", F.lag("eq", 1, initial).over(order)) - 1 - F.lit(free)).withColumn("top", F.greatest(F.max("eq").over(order), F.lit(initial)))
-    days = days.withColumn("dd", divide("eq", "top") - 1).withColumn("losing", F.col("x") < 0).withColumn("under", F.col("dd") < 0)
-    runs = days
-    for flag in ("losing", "under"):
-        runs = runs.withColumn(f"__g_{flag}", F.sum((~F.col(flag)).cast("int")).over(order))
-        runs = runs.withColumn(f"run_{flag}", F.sum(F.col(flag).cast("int")).over(W.partitionBy(KEY, f"__g_{flag}").orderBy("day")))
+    days = days.withColumn("dd", divide("eq", "top") - 1)
+    days = days.withColumn("__g", F.sum((F.col("dd") >= 0).cast("int")).over(order))
+    days = days.withColumn("under", F.sum((F.col("dd") < 0).cast("int")).over(W.partitionBy(KEY, "__g").orderBy("day")))
     down = F.when(F.col("x") < 0, F.col("x"))
-    out = runs.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_days"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.stddev_samp(down).alias("d"), F.min("dd").alias("max_dd"), F.max_by("eq", "day").alias("end"), F.max("run_losing").alias("losing_streak"), F.max("run_under").alias("max_dd_days"), F.avg((F.col("x") > 0).cast("double")).alias("win_rate"))
-    costs = path.groupBy(KEY).agg(F.sum("fees").alias("fees"), F.sum(F.abs("qty") * F.coalesce("fill_price", F.lit(0.0))).alias("notional"), F.sum((F.col("qty") != 0).cast("long")).alias("trade_count"), F.avg((F.col("position") != 0).cast("double")).alias("exposure"))
-    out = out.join(costs, KEY)
-    cagr = F.pow(divide("end", F.lit(initial)), F.lit(252.0) / F.col("n_days")) - 1
-    return out.select(KEY, "n_days", "trade_count", F.round(divide("end", F.lit(initial)) - 1, 6).alias("total_return"), F.round(cagr, 6).alias("cagr"), F.round(divide("m", "s") * 252**0.5, 4).alias("sharpe"), F.round(divide("m", "d") * 252**0.5, 4).alias("sortino"), F.round(divide(cagr, F.abs("max_dd")), 4).alias("calmar"), F.round("max_dd", 6).alias("max_dd"), "max_dd_days", "losing_streak", F.round("win_rate", 4).alias("win_rate"), F.round("exposure", 4).alias("exposure"), F.round(F.col("fees") + 1e-7, 4).alias("fees"), F.round(divide("fees", "notional") * 1e4, 4).alias("commission_bps"))
+    out = days.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("a"), F.max("day").alias("z"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.stddev_samp(down).alias("d"), F.min("dd").alias("fall"), F.max_by("eq", "day").alias("end"), F.max("under").alias("under"))
+    costs = path.groupBy(KEY).agg(F.sum("fees").alias("fees"), F.sum(F.abs("qty") * F.coalesce("fill_price", F.lit(0.0))).alias("notional"))
+    done = trades(path)
+    by_trade = W.partitionBy(KEY).orderBy("trade")
+    done = done.withColumn("__g", F.sum((F.col("pnl") >= 0).cast("int")).over(by_trade))
+    done = done.withColumn("losing", F.sum((F.col("pnl") < 0).cast("int")).over(W.partitionBy(KEY, "__g").orderBy("trade")))
+    done = done.groupBy(KEY).agg(F.count(F.lit(1)).alias("count"), F.avg((F.col("pnl") > 0).cast("double")).alias("wins"), F.avg("bars").alias("bars"), F.avg("lots").alias("lots"), F.max("losing").alias("losing"))
+    out = out.join(costs, KEY).join(done, KEY, "left")
+    cagr = F.pow(divide("end", F.lit(initial)), F.lit(252.0) / F.col("n")) - 1
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    made = {
+        "run_id": F.lit(run_id), "split": F.lit(split), "start_date": F.col("a").cast("string"), "end_date": F.col("z").cast("string"), "session_days": F.col("n"), "initial_cash": F.lit(float(initial)),
+        "final_equity": F.round("end", 2), "total_return": F.round(divide("end", F.lit(initial)) - 1, 6), "cagr": F.round(cagr, 6), "sharpe": F.round(divide("m", "s") * 252**0.5, 4),
+        "sortino": F.round(divide("m", "d") * 252**0.5, 4), "calmar": F.round(divide(cagr, F.abs("fall")), 4), "max_drawdown": F.round("fall", 6), "max_drawdown_duration_days": F.col("under"),
+        "longest_losing_streak_trades": none("losing"), "trade_count": none("count"), "win_rate": F.round("wins", 4), "avg_holding_bars": F.round("bars", 4), "avg_trade_size_lots": F.round("lots", 4),
+        "total_notional": F.round("notional", 2), "total_fees": F.round("fees", 4), "total_commission_bps": F.round(divide("fees", "notional") * 1e4, 4),
+    }
+    return out.select(KEY, *[c.alias(n) for n, c in made.items()])
+
+
+def fills_by_order(events: DataFrame) -> DataFrame:
+    """Each order of a log with what its fills come to: run_id, order_id, asked, filled, price (mean by quantity), fees and status.
+
+    events: run_id, order_id, type (order or fill), qty, price, fees. Fills without an order keep a row with status orphan."""
+    is_fill = F.col("type") == "fill"
+    quantity = F.when(is_fill, F.col("qty"))
+    out = events.where("type in ('order', 'fill')").groupBy("run_id", "order_id").agg(F.sum(F.when(~is_fill, F.col("qty"))).alias("asked"), F.coalesce(F.sum(quantity), F.lit(0.0)).alias("filled"), divide(F.sum(quantity * F.col("price")), F.sum(quantity)).alias("price"), F.coalesce(F.sum(F.when(is_fill, F.col("fees"))), F.lit(0.0)).alias("fees"))
+    status = F.when(F.col("asked").isNull(), "orphan").when(F.col("filled") == 0, "open").when(F.abs("filled") < F.abs("asked"), "partial").otherwise("filled")
+    return out.withColumn("status", status)
 
 
 def event_log(path: DataFrame, run_id: str = "run") -> DataFrame:

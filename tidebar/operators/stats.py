@@ -85,12 +85,23 @@ def chart_stats(path: DataFrame) -> DataFrame:
     return out.select(KEY, F.round(F.coalesce(divide(F.col("__b") - F.col("__a"), "__peak") * 100, F.lit(0.0)), 4).alias("ret_pct"), F.round(divide("__up", F.abs("__down")), 4).alias("profit_factor"), ratio("__m", "__s").alias("sharpe"), ratio("__dm", "__ds").alias("sortino"), F.round(F.coalesce(divide("__dd", "__peak"), F.lit(0.0)), 4).alias("max_dd"))
 
 
-def round_trips(filled: DataFrame, path: DataFrame) -> DataFrame:
-    """Entry and exit of each closed position with holding time, profit and fees, and the path's columns at both ends."""
+def round_trips(filled: DataFrame, path: DataFrame, decided: tuple[str, ...] = (), known: tuple[str, ...] = (), zone: str = "Europe/Moscow", train_end: str | None = None) -> DataFrame:
+    """Entry and exit of each closed position: holding time, profit, fees, hours, and the path's columns at both ends.
+
+    Columns of the path (by instrument and i) in `decided` are those of the bar before a fill, which decided it; `known` ones are
+    those of the fill's bar. They get the ends _in and _out. local_hour is the entry's hour in the zone; oos, with train_end,
+    whether it came after the training."""
     order = W.partitionBy(KEY).orderBy("i")
     pairs = filled.select(KEY, F.col("i").alias("i_in"), F.col("ts").alias("ts_in"), F.col("qty").alias("side"), "price", "fee", F.row_number().over(order).alias("__n"), *[F.lead(c).over(order).alias(f"__{c}") for c in ("i", "ts", "price", "fee", "qty")])
     pairs = pairs.where("__n % 2 = 1 and __i is not null")
-    return pairs.select(KEY, "ts_in", F.col("__ts").alias("ts_out"), "side", F.hour("ts_in").alias("hour"), (F.col("__i") - F.col("i_in")).alias("bars_held"), (F.col("side") * (F.col("__price") - F.col("price"))).alias("gross_pnl"), (F.col("fee") + F.col("__fee")).alias("fees"), (F.col("side") * (F.col("__price") - F.col("price")) - F.col("fee") - F.col("__fee")).alias("net_pnl"))
+    gross, fees = F.col("side") * (F.col("__price") - F.col("price")), F.col("fee") + F.col("__fee")
+    extra = [] if train_end is None else [(F.col("ts_in") > F.lit(train_end).cast("timestamp_ntz")).alias("oos")]
+    out = pairs.select(KEY, "i_in", F.col("__i").alias("i_out"), "ts_in", F.col("__ts").alias("ts_out"), "side", F.hour("ts_in").alias("hour"), F.hour(F.from_utc_timestamp("ts_in", zone)).alias("local_hour"), (F.col("__i") - F.col("i_in")).alias("bars_held"), gross.alias("gross_pnl"), fees.alias("fees"), (gross - fees).alias("net_pnl"), *extra)
+    for columns, back in ((decided, 1), (known, 0)):
+        for end in ("in", "out") if columns else ():
+            own = path.select(F.col(KEY).alias("__k"), (F.col("i") + back).alias("__at"), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+            out = out.join(own, (F.col(KEY) == F.col("__k")) & (F.col(f"i_{end}") == F.col("__at")), "left").drop("__k", "__at")
+    return out.drop("i_in", "i_out")
 
 
 def profile(trips: DataFrame, key: Column, name: str) -> DataFrame:

@@ -46,10 +46,11 @@ def last_known(x, over=None) -> Column:
     return F.last(col(x), ignorenulls=True).over((over if over is not None else S()).rowsBetween(W.unboundedPreceding, 0))
 
 
-def run_lengths(df: DataFrame, flag: str, name: str) -> DataFrame:
+def run_lengths(df: DataFrame, flag: str, name: str, by: tuple[str, ...] = (KEY,)) -> DataFrame:
     """Adds how many rows in a row, this one included, have had the flag."""
-    flagged = df.withColumn("__f", F.coalesce(F.col(flag), F.lit(False)).cast("int")).withColumn("__g", so_far(F.sum, F.lit(1) - F.col("__f")))
-    group = W.partitionBy(KEY, "__g").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    over = W.partitionBy(*by).orderBy("ts")
+    flagged = df.withColumn("__f", F.coalesce(F.col(flag), F.lit(False)).cast("int")).withColumn("__g", so_far(F.sum, F.lit(1) - F.col("__f"), over))
+    group = W.partitionBy(*by, "__g").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
     return flagged.withColumn(name, F.sum("__f").over(group)).drop("__f", "__g")
 
 

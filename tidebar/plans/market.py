@@ -336,6 +336,17 @@ def round_trips(spark, sf_dir):
     return out.select(KEY, "ts_in", "ts_out", "side", "hour", "bars_held", F.round(F.col("gross_pnl") + 1e-7, 4).alias("gross_pnl"), *rounded(out, "fees", "net_pnl"))
 
 
+@query("trip_columns", f"""WITH RECURSIVE {_z_parts()}, fl AS (SELECT instrument, i, ts, qty, row_number() OVER (PARTITION BY instrument ORDER BY i) AS n FROM p WHERE qty <> 0),
+tr AS (SELECT a.instrument, a.i AS a, b.i AS b, a.ts AS ts_in FROM fl a JOIN fl b ON a.instrument = b.instrument AND b.n = a.n + 1 WHERE a.n % 2 = 1)
+SELECT tr.instrument, tr.ts_in, CAST(hour(tr.ts_in + INTERVAL 3 HOUR) AS INTEGER) AS local_hour, tr.ts_in > TIMESTAMP '2024-01-15' AS oos, round(x0.z, 6) AS z_in, round(x1.z, 6) AS z_out, c0.open AS open_in, c1.open AS open_out
+FROM tr JOIN x x0 ON x0.instrument = tr.instrument AND x0.i = a - 1 JOIN x x1 ON x1.instrument = tr.instrument AND x1.i = b - 1 JOIN b c0 ON c0.instrument = tr.instrument AND c0.i = a JOIN b c1 ON c1.instrument = tr.instrument AND c1.i = tr.b""")
+def trip_columns(spark, sf_dir):
+    b = bars(spark, sf_dir, "1h")
+    path = strategies.z_indicator(b, 0.05).withColumnRenamed("__z", "z")
+    out = stats.round_trips(strategies.fills(b, _STRATEGIES["z"][1](b)), path, ("z",), ("open",), train_end="2024-01-15")
+    return out.select(KEY, "ts_in", "local_hour", "oos", F.round("z_in", 6).alias("z_in"), F.round("z_out", 6).alias("z_out"), "open_in", "open_out")
+
+
 @query("profile_by_hour", f"WITH RECURSIVE {_TRIPS_SQL} SELECT CAST(hour AS INTEGER) AS hour, {_PROFILE} FROM tr GROUP BY hour")
 def profile_by_hour(spark, sf_dir):
     return stats.profile(_trips(spark, sf_dir), F.col("hour"), "hour")

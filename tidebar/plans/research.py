@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.functions.columns import OPS, order_id
-from tidebar.operators import features, grid, model, screening, spec
+from tidebar.operators import features, grid, model, screening, spec, strategies
 from tidebar.operators import windows as win
 from tidebar.operators.candles import KEY
 from tidebar.plans import sql
@@ -43,9 +43,36 @@ def grid_small(spark, sf_dir):
     return grid.z_grid(bars(spark, sf_dir, "1h"), **_GRID)
 
 
-@query("grid_best")
+@query("grid_best", f"SELECT * FROM ({_grid_sql()}) ORDER BY sortino DESC, instrument, alpha, z_entry, max_hold LIMIT 3")
 def grid_best(spark, sf_dir):
-    return grid.best(grid.z_grid(bars(spark, sf_dir, "1h"), [0.05], [1.0, 1.5], [20]), 3)
+    return grid.best(grid.z_grid(bars(spark, sf_dir, "1h"), **_GRID), 3)
+
+
+_QUIET = {"trend_alpha": [0.05, 0.1], "max_slope_pct": [5.0, 10.0], "vol_ratio_max": [1.0], "entry_pct": [3.0, 5.0], "exit_pct": [0.5], "min_quiet_bars": [1, 2], "time_stop_bars": [10, 20]}
+
+
+def _quiet_sql() -> str:
+    values = lambda names: ", ".join(f"(SELECT unnest([{', '.join(sql.num(x) if isinstance(x, float) else str(x) for x in _QUIET[n])}]) AS {n})" for n in names)
+    each = " UNION ALL ".join(f"SELECT b.*, {sql.num(a)} AS trend_alpha, trend, fast FROM b JOIN t{k} USING (instrument, i) JOIN v USING (instrument, i)" for k, a in enumerate(_QUIET["trend_alpha"]))
+    run = "PARTITION BY instrument, trend_alpha, max_slope_pct, vol_ratio_max"
+    gate = lambda op, sign, pred: f"lag(dev) OVER s {op} {sign}entry_pct AND lag(run) OVER s >= min_quiet_bars AND pred {pred}"
+    parts = [sql.candles("1h"), sql.numbered(), *[sql.ewm(f"t{k}", "b", a, True, trend="close") for k, a in enumerate(_QUIET["trend_alpha"])], sql.ewm("v", "b", 0.05, True, fast="volume"),
+        f"x0 AS ({each})",
+        "x AS (SELECT *, 1 + (i % 3 - 1) * 0.01::DOUBLE AS pred, round((close / trend - 1) * 100, 9) AS dev, round(abs(trend / lag(trend, 5) OVER s - 1) * 100, 9) AS slope, CASE WHEN count(*) OVER f >= 24 THEN avg(volume) OVER f END AS mean FROM x0 WINDOW s AS (PARTITION BY instrument, trend_alpha ORDER BY i), f AS (PARTITION BY instrument, trend_alpha ORDER BY i ROWS 23 PRECEDING))",
+        f"y AS (SELECT *, coalesce(slope < max_slope_pct AND round(fast, 9) < round(vol_ratio_max * mean, 9), false) AS quiet FROM x, {values(['max_slope_pct', 'vol_ratio_max'])})",
+        f"y1 AS (SELECT *, sum(CASE WHEN quiet THEN 0 ELSE 1 END) OVER ({run} ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM y)",
+        f"z AS (SELECT *, sum(CASE WHEN quiet THEN 1 ELSE 0 END) OVER ({run}, g ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM y1)",
+        f"w AS (SELECT * FROM z, {values(grid.QUIET[3:])})",
+        sql.decisions("w", "dev IS NULL", "hour(ts) >= 9 AND hour(ts) < 16", "dev >= -exit_pct", "dev <= exit_pct", gate("<=", "-", "> 1.002"), gate(">=", "", "< 0.998"), "time_stop_bars", extra=tuple(grid.QUIET)),
+        sql.fold("d", tuple(grid.QUIET)), sql.path("d", tuple(grid.QUIET)), sql.stats(tuple(grid.QUIET))]
+    return "WITH RECURSIVE " + ",\n".join(parts)
+
+
+@query("grid_quiet", _quiet_sql())
+def grid_quiet(spark, sf_dir):
+    """All seven parameters of the quiet-market strategy, with predictions; pred is made of the bar's number."""
+    b = strategies.numbered(bars(spark, sf_dir, "1h")).withColumn("pred", 1 + (F.col("i") % 3 - 1) * F.lit(0.01)).drop("i")
+    return grid.quiet_grid(b, _QUIET, True, slope_window=5, vol_window=24)
 
 
 def _train(spark, sf_dir, timeframe="1h") -> DataFrame:
@@ -177,7 +204,34 @@ def spec_execution(spark, sf_dir):
     return executed(spark, sf_dir).select(KEY, "ts", F.col("signal").cast("int").alias("signal"), (F.col("qty") + 0.0).alias("qty"), *[F.round(c, 4).alias(c) for c in ("fill_price", "fees")], (F.col("position") + 0.0).alias("position"), *[F.round(c, 4).alias(c) for c in ("cash", "equity")])
 
 
-@query("spec_metrics")
+_TRADES = """pa AS (SELECT xp.instrument, xp.i, xp.ts, qty, position, fees, abs(qty) * coalesce(fill_price, 0.0) AS notional, cash + position * xp.close AS equity FROM xp JOIN m ON m.instrument = xp.instrument AND m.i = xp.i WHERE m.mid IS NOT NULL),
+t0 AS (SELECT *, equity - coalesce(lag(equity) OVER s, 0.0) AS d, CAST(position <> 0 AND sign(position) <> sign(coalesce(lag(position) OVER s, 0.0)) AS INTEGER) AS o FROM pa WINDOW s AS (PARTITION BY instrument ORDER BY i)),
+t1 AS (SELECT *, sum(o) OVER (PARTITION BY instrument ORDER BY i ROWS UNBOUNDED PRECEDING) AS trade FROM t0),
+t2 AS (SELECT instrument, trade, count(CASE WHEN position <> 0 THEN 1 END) AS bars, max(abs(position)) AS lots, sum(d) AS pnl, arg_max(position, i) = 0 AS done FROM t1 WHERE position <> 0 OR qty <> 0 GROUP BY 1, 2),
+t3 AS (SELECT * FROM (SELECT *, lead(trade) OVER (PARTITION BY instrument ORDER BY trade) AS later FROM t2) WHERE done OR later IS NOT NULL)"""
+
+
+@query("spec_trades", f"WITH RECURSIVE {_EXEC}, {_TRADES} SELECT instrument, CAST(trade AS BIGINT) AS trade, bars, lots, round(pnl, 4) + 0.0::DOUBLE AS pnl FROM t3")
+def spec_trades(spark, sf_dir):
+    out = spec.trades(executed(spark, sf_dir).where("ready"))
+    return out.select(KEY, "trade", "bars", "lots", (F.round("pnl", 4) + 0.0).alias("pnl"))
+
+
+@query("spec_metrics", f"""WITH RECURSIVE {_EXEC}, {_TRADES},
+d0 AS (SELECT instrument, CAST(ts AS DATE) AS day, arg_max(equity, i) + 100000.0::DOUBLE AS eq FROM pa GROUP BY 1, 2),
+d1 AS (SELECT *, eq / lag(eq, 1, 100000.0::DOUBLE) OVER s - 1 AS x, eq / greatest(max(eq) OVER (PARTITION BY instrument ORDER BY day ROWS UNBOUNDED PRECEDING), 100000.0::DOUBLE) - 1 AS dd FROM d0 WINDOW s AS (PARTITION BY instrument ORDER BY day)),
+d2 AS (SELECT *, sum(CAST(dd >= 0 AS INTEGER)) OVER (PARTITION BY instrument ORDER BY day ROWS UNBOUNDED PRECEDING) AS g FROM d1),
+d3 AS (SELECT *, sum(CAST(dd < 0 AS INTEGER)) OVER (PARTITION BY instrument, g ORDER BY day ROWS UNBOUNDED PRECEDING) AS under FROM d2),
+d4 AS (SELECT instrument, count(*) AS n, min(day) AS a, max(day) AS z, avg(x) AS m, stddev_samp(x) AS s, stddev_samp(CASE WHEN x < 0 THEN x END) AS d, min(dd) AS fall, arg_max(eq, day) AS last, max(under) AS under FROM d3 GROUP BY 1),
+c0 AS (SELECT instrument, sum(fees) AS fees, sum(notional) AS notional FROM pa GROUP BY 1),
+t4 AS (SELECT *, sum(CAST(pnl >= 0 AS INTEGER)) OVER (PARTITION BY instrument ORDER BY trade ROWS UNBOUNDED PRECEDING) AS g FROM t3),
+t5 AS (SELECT *, sum(CAST(pnl < 0 AS INTEGER)) OVER (PARTITION BY instrument, g ORDER BY trade ROWS UNBOUNDED PRECEDING) AS losing FROM t4),
+t6 AS (SELECT instrument, count(*) AS trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS wins, avg(bars) AS bars, avg(lots) AS lots, max(losing) AS losing FROM t5 GROUP BY 1),
+a0 AS (SELECT *, pow(last / 100000.0::DOUBLE, 252.0::DOUBLE / n) - 1 AS grown FROM d4 JOIN c0 USING (instrument) LEFT JOIN t6 USING (instrument))
+SELECT instrument, 'run' AS run_id, 'custom' AS split, CAST(a AS VARCHAR) AS start_date, CAST(z AS VARCHAR) AS end_date, n AS session_days, 100000.0::DOUBLE AS initial_cash, round(last, 2) AS final_equity, round(last / 100000.0::DOUBLE - 1, 6) AS total_return,
+  round(grown, 6) AS cagr, round(m / nullif(s, 0) * sqrt(252), 4) AS sharpe, round(m / nullif(d, 0) * sqrt(252), 4) AS sortino, round(grown / nullif(abs(fall), 0), 4) AS calmar, round(fall, 6) AS max_drawdown, CAST(under AS BIGINT) AS max_drawdown_duration_days,
+  CAST(coalesce(losing, 0) AS BIGINT) AS longest_losing_streak_trades, CAST(coalesce(trades, 0) AS BIGINT) AS trade_count, round(wins, 4) AS win_rate, round(bars, 4) AS avg_holding_bars, round(lots, 4) AS avg_trade_size_lots,
+  round(notional, 2) AS total_notional, round(fees, 4) AS total_fees, round(fees / nullif(notional, 0) * 1e4, 4) AS total_commission_bps FROM a0""")
 def spec_metrics(spark, sf_dir):
     return spec.metrics(executed(spark, sf_dir))
 
@@ -188,16 +242,19 @@ def reconstruct(spark, sf_dir):
     return out.select(KEY, "ts", F.col("signal").cast("int").alias("signal"), (F.col("qty") + 0.0).alias("qty"), (F.col("position") + 0.0).alias("position"), F.round("cash", 4).alias("cash"))
 
 
-@query("violations", f"WITH {sql.candles('1h')} SELECT instrument, ts, 'x' AS broken FROM c WHERE false")
+@query("violations", f"WITH {sql.candles('1h')} SELECT instrument, ts, 'equity' AS broken FROM c WHERE hour(ts) = 11")
 def violations(spark, sf_dir):
-    return spec.violations(spec.reconstruct(spec.event_log(executed(spark, sf_dir))))
+    """Rows of a log whose equity was changed at one hour of each day."""
+    rows = spec.reconstruct(spec.event_log(executed(spark, sf_dir)))
+    return spec.violations(rows.withColumn("equity", F.col("equity") + F.when(F.hour("ts") == 11, 1.0).otherwise(0.0)))
 
 
-@query("drift", f"WITH RECURSIVE {_EXEC} SELECT instrument, ts, true AS same_signal, 0.0::DOUBLE AS position_diff, 0.0::DOUBLE AS equity_diff, false AS only_test, ts < TIMESTAMP '2024-01-03' AS only_live FROM xp WHERE ts >= TIMESTAMP '2024-01-03'")
+@query("drift", f"WITH RECURSIVE {_EXEC} SELECT instrument, ts, CASE WHEN hour(ts) = 13 THEN false ELSE true END AS same_signal, CASE WHEN hour(ts) = 13 THEN NULL WHEN hour(ts) = 11 THEN -1.0::DOUBLE ELSE 0.0 END AS position_diff, CASE WHEN hour(ts) <> 13 THEN 0.0::DOUBLE END AS equity_diff, false AS only_test, hour(ts) = 13 AS only_live FROM xp")
 def drift(spark, sf_dir):
-    """The log's rows against the path they came from."""
-    live = executed(spark, sf_dir).where("ts >= timestamp_ntz'2024-01-03 00:00:00'")
-    again = spec.reconstruct(spec.event_log(executed(spark, sf_dir))).where("ts >= timestamp_ntz'2024-01-03 00:00:00'")
+    """A path against its log's rows, of which some are gone and some have another position."""
+    live = executed(spark, sf_dir)
+    again = spec.reconstruct(spec.event_log(live)).where("hour(ts) != 13")
+    again = again.withColumn("position", F.col("position") + F.when(F.hour("ts") == 11, 1.0).otherwise(0.0))
     out = spec.drift(live, again)
     return out.select(KEY, "ts", "same_signal", F.round("position_diff", 6).alias("position_diff"), (F.round("equity_diff", 4) + 0.0).alias("equity_diff"), "only_test", "only_live")
 
