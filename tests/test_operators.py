@@ -258,3 +258,48 @@ def test_quartiles(spark):
     got = stats.quartiles(spark.createDataFrame([(float(x),) for x in (1, 1, 1, 1, 2, 3, 4)], "x double"), "x").orderBy("x").collect()
     want = pd.qcut(pd.Series([1, 1, 1, 1, 2, 3, 4]), 4, duplicates="drop")
     assert [r.bucket for r in got] == list(want.cat.codes + 1)
+
+
+def test_blocks_of_folds_are_the_whole_fold(bars):
+    """Blocks between bars that force the position flat give the fills that one array of a whole series gives."""
+    decided = strategies.z_score(bars, 0.05, 1.0, 9).collect()
+    want, by_series = [], {}
+    for r in sorted(decided, key=lambda r: (r[KEY], r.i)):
+        pos, since = by_series.get(r[KEY], (0, 0))
+        leave = pos > 0 and r.exit_long or pos < 0 and r.exit_short or r.i - since >= r.max_hold
+        to = 0 if r.force0 else (0 if leave else pos) if pos else r.entry
+        if to != pos:
+            want.append((r[KEY], r.i, to - pos))
+        by_series[r[KEY]] = (to, r.i if not pos and to else since)
+    assert sorted((r[KEY], r.i, r.qty) for r in strategies.fold(strategies.z_score(bars, 0.05, 1.0, 9), [KEY]).collect()) == want and want
+
+
+def test_fills_by_order(spark):
+    rows = [("r", "a", "order", 10.0, None, None), ("r", "a", "fill", 4.0, 5.0, 0.1), ("r", "a", "fill", 6.0, 10.0, 0.2), ("r", "b", "order", -3.0, None, None), ("r", "b", "fill", -1.0, 7.0, 0.1), ("r", "c", "order", 2.0, None, None), ("r", "d", "fill", 1.0, 1.0, 0.0), ("r", "a", "signal", None, None, None)]
+    got = {r.order_id: r for r in spec.fills_by_order(spark.createDataFrame(rows, "run_id string, order_id string, type string, qty double, price double, fees double")).collect()}
+    assert {k: r.status for k, r in got.items()} == {"a": "filled", "b": "partial", "c": "open", "d": "orphan"}
+    assert (got["a"].price, round(got["a"].fees, 6), got["c"].filled) == (8.0, 0.3, 0.0)
+
+
+def test_asof_of_many_sources_is_one_by_one(bars):
+    first, second = sorted(r[KEY] for r in bars.select(KEY).distinct().collect())[:2]
+    probe, source = bars.where(F.col(KEY) == first).select("ts", "close"), bars.where(F.col(KEY) == second)
+    late = source.where("pmod(hash(ts), 50) = 7").select("ts", F.col("close").alias("late"))
+    got = asof.backward_all(probe, {"v": (source.select("ts", F.col("open").alias("o")), ["o"]), "l": (late, ["late"])}).orderBy("ts").collect()
+    one = asof.backward(asof.backward(probe.withColumn("k", F.lit(0)), source.select(F.lit(0).alias("k"), "ts", F.col("open").alias("o")), ["o"], ["k"]), late.withColumn("k", F.lit(0)), ["late"], ["k"], at="l_ts").orderBy("ts").collect()
+    assert [(r.ts, r.close, r.o, r.late, r.l_ts) for r in got] == [(r.ts, r.close, r.o, r.late, r.l_ts) for r in one] and any(r.late for r in got)
+
+
+def test_draws_differ_and_latest_model(spark, tmp_path):
+    made = model.draws(30)
+    assert len({tuple(x.values()) for x in made}) == 30 and set(made[0]) == set(model.SPACE) and made == model.draws(30)
+    df = spark.createDataFrame([(float(i), float(i % 7)) for i in range(60)], "x double, target double")
+    assert model.latest(spark, str(tmp_path / "none")) is None
+    out, meta = model.predictions(df, str(tmp_path / "none"), 1.0)
+    assert meta is None and {r.pred for r in out.collect()} == {1.0}
+    for name, at in (("a", "2024-02-01"), ("b", "2024-01-01")):
+        model.save(model.fit(df, ["x"], maxIter=1), str(tmp_path / "m" / name), {"timestamp": at}, df, ["x"])
+    assert model.latest(spark, str(tmp_path / "m")).endswith("/a")
+    out, meta = model.predictions(df, str(tmp_path / "m"), 1.0)
+    assert meta["timestamp"] == "2024-02-01" and out.where("pred is null").count() == 0
+    assert model.predictions(df.drop("x"), str(tmp_path / "m"), 1.0)[1] is None

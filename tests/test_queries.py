@@ -12,9 +12,9 @@ def test_same_as_sql(spark, sf_dir, name):
     same(catalogue.QUERIES[name](spark, sf_dir), catalogue.SQL[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(set(ROWS_ONLY) - {"extended_features", "wide_features", "gbt_predictions"}))
+@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
 def test_runs(spark, sf_dir, name):
-    assert catalogue.QUERIES[name](spark, sf_dir).columns
+    assert catalogue.QUERIES[name](spark, sf_dir).toPandas().shape[0] > 0
 
 
 def test_entry(spark):

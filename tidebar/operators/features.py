@@ -139,19 +139,17 @@ def prefix(instrument: str, timeframe: str) -> str:
 def build(universe: dict[tuple[str, str], DataFrame], primary: tuple[str, str], rich: tuple[str, ...] = ()) -> DataFrame:
     """One wide row a bar of the primary series. Its own features are those of the bar before; others are those of the last bar
     that had ended. Each series also gives the time of the row it came from."""
-    out = None
-    whole = universe[primary].select("ts")
+    out, others = None, {}
     for (name, timeframe), bars in sorted(universe.items(), key=lambda x: x[0] != primary):
         wide = extended(bars) if name in rich and timeframe == primary[1] else base(bars)
         names = [n for n in wide.columns if n not in (KEY, "ts", *OHLC)]
         p = prefix(name, timeframe)
         if (name, timeframe) == primary:
-            out = wide.select(F.lit(0).alias("__k"), "ts", "close", *[win.lag(n).alias(f"{p}_{n}") for n in names], win.lag("ts").alias(f"{p}_ts"))
+            out = wide.select("ts", "close", *[win.lag(n).alias(f"{p}_{n}") for n in names], win.lag("ts").alias(f"{p}_ts"))
         else:
-            wide = wide.select(F.lit(0).alias("__k"), "ts", *[F.col(n).alias(f"{p}_{n}") for n in names])
-            out = asof.on_bar_end(out, wide, timeframe, [f"{p}_{n}" for n in names], by=["__k"], at=f"{p}_ts")
-    out = out.drop("__k")
-    return cross(out, universe, primary) if whole else out
+            columns = [f"{p}_{n}" for n in names]
+            others[p] = asof.shifted(wide.select("ts", *[F.col(n).alias(c) for n, c in zip(names, columns, strict=True)]), timeframe), columns
+    return cross(asof.backward_all(out, others), universe, primary)
 
 
 def cross(wide: DataFrame, universe, primary: tuple[str, str]) -> DataFrame:

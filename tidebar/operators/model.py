@@ -10,6 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidebar.functions.columns import divide
@@ -50,18 +51,44 @@ def cv_corr(df: DataFrame, features: list[str], k: int = 5, label: str = "target
     return out
 
 
-def tune(df: DataFrame, features: list[str], trials: int = 10, k: int = 3, seed: int = 0, label: str = "target") -> tuple[dict, float]:
-    """Random search; parameters that were tried aren't tried again."""
-    draw, seen, best = random.Random(seed), set(), ({}, -2.0)
-    for _ in range(trials):
-        params = {"maxIter": draw.choice([5, 10, 20]), "maxDepth": draw.choice([2, 3, 4]), "stepSize": draw.choice([0.05, 0.1, 0.2]), "subsamplingRate": draw.choice([0.7, 1.0])}
-        if (key := tuple(params.values())) in seen:
-            continue
-        seen.add(key)
-        scores = cv_corr(df, features, k, label, **params)
-        if (mean := sum(scores) / len(scores)) > best[1]:
-            best = (params, mean)
-    return best
+#: What tuning draws from.
+SPACE = {"maxIter": (5, 10, 20), "maxDepth": (2, 3, 4), "stepSize": (0.05, 0.1, 0.2), "subsamplingRate": (0.7, 0.85, 1.0), "minInstancesPerNode": (1, 5, 20), "minInfoGain": (0.0, 1e-6), "maxBins": (16, 32, 64), "featureSubsetStrategy": ("all", "sqrt", "onethird"), "minWeightFractionPerNode": (0.0, 0.01)}
+
+
+def draws(trials: int, seed: int = 0) -> list[dict]:
+    """Different sets of parameters, at most as many as there are."""
+    draw, seen = random.Random(seed), {}
+    while len(seen) < min(trials, math.prod(map(len, SPACE.values()))):
+        params = {n: draw.choice(values) for n, values in SPACE.items()}
+        seen.setdefault(tuple(params.values()), params)
+    return list(seen.values())
+
+
+def tune(df: DataFrame, features: list[str], trials: int = 30, k: int = 5, seed: int = 0, label: str = "target") -> tuple[dict, float]:
+    """Random search by the mean correlation over the folds: parameters and score of the best of so many different sets."""
+    scored = [(sum(scores) / len(scores), params) for params in draws(trials, seed) for scores in [cv_corr(df, features, k, label, **params)]]
+    score, params = max(scored, key=lambda x: x[0], default=(-2.0, {}))
+    return params, score
+
+
+def latest(spark: SparkSession, folder: str) -> str | None:
+    """Path of the model in the folder whose meta has the greatest timestamp (then path); None if there is none."""
+    try:
+        found = spark.read.text(f"{folder}/*/meta").select(F.get_json_object("value", "$.timestamp").alias("at"), F.input_file_name().alias("path")).orderBy(F.desc_nulls_last("at"), F.desc("path")).first()
+    except AnalysisException:  # no such path
+        return None
+    return found and found.path.rsplit("/meta/", 1)[0]
+
+
+def predictions(df: DataFrame, folder: str, fill: float | None = None) -> tuple[DataFrame, dict | None]:
+    """df with pred by the latest model of the folder, and its meta. Without a model, or where features are missing, pred is fill
+    and the meta None; a missing prediction is fill too."""
+    path = latest(df.sparkSession, folder)
+    model, meta = load(df.sparkSession, path) if path else (None, None)
+    if meta is None or set(meta["feature_cols"]) - set(df.columns):
+        return df.withColumn("pred", F.lit(fill).cast("double")), None
+    out = predict(model, df, meta["feature_cols"])
+    return (out if fill is None else out.fillna(fill, subset=["pred"])), meta
 
 
 def save(model: PipelineModel, path: str, meta: dict, sample: DataFrame, features: list[str]) -> None:

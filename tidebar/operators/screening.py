@@ -11,12 +11,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window as W
 
 from tidebar.functions.columns import OPS, clean
 
 FLOOR = 100
 CHUNK = 512
+STRETCH = 10_000
 
 
 def correlations(df: DataFrame, candidates: dict[str, Column], target: str, floor: int = FLOOR) -> DataFrame:
@@ -145,13 +147,17 @@ def select(df: DataFrame, columns: list[str], target: str, most: int = 300, inte
 def timed_folds(df: DataFrame, k: int, order: str = "ts") -> DataFrame:
     """Adds fold (0 for rows only ever trained on, else 1..k): fold f is validated after training on all rows before it.
 
-    Blocks have n // (k + 1) rows; the last takes the rest. Ranks are within the whole table, so this is for one series' rows."""
+    Blocks have n // (k + 1) rows; the last takes the rest. Ranks are within the whole table, so this is for one series' rows:
+    a row's rank is that in its day (or stretch of a number), after the rows of the days before (one row a day)."""
     if k < 2:
         raise ValueError("at least two folds")
-    whole = W.orderBy(order)
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    block = F.floor(n / (k + 1))
-    return df.withColumn("fold", F.least(F.floor((F.row_number().over(whole) - 1) / F.greatest(block, F.lit(1))), F.lit(k)).cast("int"))
+    day = F.floor(F.col(order) / STRETCH) if isinstance(df.schema[order].dataType, NumericType) else F.to_date(order)
+    days = df.groupBy(day.alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("__day", before.alias("__before"), F.floor(F.sum("__n").over(W.partitionBy()) / (k + 1)).alias("__block"))
+    ranked = df.withColumn("__own", day).withColumn("__i", F.row_number().over(W.partitionBy("__own").orderBy(order)) - 1)
+    place = F.floor((F.col("__before") + F.col("__i")) / F.greatest(F.col("__block"), F.lit(1)))
+    return ranked.join(days, F.col("__own").eqNullSafe(F.col("__day"))).select(*df.columns, F.least(place, F.lit(k)).cast("int").alias("fold"))
 
 
 def period_corr(df: DataFrame, x: str, y: str, period: Column, least: int = 2) -> DataFrame:

@@ -1,7 +1,8 @@
 """Strategies that depend on their own path, as folds.
 
 What a bar can decide is a column: whether it must be flat, whether a long or short would leave, where an entry would go. Only
-position and entry bar are sequential: they are folded over the sorted array of a series' decisions, in Catalyst. Fills come
+position and entry bar are sequential: they are folded over sorted arrays of decisions, one for each stretch between two bars
+that force the position flat, in Catalyst. Fills come
 out of the fold; positions, cash and equity are running sums over the bars.
 
 Decisions at bar i use bar i - 1 and fill at bar i's open. Bar 0 never trades, an exit bar doesn't enter, and what forces a
@@ -25,9 +26,16 @@ DIGITS = 9
 
 
 def fold(decided: DataFrame, by: list[str]) -> DataFrame:
-    """by, i and qty of every fill. decided: by, i, force0, exit_long, exit_short, entry (signed size) and max_hold."""
+    """by, i and qty of every fill. decided: by, i, force0, exit_long, exit_short, entry (signed size) and max_hold.
+
+    A bar that forces the position flat starts a block, which depends on nothing before it; it also ends the block before, where
+    its fill comes from. Strategies here force that at least once a day, so a block is at most a day of one series."""
     bar = F.struct("i", "force0", "exit_long", "exit_short", "entry", "max_hold")
-    bars = decided.groupBy(*by).agg(F.array_sort(F.collect_list(bar)).alias("bars"))
+    order = W.partitionBy(*by).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    block = F.sum(F.col("force0").cast("long")).over(order)
+    both = F.when(F.col("force0"), F.array(F.col("__b") - 1, F.col("__b"))).otherwise(F.array("__b"))
+    blocks = decided.withColumn("__b", block).withColumn("__b", F.explode(both))
+    bars = blocks.groupBy(*by, "__b").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
     start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("since"), F.expr("cast(array() as array<struct<i:int,qty:int>>)").alias("fills"))
 
     def step(s: Column, b: Column) -> Column:

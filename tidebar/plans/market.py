@@ -254,10 +254,35 @@ def cross_volz(spark, sf_dir):
     return z.groupBy("ts").agg(F.round(F.avg("z"), 6).alias("volz_mkt"), F.count("z").alias("n"))
 
 
-@query("base_features")
+def _base_sql(timeframe: str, c: str = "c", name: str = "base") -> str:
+    """A table with the 22 base features of every series by instrument, ts and i."""
+    b, e5, e20, g = (f"{name}_{x}" for x in ("b", "e5", "e20", "g"))
+    back = ", ".join(f"close / nullif(lag(close, {n}) OVER s, 0) - 1 AS ret{n}" for n in features.RETURNS)
+    enough = lambda x, n, value: f"CASE WHEN count({x}) {_frame(n - 1)} >= {n} THEN {value} END"
+    before = lambda f, x: f"count({x}) {_frame(20, '1 PRECEDING')} >= 20 AND close {'>' if f == 'max' else '<'} {f}({x}) {_frame(20, '1 PRECEDING')}"
+    gain, loss = (enough("m", 14, f"avg(CASE WHEN m IS NOT NULL THEN greatest({x}, 0) END) {_frame(13)}") for x in ("m", "-m"))
+    return f"""{sql.candles(timeframe, c)}, {sql.numbered(c, b)}, {sql.ewm(e5, b, 2 / 6, False, e5='close')}, {sql.ewm(e20, b, 2 / 21, False, e20='close')},
+{g} AS (SELECT {b}.*, e5, e20, close / nullif(lag(close) OVER s, 0) - 1 AS r, close - lag(close) OVER s AS m FROM {b} JOIN {e5} USING (instrument, i) JOIN {e20} USING (instrument, i) {_W}),
+{name} AS (SELECT instrument, i, ts, close, {back}, (high - low) / nullif(close, 0) AS spread, (close - open) / nullif(close, 0) AS body, (high - greatest(open, close)) / nullif(close, 0) AS upper_wick, (least(open, close) - low) / nullif(close, 0) AS lower_wick,
+  CASE WHEN high = low THEN 0.0 ELSE abs(close - open) / (high - low) END AS body_frac, CASE WHEN high = low THEN 0.5 ELSE (close - low) / (high - low) END AS close_pos, CAST(sign(close - open) AS DOUBLE) AS dir, open / nullif(lag(close) OVER s, 0) - 1 AS gap,
+  e5 / nullif(e20, 0) - 1 AS trend, {enough('high', 20, f'close / nullif(max(high) {_frame(19)}, 0) - 1')} AS brk_hi20, {enough('low', 20, f'close / nullif(min(low) {_frame(19)}, 0) - 1')} AS brk_lo20,
+  CASE WHEN {before('max', 'high')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS new_hi20, CASE WHEN {before('min', 'low')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS new_lo20,
+  CASE WHEN {gain} + {loss} = 0 THEN 0.0 ELSE {gain} / ({gain} + {loss}) - 0.5 END AS rsi14, {enough('r', 20, f'stddev_samp(r) {_frame(19)}')} AS volat20, volume / nullif(avg(volume) {_frame(19)}, 0) AS vol_norm,
+  {enough('volume', 20, f'CASE WHEN stddev_samp(volume) {_frame(19)} = 0 THEN 0.0 ELSE (volume - avg(volume) {_frame(19)}) / stddev_samp(volume) {_frame(19)} END')} AS vol_z, {enough('volume', 20, f'avg(volume) {_frame(4)} / avg(volume) {_frame(19)} - 1')} AS vol_trend FROM {g} {_W})"""
+
+
+def _r4(*columns: str) -> str:
+    return ", ".join(f"round({c} + 1e-9, 4) + 0.0::DOUBLE AS {c}" for c in columns)
+
+
+def _round4(df: DataFrame, *columns: str) -> list[Column]:
+    return [(c + 0.0).alias(n) for n, c in zip(columns, rounded(df, *columns, digits=4), strict=True)]
+
+
+@query("base_features", f"WITH RECURSIVE {_base_sql('1h')} SELECT instrument, ts, {_r4(*features.BASE)} FROM base")
 def base_features(spark, sf_dir):
     out = features.base(bars(spark, sf_dir, "1h"))
-    return out.select(KEY, "ts", *rounded(out, *features.BASE))
+    return out.select(KEY, "ts", *_round4(out, *features.BASE))
 
 
 @query("extended_features")
@@ -265,10 +290,35 @@ def extended_features(spark, sf_dir):
     return features.extended(bars(spark, sf_dir, "1day"), alphas=(0.05, 0.5), lags=(1, 2)).drop("open", "high", "low", "close", "volume")
 
 
-@query("wide_features")
+_WIDE = [(n, tf) for n in ("click", "error", "purchase", "signup", "view") for tf in ("15min", "1h")]
+
+
+def _wide_sql() -> str:
+    own, others = _WIDE[0], _WIDE[1:]
+    p = features.prefix(*own)
+    parts = [_base_sql("15min", "c15", "base_15min"), _base_sql("1h", "c1", "base_1h")]
+    lagged = ", ".join(f"lag({n}) OVER s AS {p}_{n}" for n in (*features.BASE, "ts"))
+    parts.append(f"w0 AS (SELECT ts, close, {lagged} FROM base_15min WHERE instrument = '{own[0]}' {_W})")
+    for k, (name, tf) in enumerate(others, 1):
+        q = features.prefix(name, tf)
+        parts.append(f"o{k} AS (SELECT ts + to_seconds({sql.seconds(tf)}) AS ended, {', '.join(f'{n} AS {q}_{n}' for n in features.BASE)} FROM base_{tf} WHERE instrument = '{name}')")
+        parts.append(f"w{k} AS (SELECT w{k - 1}.*, o{k}.* EXCLUDE (ended), o{k}.ended AS {q}_ts FROM w{k - 1} ASOF LEFT JOIN o{k} ON w{k - 1}.ts >= o{k}.ended)")
+    names = [features.prefix(*k) for k in _WIDE]
+    made = [f"round(sign({p}_trend) * sign({q}_trend), 4) + 0.0::DOUBLE AS x_{q}_trend_match" for q in names[1:]]
+    for at, label in ((1, "x_volz_mkt_{}"), (0, "x_volz_{}_tfs")):
+        for value in sorted({k[at] for k in _WIDE}):
+            some = [f"{features.prefix(*k)}_vol_z" for k in _WIDE if k[at] == value]
+            made.append(f"round((SELECT avg(x) FROM (SELECT unnest([{', '.join(some)}]) AS x)) + 1e-9, 4) + 0.0::DOUBLE AS {label.format(value.replace('min', 'm'))}")
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT ts, close, {_r4(*[f'{q}_{n}' for q in names for n in features.BASE])}, {', '.join(f'{q}_ts' for q in names)}, {', '.join(made)} FROM w{len(others)}"
+
+
+@query("wide_features", _wide_sql())
 def wide_features(spark, sf_dir):
-    universe = {(n, tf): bars(spark, sf_dir, tf).where(F.col(KEY) == n) for n in ("click", "purchase") for tf in ("15min", "1h")}
-    return features.build(universe, ("click", "15min"))
+    """All instruments in two timeframes, as features of one of them."""
+    universe = {(n, tf): bars(spark, sf_dir, tf).where(F.col(KEY) == n) for n, tf in _WIDE}
+    out = features.build(universe, _WIDE[0])
+    kept = [c for c in out.columns if c in ("ts", "close") or c.endswith("_ts")]
+    return out.select(*kept, *_round4(out, *[c for c in out.columns if c not in kept]))
 
 
 _R9 = "round({}, 9)"

@@ -139,8 +139,7 @@ def period_corr(spark, sf_dir):
 @query("gbt_predictions")
 def gbt_predictions(spark, sf_dir):
     names = ["ret1", "ret3", "spread", "body", "gap", "body_frac", "close_pos"]
-    data = _train(spark, sf_dir).persist()
-    train, holdout = model.split(data, "2024-01-22")
+    train, holdout = model.split(_train(spark, sf_dir), "2024-01-22")
     return model.predict(model.fit(train, names, maxIter=5), holdout, names).select(KEY, "ts", "target", "pred")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,9 +100,19 @@ def best_params(spark: SparkSession, path: str, integers: list[str]) -> dict:
     return {k: int(v) if k in integers and v is not None else v for k, v in row.items()}
 
 
+_SORT = """let last = -1;
+function sorted_by(i) {
+  const body = document.querySelector("tbody"), rows = [...body.rows], text = r => r.cells[i].textContent, down = last === i;
+  rows.sort((a, b) => (isNaN(text(a)) || isNaN(text(b)) ? text(a).localeCompare(text(b)) : text(a) - text(b)) * (down ? -1 : 1));
+  last = down ? -1 : i;
+  body.append(...rows);
+}"""
+
+
 def grid_html(results: DataFrame, limit: int = 5000) -> str:
-    """A table whose number cells are shaded from red to green within their column; at most limit rows."""
-    rows, names = results.limit(limit).collect(), results.columns
+    """A table whose number cells are shaded from red to green within their column and that is sorted by a click on a column's head:
+    the first limit rows by sortino where there is one."""
+    rows, names = (results.orderBy(F.desc("sortino"), *[c for c in results.columns if c != "sortino"]) if "sortino" in results.columns else results).limit(limit).collect(), results.columns
     ends = {}
     for c in names:
         values = [r[c] for r in rows if isinstance(r[c], (int, float))]
@@ -114,8 +125,8 @@ def grid_html(results: DataFrame, limit: int = 5000) -> str:
         share = 0.5 if end[0] == end[1] else (v - end[0]) / (end[1] - end[0])
         return f'<td style="background:hsl({120 * share:.0f},60%,75%)">{v}</td>'
 
-    head = "".join(f"<th>{html.escape(c)}</th>" for c in names)
-    return f"<table><thead><tr>{head}</tr></thead><tbody>" + "".join("<tr>" + "".join(cell(r, c) for c in names) + "</tr>" for r in rows) + "</tbody></table>"
+    head = "".join(f'<th onclick="sorted_by({i})">{html.escape(c)}</th>' for i, c in enumerate(names))
+    return f"<script>{_SORT}</script><table><thead><tr>{head}</tr></thead><tbody>" + "".join("<tr>" + "".join(cell(r, c) for c in names) + "</tr>" for r in rows) + "</tbody></table>"
 
 
 def chart_data(path: DataFrame) -> DataFrame:
@@ -167,8 +178,9 @@ class PagedReader(DataSourceReader):
         return [Span(i, a, min(a + day, end)) for i in json.loads(self.options["instruments"]) for a in range(start, end, day)]
 
     def read(self, span: Span) -> Iterator[tuple]:
-        """Pages on from the last row; rows that a page repeats are skipped. Failures that bring nothing new count, up to five."""
-        last, failures = span.start - 1, 0
+        """Pages on from the last row; rows that a page repeats are skipped. Failures that bring nothing new count, up to five, with waits
+        that double from the option wait (seconds)."""
+        last, failures, wait = span.start - 1, 0, float(self.options.get("wait", "0.5"))
         while last < span.end - 1:
             try:
                 page = [r for r in self.fetch(span.instrument, last + 1, span.end) if r[1].timestamp() > last]
@@ -176,6 +188,7 @@ class PagedReader(DataSourceReader):
                 failures += 1
                 if failures > 5:
                     raise
+                time.sleep(wait * 2 ** (failures - 1))
                 continue
             if not page:
                 return
