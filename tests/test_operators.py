@@ -303,3 +303,43 @@ def test_draws_differ_and_latest_model(spark, tmp_path):
     out, meta = model.predictions(df, str(tmp_path / "m"), 1.0)
     assert meta["timestamp"] == "2024-02-01" and out.where("pred is null").count() == 0
     assert model.predictions(df.drop("x"), str(tmp_path / "m"), 1.0)[1] is None
+
+
+def test_gate_in_blocks_is_the_loop(spark):
+    """Random flags, with a long stretch that is never crossed: the same as the state table row by row."""
+    r = np.random.default_rng(5)
+    n = 600
+    rows = [("a" if k < n else "b", k % n, *(bool(x) for x in (r.random(6) < (0.5, 0.3, 0.3, 0.2, 0.85, 1)))) for k in range(2 * n)]
+    rows = [(*x[:5], x[5] and not (x[0] == "b" and 100 < x[1] < 300), *x[6:]) for x in rows]
+    df = spark.createDataFrame(rows, "instrument string, i int, up boolean, at_lower boolean, at_upper boolean, crossed boolean, in_session boolean, ready boolean").withColumn("ts", F.timestamp_seconds(F.col("i") * 60))
+    for cooldown in (0, 4):
+        got = {(x.instrument, x.i): x.signal for x in spec.gated(df, cooldown).collect()}
+        assert len(got) == 2 * n
+        for name in "ab":
+            signal, open_, since, crossed = 0, True, 0, False
+            for _, i, up, lower, upper, cross, inside, _ in (x for x in rows if x[0] == name):
+                new = live.transition(signal, up, lower, upper, open_) if inside else 0
+                if signal and not new:
+                    open_, since, crossed = False, 0, False
+                elif not open_:
+                    since, crossed = since + 1, crossed or cross
+                    open_ = since >= cooldown and crossed
+                signal = new
+                assert got[name, i] == signal
+
+
+def test_executions_in_blocks_are_the_loop(spark):
+    """Little volume, so that positions are reached over many bars or not at all."""
+    r = np.random.default_rng(6)
+    signal, volume = r.choice([-1, 0, 0, 1], 100).repeat(6), r.choice([0, 0, 2, 3, 5, 30], 600)
+    at = lambda c: F.timestamp_seconds(F.col(c) * 3600).cast("timestamp_ntz")
+    df = spark.createDataFrame([("a", i, int(signal[i]), 100.0) for i in range(600)], "instrument string, i int, signal int, close double").withColumn("ts", at("i"))
+    minutes = spark.createDataFrame([("a", i, 100.0, 100.0, 100.0, int(volume[i])) for i in range(600) if volume[i]], "instrument string, i int, high double, low double, close double, volume long").withColumn("ts", at("i")).drop("i")
+    sigma = spark.createDataFrame([], "instrument string, day date, sigma double")
+    got = spec.executions(df, minutes, sigma, bar="1 hour").orderBy("i").toPandas()
+    pos, want = 0.0, 0.0
+    for i in range(600):
+        qty = max(-volume[i] / 2, min(volume[i] / 2, want - pos))
+        pos += qty
+        assert (got.qty[i], got.position[i]) == (qty, pos)
+        want = 10.0 * signal[i]

@@ -1,6 +1,6 @@
 """The live layer: signals with a gate, executions with costs, accounting, metrics, event logs and drift.
 
-Sequential parts are folds that give out changes only; everything else is windows and joins. lot_size enters cash and equity alike."""
+Sequential parts are folds over blocks that don't depend on each other; everything else is windows and joins. lot_size enters cash and equity alike."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from tidebar.functions.columns import divide, is_main_session, true
 from tidebar.operators import ewm
 from tidebar.operators import windows as win
 from tidebar.operators.candles import KEY, series
-from tidebar.operators.strategies import numbered
+from tidebar.operators.strategies import NEVER, numbered
 
 DIGITS = 9
 
@@ -37,24 +37,36 @@ def indicators(bars: DataFrame, fast: int = 12, slow: int = 48, window: int = 20
 
 def signals(bars: DataFrame, cooldown: int = 4, **options) -> DataFrame:
     """Adds signal to every bar. An exit blocks the gate until `cooldown` bars have passed and the middle was crossed."""
-    df = indicators(bars, **options)
-    step_of = F.struct("i", "up", "at_lower", "at_upper", "crossed", (F.col("in_session") & F.col("ready")).alias("live"))
-    rows = df.groupBy(KEY).agg(F.array_sort(F.collect_list(step_of)).alias("bars"))
-    start = F.struct(F.lit(0).alias("signal"), F.lit(True).alias("open"), F.lit(0).alias("since"), F.lit(False).alias("crossed"), F.expr("cast(array() as array<struct<i:int,signal:int>>)").alias("out"))
+    return gated(indicators(bars, **options), cooldown)
+
+
+def gated(df: DataFrame, cooldown: int = 4) -> DataFrame:
+    """Adds signal to rows of `indicators`, by the state table of `next_signal`.
+
+    For each bar that could enter, windows give the bar it would leave at and the one the gate is open from again. What is left
+    to fold is which of these bars are entered: one is for certain if the gate is open by then whichever bars before were
+    entered. Such a bar starts a block, so blocks don't depend on each other."""
+    live, upper = F.col("in_session") & F.col("ready"), F.col("at_upper") & ~F.col("at_lower")
+    # The rows after a bar, nearest last: a frame that grows, where one to the end of the series would be made anew for each row.
+    later = W.partitionBy(KEY).orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, -1)
+    first = lambda flag, x: F.last(F.when(flag, x), ignorenulls=True).over(later)
+    side = F.when(live & F.col("at_lower") & F.col("up"), 1).when(live & upper & ~F.col("up"), -1)
+    seen = df.select(KEY, "i", side.alias("side"), (~live | ~F.col("up") | upper).alias("__xl"), (~live | F.col("up") | F.col("at_lower")).alias("__xs"), first(F.col("crossed"), F.col("i")).alias("__c"))
+    gone = F.struct("i", (F.greatest(F.col("i") + cooldown, "__c") + F.when(F.col("__c").isNotNull(), 1)).alias("free"))
+    gone = F.when(F.col("side") > 0, first(F.col("__xl"), gone)).otherwise(first(F.col("__xs"), gone))
+    entries = seen.select(KEY, "i", "side", gone.alias("gone")).where("side is not null").select(KEY, "i", "side", F.col("gone.i").alias("end"), F.coalesce("gone.free", F.lit(NEVER)).alias("free"))
+    order = W.partitionBy(KEY).orderBy("i")
+    certain = F.col("i") >= F.coalesce(F.max("free").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    entries = entries.withColumn("__b", certain.cast("long")).withColumn("__b", F.sum("__b").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    blocks = entries.groupBy(KEY, "__b").agg(F.array_sort(F.collect_list(F.struct("i", "side", "end", "free"))).alias("bars"))
+    start = F.struct(F.lit(0).alias("free"), F.expr("cast(array() as array<struct<i:int,signal:int>>)").alias("out"))
 
     def step(s: Column, b: Column) -> Column:
-        new = F.when(~b["live"], 0).otherwise(next_signal(s["signal"], b["up"], b["at_lower"], b["at_upper"], s["open"]))
-        exit_ = (s["signal"] != 0) & (new == 0)
-        since, crossed = s["since"] + 1, s["crossed"] | b["crossed"]
-        return F.struct(
-            new.alias("signal"),
-            F.when(exit_, False).when(s["open"], True).otherwise((since >= cooldown) & crossed).alias("open"),
-            F.when(exit_ | s["open"], 0).otherwise(since).alias("since"),
-            F.when(exit_ | s["open"], False).otherwise(crossed).alias("crossed"),
-            F.when(new != s["signal"], F.array_append(s["out"], F.struct(b["i"].alias("i"), new.alias("signal")))).otherwise(s["out"]).alias("out"),
-        )
-
-    changes = rows.select(KEY, F.inline(F.aggregate("bars", start, step, lambda s: s["out"])))
+        held = F.array(F.struct(b["i"].alias("i"), b["side"].alias("signal")), F.struct(b["end"].alias("i"), F.lit(0).alias("signal")))
+        taken = F.struct(b["free"].alias("free"), F.concat(s["out"], held).alias("out"))
+        return F.when(b["i"] >= s["free"], taken).otherwise(s)
+
+    changes = blocks.select(KEY, F.inline(F.aggregate("bars", start, step, lambda s: s["out"]))).where("i is not null")
     return df.join(changes, [KEY, "i"], "left").withColumn("signal", F.coalesce(win.last_known("signal"), F.lit(0)))
 
 
@@ -78,18 +90,29 @@ def sigma_daily(bars: DataFrame, days: int = 60) -> DataFrame:
 
 def executions(signalled: DataFrame, minutes: DataFrame, sigma: DataFrame, size: float = 10.0, participation: float = 0.5, min_spread: float = 2.0, spread_ratio: float = 0.1, impact: float = 0.1, commission_bps: float = 5.0, min_commission: float = 0.01, lot_size: float = 1.0, bar: str = "15 minutes") -> DataFrame:
     """Every bar with qty, fill_price, fees, position, cash and equity (from 0). The signal of the bar before is what a bar goes
-    for; what its first minutes can't absorb is dropped, so the position is a fold."""
+    for; what its first minutes can't absorb is dropped, so the position is a fold.
+
+    A position never exceeds size, so once bars that go for the same have absorbed size and what they go for, they have it
+    wherever they began. The first such bar starts a block; the others after it, and bars that absorb nothing, need no fold."""
     df = signalled.join(opening_minutes(minutes, bar), [KEY, "ts"], "left").withColumn("day", F.to_date("ts")).join(sigma, [KEY, "day"], "left")
     df = df.withColumn("want", F.coalesce(win.lag("signal"), F.lit(0)) * F.lit(size)).withColumn("avail", F.coalesce(F.lit(participation) * F.col("volume_k"), F.lit(0.0)))
-    rows = df.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("i", "want", "avail"))).alias("bars"))
-    start = F.struct(F.lit(0.0).alias("pos"), F.expr("cast(array() as array<struct<i:int,qty:double>>)").alias("out"))
+    order = W.partitionBy(KEY).orderBy("i")
+    up_to = order.rowsBetween(W.unboundedPreceding, 0)
+    goals = df.select(KEY, "i", "want", "avail", F.coalesce(F.col("want") != F.lag("want").over(order), F.lit(False)).cast("long").alias("__g"))
+    goals = goals.withColumn("__g", F.sum("__g").over(up_to)).withColumn("__a", F.sum("avail").over(W.partitionBy(KEY, "__g").orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
+    enough = F.lit(abs(size)) + F.abs("want")
+    goals = goals.where((F.col("avail") > 0) & (F.col("__a") - F.col("avail") < enough)).withColumn("there", F.col("__a") >= enough)
+    goals = goals.withColumn("__b", F.sum(F.col("there").cast("long")).over(up_to))
+    rows = goals.groupBy(KEY, "__b").agg(F.array_sort(F.collect_list(F.struct("i", "want", "avail", "there"))).alias("bars"))
+    start = F.struct(F.lit(0.0).alias("pos"), F.expr("cast(array() as array<struct<i:int,position:double>>)").alias("out"))
 
     def step(s: Column, b: Column) -> Column:
-        qty = F.greatest(-b["avail"], F.least(b["avail"], b["want"] - s["pos"]))
-        return F.struct((s["pos"] + qty).alias("pos"), F.when(qty != 0, F.array_append(s["out"], F.struct(b["i"].alias("i"), qty.alias("qty")))).otherwise(s["out"]).alias("out"))
+        pos = F.when(b["there"], b["want"]).otherwise(s["pos"] + F.greatest(-b["avail"], F.least(b["avail"], b["want"] - s["pos"])))
+        return F.struct(pos.alias("pos"), F.array_append(s["out"], F.struct(b["i"].alias("i"), pos.alias("position"))).alias("out"))
 
-    filled = rows.select(KEY, F.inline(F.aggregate("bars", start, step, lambda s: s["out"])))
-    df = df.join(filled, [KEY, "i"], "left").withColumn("qty", F.coalesce("qty", F.lit(0.0)))
+    held = rows.select(KEY, F.inline(F.aggregate("bars", start, step, lambda s: s["out"])))
+    df = df.join(held, [KEY, "i"], "left").withColumn("position", F.coalesce(win.last_known("position"), F.lit(0.0)))
+    df = df.withColumn("qty", F.col("position") - F.coalesce(win.lag("position"), F.lit(0.0)))
     spread = F.greatest(F.lit(min_spread), F.coalesce("range_bps", F.lit(0.0)) * spread_ratio)
     shock = F.lit(impact) * F.coalesce("sigma", F.lit(0.0)) * 1e4 * F.sqrt(F.coalesce(divide(F.abs("qty"), "avail"), F.lit(0.0)))
     price = F.when(F.col("qty") != 0, F.col("vwap") * (1 + F.signum("qty") * (spread / 2 + shock) / 1e4))
@@ -97,7 +120,7 @@ def executions(signalled: DataFrame, minutes: DataFrame, sigma: DataFrame, size:
     df = df.withColumn("fees", F.when(F.col("qty") != 0, F.greatest(F.lit(min_commission), F.lit(commission_bps) * F.abs("qty") * F.col("fill_price") * lot_size / 1e4)).otherwise(0.0))
     so_far = series().rowsBetween(W.unboundedPreceding, 0)
     paid = F.col("qty") * F.coalesce("fill_price", F.lit(0.0)) * lot_size + F.col("fees")
-    df = df.withColumn("position", F.sum("qty").over(so_far)).withColumn("cash", -F.sum(paid).over(so_far))
+    df = df.withColumn("cash", -F.sum(paid).over(so_far))
     return df.withColumn("equity", F.col("cash") + F.col("position") * F.col("close") * lot_size).drop("day")
 
 
