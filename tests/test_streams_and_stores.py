@@ -1,10 +1,12 @@
 import json
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
+from tidebar.functions.columns import order_id
 from tidebar.operators import candles, spec
 from tidebar.operators.candles import KEY
 from tidebar.plans.market import bars
@@ -52,6 +54,27 @@ def test_orders_once(spark, tmp_path):
     assert drain(live.once(spark.readStream.schema(orders.schema).parquet(str(tmp_path / "in"))), "orders", tmp_path).count() == 2
 
 
+def test_orders_in_flight(spark, tmp_path):
+    at = lambda m: START + timedelta(minutes=m)
+    log = [(0, "order", "x", 10.0), (1, "fill", "x", 4.0), (2, "position", None, 4.0), (3, "fill", "x", 6.0), (4, "position", None, 10.0), (5, "position", None, 9.0)]
+    log += [(6, "order", "y", -5.0), (15, "candle", None, None), (30, "candle", None, None), (45, "candle", None, None), (60, "candle", None, None), (61, "order_end", "y", None), (62, "position", None, 10.0)]
+    rows = spark.createDataFrame([("a", at(m), kind, name, qty) for m, kind, name, qty in log], f"{KEY} string, ts timestamp, type string, order_id string, qty double")
+    for part in (rows.where(F.col("ts") < at(30)), rows.where(F.col("ts") >= at(30))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    got = drain(live.reconcile_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))), "flight", tmp_path)
+    assert [(r.ts, r.what, r.order_id, r.expected, r.held) for r in got.orderBy("ts").collect()] == [(at(5), "discrepancy", None, 10.0, 9.0), (at(45), "stuck", "y", None, None)]
+
+
+def test_retries(spark):
+    log = [("a", START, 1, 0, "sent"), ("a", START, 1, 0, "rejected"), ("b", START, 1, 0, "rejected"), ("b", START, 1, 1, "filled"), *[("c", START, -1, k, "rejected") for k in range(3)]]
+    got = {r[KEY]: r for r in live.retries(spark.createDataFrame(log, f"{KEY} string, bar_ts timestamp, target int, attempt int, status string")).collect()}
+    assert set(got) == {"a", "c"} and got["a"].attempt == 1 and not got["a"].failed and got["c"].failed and got["c"].order_id is None
+    tried = spark.createDataFrame([("a", START, 1, k) for k in (0, 1, 1)], f"{KEY} string, bar_ts timestamp, target int, attempt int")
+    named = {r.attempt: r.order_id for r in tried.withColumn("order_id", order_id(KEY, "bar_ts", "target", "attempt")).collect()}
+    assert got["a"].order_id == named[1] != named[0]
+
+
 def test_store(spark, tmp_path):
     root = str(tmp_path / "cache")
     day = bars(spark, SMALL, "1day").select(F.lit("x").alias("exchange"), KEY, F.lit("1day").alias("timeframe"), "ts", "open", "high", "low", "close", "volume")
@@ -92,6 +115,7 @@ def test_paged_source(spark):
 def test_resolve_and_config(spark):
     known = spark.createDataFrame([("A", "f1", "TQBR"), ("B", "f2", "TQBR"), ("B", "f3", "TQBR")], "ticker string, figi string, class_code string")
     assert store.resolve(known, ["A"]) == {"A": "f1"}
+    assert store.find(known, "B", None).count() == 2 and store.verify(known, "f3")["ticker"] == "B" and store.verify(known, "f9") is None
     for bad in (["B"], ["C"]):
         with pytest.raises(ValueError):
             store.resolve(known, bad)

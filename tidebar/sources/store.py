@@ -66,8 +66,16 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("timestamp timestamp_ntz, open double, high double, low double, close double, volume bigint").csv(path, header=True)
 
 
-def find(instruments: DataFrame, ticker: str, class_code: str = "TQBR") -> DataFrame:
-    return instruments.where((F.col("ticker") == ticker) & (F.col("class_code") == class_code))
+def find(instruments: DataFrame, ticker: str, class_code: str | None = "TQBR") -> DataFrame:
+    """Instruments of a ticker; of every class without a class_code."""
+    found = instruments.where(F.col("ticker") == ticker)
+    return found if class_code is None else found.where(F.col("class_code") == class_code)
+
+
+def verify(instruments: DataFrame, figi: str) -> dict | None:
+    """What is known of an id; None if nothing is."""
+    row = instruments.where(F.col("figi") == figi).first()
+    return None if row is None else row.asDict()
 
 
 def resolve(instruments: DataFrame, tickers: list[str], class_code: str = "TQBR") -> dict[str, str]:

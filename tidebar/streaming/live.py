@@ -111,9 +111,75 @@ def watch_orders(events: DataFrame, seconds: int = 30) -> DataFrame:
     return events.groupBy("order_id").transformWithStateInPandas(statefulProcessor=OrderTimeouts(seconds * 1000), outputStructType="order_id string, status string", outputMode="Append", timeMode="ProcessingTime")
 
 
+class InFlight(StatefulProcessor):
+    """What one instrument's orders have still to fill, and for how many bars they have been waiting."""
+
+    def __init__(self, bars: int = 2, tolerance: float = 1e-9):
+        self.bars, self.tolerance = bars, tolerance
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getMapState("open", "order_id string", "remaining double, bars int")
+        self.intended = handle.getValueState("intended", "qty double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        open_ = {k[0]: list(v) for k, v in self.open.iterator()}
+        intended, out, ended = self.intended.get()[0] if self.intended.exists() else 0.0, [], set()
+        for e in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples(index=False):
+            if e.type == "order" and e.order_id not in open_:
+                intended += e.qty
+                open_[e.order_id] = [e.qty, 0]
+            elif e.type == "fill" and e.order_id in open_:
+                open_[e.order_id][0] -= e.qty
+                if abs(open_[e.order_id][0]) <= self.tolerance:
+                    ended.add(e.order_id)
+                    del open_[e.order_id]
+            elif e.type == "order_end" and e.order_id in open_:
+                intended -= open_.pop(e.order_id)[0]
+                ended.add(e.order_id)
+            elif e.type == "candle":
+                for name, waiting in open_.items():
+                    waiting[1] += 1
+                    if waiting[1] == self.bars + 1:
+                        out.append((key[0], e.ts, "stuck", name, None, None))
+            elif e.type == "position":
+                expected = intended - sum(x for x, _ in open_.values())
+                if abs(e.qty - expected) > self.tolerance:
+                    out.append((key[0], e.ts, "discrepancy", None, expected, e.qty))
+        for name in ended:
+            self.open.removeKey((name,))
+        for name, waiting in open_.items():
+            self.open.updateValue((name,), (float(waiting[0]), int(waiting[1])))
+        self.intended.update((float(intended),))
+        yield pd.DataFrame(out, columns=[KEY, "ts", "what", "order_id", "expected", "held"]).astype({"expected": float, "held": float})
+
+    def close(self) -> None:
+        pass
+
+
+def reconcile_stream(events: DataFrame, bars: int = 2) -> DataFrame:
+    """Discrepancies and stuck orders, as instrument, ts, what, order_id, expected and held; both are to halt the instrument.
+
+    events: instrument, ts, type, order_id, qty. A position (what the broker holds) must be what was ordered less what orders in
+    flight have still to fill. A fill that leaves nothing or an order_end (cancelled, rejected, failed, timed out) ends an order;
+    one that is in flight for more than `bars` candles is stuck. Needs the RocksDB state store."""
+    return events.groupBy(KEY).transformWithStateInPandas(statefulProcessor=InFlight(bars), outputStructType=f"{KEY} string, ts timestamp, what string, order_id string, expected double, held double", outputMode="Append", timeMode="None")
+
+
+def retries(statuses: DataFrame, most: int = 2) -> DataFrame:
+    """What follows on rejections: a row for each decision (instrument, bar_ts, target) whose last attempt was rejected, with the
+    next attempt and its order id, or failed where there were `most` retries.
+
+    statuses: instrument, bar_ts, target, attempt (from 0), status. A failure of transport keeps the attempt, so its id too."""
+    last = statuses.groupBy(KEY, "bar_ts", "target").agg(F.max("attempt").alias("__last"), F.max(F.when(F.col("status") == "rejected", F.col("attempt"))).alias("__rejected"))
+    last = last.where("__rejected = __last").withColumn("attempt", F.col("__last") + 1)
+    failed = F.col("attempt") > most
+    return last.select(KEY, "bar_ts", "target", F.when(~failed, F.col("attempt")).alias("attempt"), F.when(~failed, order_id(KEY, "bar_ts", "target", "attempt")).alias("order_id"), failed.alias("failed"))
+
+
 def once(orders: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Orders with an id made of what they are; one that comes again within the watermark is dropped."""
-    named = orders.withColumn("order_id", order_id(KEY, "bar_ts", "signal"))
+    """Orders with an id made of what they are (and of their attempt, if they have one); one that comes again within the watermark
+    is dropped."""
+    named = orders.withColumn("order_id", order_id(KEY, "bar_ts", *[c for c in ("target", "signal", "attempt") if c in orders.columns]))
     return named.withWatermark("bar_ts", late).dropDuplicatesWithinWatermark(["order_id"])
 
 
