@@ -34,7 +34,7 @@ def tag(alpha: float) -> str:
 
 
 class Decay:
-    """Adds decayed sums to a frame. Each alpha costs one sort by its own blocks; sums of one alpha share it."""
+    """Adds decayed sums to a frame. Each call costs one sort by its alpha's blocks, whatever the number of columns."""
 
     def __init__(self, df: DataFrame, alpha: float, by: str = KEY):
         self.d, self.rows, self.by = 1 - alpha, block_rows(alpha), by
@@ -43,26 +43,19 @@ class Decay:
 
     def sums(self, **columns: Column | str) -> DataFrame:
         """Adds each column's decayed sum under the given name; also name__t, the rows since its first value (from 0), and
-        name__first, that value."""
+        name__first, that value. All columns share their blocks: rows before a column's first value add nothing to its sums."""
         order, df, d = series(self.by), self.df, self.d
-        start = order.rowsBetween(W.unboundedPreceding, 0)
+        start, before = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
         keep = df.columns
         df = df.select("*", *[col(x).alias(f"__x_{n}") for n, x in columns.items()])
-        df = df.select("*", *[(F.count(f"__x_{n}").over(start) - 1).alias(f"__i_{n}") for n in columns], *[F.first(f"__x_{n}", ignorenulls=True).over(start).alias(f"__f_{n}") for n in columns])
-        before = order.rowsBetween(W.unboundedPreceding, -1)
-        groups: dict[str, list[str]] = {}
-        for n in columns:
-            groups.setdefault(n, []).append(n)
-        j = lambda n: F.col(f"__i_{n}") % self.rows
+        known = [c for n in columns for c in ((F.count(f"__x_{n}").over(start) - 1).alias(f"{n}__t"), F.first(f"__x_{n}", ignorenulls=True).over(start).alias(f"{n}__first"))]
+        df = df.select("*", (F.row_number().over(order) - 1).alias("__i"), *known)
+        j, block = F.col("__i") % self.rows, W.partitionBy(self.by, F.floor(F.col("__i") / self.rows)).orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
         power = lambda e: F.pow(F.lit(d), e.cast("double"))
-        inside = []
-        for n in columns:
-            block = W.partitionBy(self.by, F.floor(F.col(f"__i_{n}") / self.rows)).orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-            inside.append((power(j(n)) * F.sum(F.col(f"__x_{n}") * power(-j(n))).over(block)).alias(f"__s_{n}"))
-        df = df.select("*", *inside)
-        total = lambda n: F.last(F.when(j(n) == self.rows - 1, F.col(f"__s_{n}")), ignorenulls=True).over(before)
-        done = [F.when(F.col(f"__i_{n}") >= 0, F.col(f"__s_{n}") + power(j(n) + 1) * F.coalesce(total(n), F.lit(0.0))).alias(n) for n in columns]
-        return df.select(*keep, *done, *[F.col(f"__i_{n}").alias(f"{n}__t") for n in columns], *[F.col(f"__f_{n}").alias(f"{n}__first") for n in columns])
+        df = df.select("*", *[(power(j) * F.sum(F.coalesce(F.col(f"__x_{n}"), F.lit(0.0)) * power(-j)).over(block)).alias(f"__s_{n}") for n in columns])
+        total = lambda n: F.last(F.when(j == self.rows - 1, F.col(f"__s_{n}")), ignorenulls=True).over(before)
+        done = [F.when(F.col(f"{n}__t") >= 0, F.col(f"__s_{n}") + power(j + 1) * F.coalesce(total(n), F.lit(0.0))).alias(n) for n in columns]
+        return df.select(*keep, *done, *[f"{n}__{x}" for n in columns for x in ("t", "first")])
 
     def mean(self, name: str, adjust: bool) -> Column:
         """The mean from a decayed sum of this name."""

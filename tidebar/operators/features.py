@@ -84,13 +84,18 @@ def base(bars: DataFrame) -> DataFrame:
     return out.select(*bars.columns, *[made[n].alias(n) for n in BASE])
 
 
+def crossings(mean: str, alphas: tuple[float, ...] = ALPHAS) -> dict[str, Column]:
+    """Fast less slow mean, by close, for each pair of alphas; mean: the columns' name by tag."""
+    pairs = [(ewm.tag(max(p)), ewm.tag(min(p))) for p in combinations(alphas, 2)]
+    return {f"macd_{f}_{s}": divide(F.col(mean.format(f)) - F.col(mean.format(s)), "close") for f, s in pairs}
+
+
 def macd(bars: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
-    """Fast less slow mean, by close, for each pair of alphas."""
+    """Adds the crossings alone."""
     out = bars
     for a in alphas:
         out = ewm.means(out, a, False, **{f"__m{ewm.tag(a)}": "close"})
-    pairs = [(max(p), min(p)) for p in combinations(alphas, 2)]
-    return out.select(*bars.columns, *[divide(F.col(f"__m{ewm.tag(f)}") - F.col(f"__m{ewm.tag(s)}"), "close").alias(f"macd_{ewm.tag(f)}_{ewm.tag(s)}") for f, s in pairs])
+    return out.select(*bars.columns, *[x.alias(n) for n, x in crossings("__m{}", alphas).items()])
 
 
 def extended(bars: DataFrame, alphas: tuple[float, ...] = ALPHAS, lags: tuple[int, ...] = LAGS) -> DataFrame:
@@ -106,30 +111,35 @@ def extended(bars: DataFrame, alphas: tuple[float, ...] = ALPHAS, lags: tuple[in
         if into is not None:
             into += made
 
-    known = set(out.columns)
-    out = macd(out, alphas)
-    price += [n for n in out.columns if n not in known]
     add(price, hl=divide(h, low) - 1, co=divide(c, o) - 1, ch=divide(c, h) - 1, cl=divide(c, low) - 1)
     # Volumes are relative to the last one that was traded.
     add(__ref=win.last_known(F.when(v > 0, v)), **{f"__c{n}": win.difference("close", n) for n in STEPS}, **{f"__v{n}": win.difference(v, n) for n in STEPS})
     add(price, **{f"cd{n}": divide(f"__c{n}", c) for n in STEPS if n > 1})
     add(flow, **{f"vd{n}": divide(f"__v{n}", "__ref") for n in STEPS})
+    up = F.col("__c1")
+    decayed = {"m": c, "w": v, "wc": c * v, "wh": h * v, "wl": low * v, "e": up, "ea": F.abs(up), "f": up * v, "fa": F.abs(up * v)} | {f"{x}{n}": F.col(f"__{x}{n}") for x in "cv" for n in STEPS}
     for a in alphas:
-        t = ewm.tag(a)
-        out = ewm.weighted(out, a, **{f"__wc_{t}": "close", f"__wh_{t}": "high", f"__wl_{t}": "low"})
-        add(price, **{f"vwap_{t}": divide(f"__wc_{t}", c) - 1, f"vwh_{t}": divide(f"__wh_{t}", c) - 1, f"vwl_{t}": divide(f"__wl_{t}", c) - 1, f"vwhl_{t}": divide(F.col(f"__wh_{t}") - F.col(f"__wl_{t}"), c)})
-        out = ewm.efficiency(ewm.efficiency(out, a, f"eff_{t}"), a, f"effv_{t}", weight="volume")
-        price += [f"eff_{t}", f"effv_{t}"]
-        out = ewm.means(out, a, False, **{f"__vm_{t}": v}, **{f"__c{n}_{t}": f"__c{n}" for n in STEPS}, **{f"__v{n}_{t}": f"__v{n}" for n in STEPS})
-        out = ewm.sums(out, a, **{f"__vs_{t}": v})
-        add(price, **{f"cd{n}_ewm_{t}": divide(f"__c{n}_{t}", c) for n in STEPS})
-        add(flow, **{f"vm_{t}": divide(f"__vm_{t}", "__ref"), f"v_over_vm_{t}": divide(v, f"__vm_{t}"), f"vsum_{t}": divide(f"__vs_{t}", "__ref"), f"v_over_vsum_{t}": divide(v, f"__vs_{t}")})
+        # One call, so one sort, for all that decays with this alpha.
+        t, keep = ewm.tag(a), out.columns
+        decay = ewm.Decay(out, a)
+        out = decay.sums(**{f"__d_{n}": x for n, x in decayed.items()})
+        out = out.select(*keep, *[decay.mean(f"__d_{n}", False).alias(f"__{n}_{t}") for n in decayed], F.col("__d_w").alias(f"__vs_{t}"))
+        over = {n: F.when(F.col(f"__w_{t}") > 0, divide(f"__w{n}_{t}", f"__w_{t}")) for n in "chl"}
+        add(price, **{f"vwap_{t}": divide(over["c"], c) - 1, f"vwh_{t}": divide(over["h"], c) - 1, f"vwl_{t}": divide(over["l"], c) - 1, f"vwhl_{t}": divide(over["h"] - over["l"], c)})
+        add(price, **{f"eff_{t}": divide(f"__e_{t}", f"__ea_{t}"), f"effv_{t}": divide(f"__f_{t}", f"__fa_{t}")}, **{f"cd{n}_ewm_{t}": divide(f"__c{n}_{t}", c) for n in STEPS})
+        add(flow, **{f"vm_{t}": divide(f"__w_{t}", "__ref"), f"v_over_vm_{t}": divide(v, f"__w_{t}"), f"vsum_{t}": divide(f"__vs_{t}", "__ref"), f"v_over_vsum_{t}": divide(v, f"__vs_{t}")})
         add(flow, **{f"vd{n}_ewm_{t}": divide(f"__v{n}_{t}", "__ref") for n in STEPS})
-    out = out.select(*bars.columns, *price, *flow)
-    add(__n=F.row_number().over(series()).cast("double"))
-    late = [win.lag(x, n).alias(f"{x}_lag{n}") for x in price for n in lags]
-    steep = [win.rolling_slope(x, F.col("__n"), SLOPE).alias(f"{x}_slope{SLOPE}") for x in price + flow]
-    return out.select(*bars.columns, *price, *flow, *late, *steep)
+    add(price, **crossings("__m_{}", alphas))
+    # All features as one array, so that the window holds one value for each lag rather than one for each lag and feature.
+    both = price + flow
+    out = out.select(*bars.columns, *both, F.array(*both).alias("__0"))
+    out = out.select("*", *[win.lag("__0", n).alias(f"__{n}") for n in sorted({*range(1, SLOPE), *lags})])
+    late = [F.get(F.col(f"__{n}"), F.lit(k)).alias(f"{x}_lag{n}") for k, x in enumerate(price) for n in lags]
+    # A least-squares slope on row numbers is a sum with fixed weights.
+    middle = (SLOPE - 1) / 2
+    weights = [(middle - n) / sum((middle - m) ** 2 for m in range(SLOPE)) for n in range(SLOPE)]
+    steep = [reduce(lambda a, b: a + b, [F.get(F.col(f"__{n}"), F.lit(k)) * F.lit(w) for n, w in enumerate(weights)]).alias(f"{x}_slope{SLOPE}") for k, x in enumerate(both)]
+    return out.select(*bars.columns, *both, *late, *steep)
 
 
 def prefix(instrument: str, timeframe: str) -> str:

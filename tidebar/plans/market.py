@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -285,9 +288,48 @@ def base_features(spark, sf_dir):
     return out.select(KEY, "ts", *_round4(out, *features.BASE))
 
 
-@query("extended_features")
+def _extended_sql(timeframe: str) -> str:
+    """All features of the catalogue: decayed means of one alpha carried from row to row together, each from its first value on."""
+    tags, steps = {a: ewm.tag(a) for a in features.ALPHAS}, features.STEPS
+    inputs = {"m": "close", "w": "v", "wc": "close * v", "wh": "high * v", "wl": "low * v", "e": "c1", "ea": "abs(c1)", "f": "c1 * v", "fa": "abs(c1) * v", **{f"{x}{n}": f"{x}{n}" for x in "cv" for n in steps}}
+    moved = ", ".join(f"close - lag(close, {n}) OVER s AS c{n}, v - lag(v, {n}) OVER s AS v{n}" for n in steps)
+    parts = [_base_sql(timeframe), f"x0 AS (SELECT *, CAST(volume AS DOUBLE) AS v FROM base_b), x1 AS (SELECT *, {moved}, last_value(CASE WHEN v > 0 THEN v END IGNORE NULLS) {_frame(1000000)} AS ref FROM x0 {_W})"]
+    for a, t in tags.items():
+        old = f"{sql.num(1 - a)} * r."
+        step = ", ".join(f"CASE WHEN r.{n} IS NULL THEN {x} ELSE {old}{n} + {sql.num(a)} * {x} END AS {n}" for n, x in ((n, _of("b", x)) for n, x in inputs.items()))
+        parts.append(f"""r_{t} AS (SELECT instrument, i, {', '.join(f'{x} AS {n}' for n, x in inputs.items())}, v AS total FROM x1 WHERE i = 0
+  UNION ALL SELECT b.instrument, b.i, {step}, {old}total + b.v AS total FROM r_{t} r JOIN x1 b ON b.instrument = r.instrument AND b.i = r.i + 1)""")
+    per = lambda x, y: f"({x}) / nullif({y}, 0)"
+    price = {n: f"base.{n}" for n in features.BASE if not n.startswith("vol_")}
+    price |= {f"macd_{tags[max(p)]}_{tags[min(p)]}": per(f"r_{tags[max(p)]}.m - r_{tags[min(p)]}.m", "x1.close") for p in combinations(features.ALPHAS, 2)}
+    price |= {n: per(f"x1.{x}", f"x1.{y}") + " - 1" for n, x, y in (("hl", "high", "low"), ("co", "close", "open"), ("ch", "close", "high"), ("cl", "close", "low"))}
+    price |= {f"cd{n}": per(f"x1.c{n}", "x1.close") for n in steps if n > 1}
+    flow = {n: f"base.{n}" for n in features.BASE if n.startswith("vol_")} | {f"vd{n}": per(f"x1.v{n}", "ref") for n in steps}
+    for t in tags.values():
+        r = f"r_{t}"
+        vw = lambda x: f"CASE WHEN {r}.w > 0 THEN {r}.{x} / {r}.w END"  # noqa: B023, E731
+        price |= {f"vwap_{t}": per(vw("wc"), "x1.close") + " - 1", f"vwh_{t}": per(vw("wh"), "x1.close") + " - 1", f"vwl_{t}": per(vw("wl"), "x1.close") + " - 1", f"vwhl_{t}": per(f"{vw('wh')} - {vw('wl')}", "x1.close")}
+        price |= {f"eff_{t}": per(f"{r}.e", f"{r}.ea"), f"effv_{t}": per(f"{r}.f", f"{r}.fa")} | {f"cd{n}_ewm_{t}": per(f"{r}.c{n}", "x1.close") for n in steps}
+        flow |= {f"vm_{t}": per(f"{r}.w", "ref"), f"v_over_vm_{t}": per("x1.v", f"{r}.w"), f"vsum_{t}": per(f"{r}.total", "ref"), f"v_over_vsum_{t}": per("x1.v", f"{r}.total")} | {f"vd{n}_ewm_{t}": per(f"{r}.v{n}", "ref") for n in steps}
+    made = price | flow
+    parts.append(f"w AS (SELECT x1.instrument, x1.i, x1.ts, {', '.join(f'{x} AS {n}' for n, x in made.items())} FROM x1 JOIN base USING (instrument, i) {' '.join(f'JOIN r_{t} USING (instrument, i)' for t in tags.values())})")
+    k = features.SLOPE
+    late = {f"{n}_lag{d}": f"lag({n}, {d}) OVER s" for n in price for d in features.LAGS}
+    steep = {f"{n}_slope{k}": f"CASE WHEN count({n}) {_frame(k - 1)} >= {k} THEN regr_slope({n}, i + 1) {_frame(k - 1)} END" for n in made}
+    parts.append(f"l AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in (late | steep).items())} FROM w {_W})")
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT instrument, ts, {_r4(*made, *late, *steep)} FROM l"
+
+
+def _of(table: str, x: str) -> str:
+    """An expression over columns of a table."""
+    return re.sub(r"\b(?!abs\b)[a-z]\w*", rf"{table}.\g<0>", x)
+
+
+@query("extended_features", _extended_sql("1h"))
 def extended_features(spark, sf_dir):
-    return features.extended(bars(spark, sf_dir, "1day"), alphas=(0.05, 0.5), lags=(1, 2)).drop("open", "high", "low", "close", "volume")
+    """The whole catalogue."""
+    out = features.extended(bars(spark, sf_dir, "1h")).drop("open", "high", "low", "close", "volume")
+    return out.select(KEY, "ts", *_round4(out, *[c for c in out.columns if c not in (KEY, "ts")]))
 
 
 _WIDE = [(n, tf) for n in ("click", "error", "purchase", "signup", "view") for tf in ("15min", "1h")]
