@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tidebar.operators import features, grid, model, screening, spec, strategies
 from tidebar.operators import windows as win
 from tidebar.operators.candles import KEY
 from tidebar.plans import sql
-from tidebar.plans.market import _W, _frame, bars, rounded
+from tidebar.plans.market import _W, _base_sql, _frame, bars, rounded
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -113,15 +115,55 @@ def recipe_apply(spark, sf_dir):
     return out.select(KEY, "ts", F.round("g1", 6).alias("g1"), F.round("g2", 4).alias("g2"), F.round("g3", 6).alias("g3"))
 
 
-@query("generated_features")
+def _greedy_sql(scores: list[str], pairs: dict[tuple[int, int], str], source: str, least: str, most: int, limit: float) -> str:
+    """chosen: place (from 1) and score of what a greedy choice takes, in its order. scores and pairs are aggregates over source."""
+    numbers = lambda xs: ", ".join(map(str, xs))
+    return f"""sc AS (SELECT unnest([{numbers(range(1, len(scores) + 1))}]) AS place, unnest([{numbers(scores)}]) AS score FROM {source}),
+pw AS (SELECT unnest([{numbers(i + 1 for i, _ in pairs)}]) AS a, unnest([{numbers(j + 1 for _, j in pairs)}]) AS b, unnest([{numbers(pairs.values())}]) AS r FROM {source}),
+nr AS (SELECT a, list(b) AS near FROM (SELECT a, b FROM pw WHERE r >= {limit} AND NOT isnan(r) UNION ALL SELECT b, a FROM pw WHERE r >= {limit} AND NOT isnan(r)) GROUP BY a),
+rk AS (SELECT place, score, coalesce(near, []) AS near, row_number() OVER (ORDER BY score DESC, place) AS k FROM sc LEFT JOIN nr ON place = a WHERE {least} AND NOT isnan(score)),
+gr AS (SELECT 0::BIGINT AS k, []::INTEGER[] AS taken UNION ALL SELECT rk.k, CASE WHEN len(taken) < {most} AND NOT list_has_any(taken, near) THEN list_append(taken, place) ELSE taken END FROM gr JOIN rk ON rk.k = gr.k + 1),
+ch AS (SELECT unnest(taken) AS place, generate_subscripts(taken, 1) AS rank FROM (SELECT arg_max(taken, k) AS taken FROM gr)),
+chosen AS (SELECT place, rank, score FROM ch JOIN sc USING (place))"""
+
+
+_SEEDS = ["ret1", "spread", "body", "gap"]
+
+
+def _generated_sql() -> str:
+    made = [(op, a, b) for op in OPS for a, b in combinations(_SEEDS, 2)]
+    form = {"mul": "{a} * {b}", "div": "{a} / nullif({b}, 0)", "add": "{a} + {b}", "sub": "{a} - {b}", "rel": "({a} - {b}) / nullif({a} + {b}, 0)"}
+    columns = ", ".join(f"{form[op].format(a=a, b=b)} AS x{i}" for i, (op, a, b) in enumerate(made))
+    enough = lambda x, y: f"CASE WHEN count(CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN 1 END) >= 100 THEN abs(corr({x}, {y})) END"
+    pairs = {(i, j): enough(f"x{i}", f"x{j}") for i in range(len(made)) for j in range(i + 1, len(made))}
+    names = ", ".join(f"({i}, 'g1_{op}__{a}__{b}', '{op}', '{a}', '{b}')" for i, (op, a, b) in enumerate(made, 1))
+    lagged = ", ".join(f"lag({n}) OVER s AS {n}" for n in _SEEDS)
+    return f"""WITH RECURSIVE {_base_sql('1h')}, t0 AS (SELECT close / nullif(lag(close) OVER s, 0) AS target, {lagged} FROM base {_W}), t1 AS (SELECT target, {columns} FROM t0),
+{_greedy_sql([enough(f'x{i}', 'target') for i in range(len(made))], pairs, 't1', 'score >= 0.02', 200, 0.95)}
+SELECT name, op, a, b, round(score, 6) AS train_corr FROM chosen JOIN (VALUES {names}) v(place, name, op, a, b) USING (place)"""
+
+
+@query("generated_features", _generated_sql())
 def generated_features(spark, sf_dir):
-    recipes = screening.generate(_train(spark, sf_dir), "target", ["ret1", "spread", "body", "gap"], iterations=1, least=0.01, new=5, screened=20)
+    """The first iteration, with the operator's own limits."""
+    recipes = screening.generate(_train(spark, sf_dir), "target", _SEEDS, iterations=1)
     return spark.createDataFrame([tuple(r.values()) for r in recipes], "name string, op string, a string, b string, train_corr double")
 
 
-@query("selected_features")
+def _selected_sql(most: int) -> str:
+    n = len(features.BASE)
+    lagged = ", ".join(f"lag({x}) OVER s AS {x}" for x in features.BASE)
+    full = ", ".join(f"coalesce({x}, avg({x}) OVER ()) AS {x}" for x in features.BASE)
+    pairs = {(i, j): f"abs(corr({features.BASE[i]}, {features.BASE[j]}))" for i in range(n) for j in range(i + 1, n)}
+    return f"""WITH RECURSIVE {_base_sql('1h')}, t0 AS (SELECT close / nullif(lag(close) OVER s, 0) AS target, {lagged} FROM base {_W}), t1 AS (SELECT target, {full} FROM t0),
+{_greedy_sql([f'abs(corr({x}, target))' for x in features.BASE], pairs, 't1', 'score > 0', most, 0.9)}
+SELECT CAST(rank AS INTEGER) AS place, ([{', '.join(f"'{x}'" for x in features.BASE)}])[place] AS feature FROM chosen"""
+
+
+@query("selected_features", _selected_sql(300))
 def selected_features(spark, sf_dir):
-    chosen = screening.select(_train(spark, sf_dir), ["ret1", "ret3", "spread", "body", "gap", "body_frac"], "target", 4)
+    """Of all base features, with the operator's own limits."""
+    chosen = screening.select(_train(spark, sf_dir), list(features.BASE), "target")
     return spark.createDataFrame(list(enumerate(chosen, 1)), "place int, feature string")
 
 
