@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from tidebar.llm.ann import op6_nearest
 from tidebar.llm.html import op9_main_text
+from tidebar.llm.importance import op11_importance
 from tidebar.llm.licenses import op3_license_scan
 from tidebar.llm.mixing import op5_mix_sources
 from tidebar.llm.neardup import op8_near_duplicates
+from tidebar.llm.negatives import op12_hard_negatives
+from tidebar.llm.passages import op13_repeated_passages
 from tidebar.llm.pii import op2_pseudonyms
 from tidebar.llm.quality import op10_quality_rules
 from tidebar.llm.tokens import op4_byte_bpe, op7_token_files
@@ -23,6 +26,9 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_main_text": op9_main_text,
     "op10_quality_rules": op10_quality_rules,
+    "op11_importance": op11_importance,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_repeated_passages": op13_repeated_passages,
 }
 
 #: Left out: iteration until convergence (1), keyed permutations (2), fuzzy matching (3), tokenizers (4, 7), approximate search (6), HTML (9)
@@ -63,5 +69,62 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.d
 r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c USING (doc_id)
+""",
+    "op11_importance": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+q AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT doc_id, unnest(ws) AS w FROM d),
+qw AS (SELECT unnest(ws) AS w FROM q),
+crc AS (
+  SELECT w, CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(w)) + 1), lambda i: ('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) % 10000 AS INTEGER) AS b
+  FROM (SELECT w FROM dw UNION SELECT w FROM qw)),
+raw AS (SELECT b, count(*) AS s FROM dw JOIN crc USING (w) GROUP BY b),
+wanted AS (SELECT b, count(*) AS t FROM qw JOIN crc USING (w) GROUP BY b),
+sums AS (SELECT (SELECT count(*) FROM dw)::DOUBLE AS s_all, (SELECT count(*) FROM qw)::DOUBLE AS t_all),
+gain AS (
+  SELECT raw.b, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000)))) AS BIGINT) AS g
+  FROM raw LEFT JOIN wanted ON raw.b = wanted.b, sums),
+mean AS (SELECT doc_id, CAST(floor(sum(g) / count(*)) AS BIGINT) AS m FROM dw JOIN crc USING (w) JOIN gain ON crc.b = gain.b GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(m, 0) AS weight,
+    coalesce(m, 0) + CAST(floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN mean USING (doc_id)),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_words AS n_features, weight, score, CASE WHEN r <= (10 * (SELECT count(*) FROM ranked)) // 100 THEN r END AS rank, n_words
+FROM scored LEFT JOIN ranked USING (doc_id)
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.c) + 1), lambda i: a.c[i] * b.c[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+near AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score, CAST(row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS INTEGER) AS positive_rank
+  FROM pairs WHERE same QUALIFY positive_rank <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score, positive_rank
+FROM near JOIN pairs USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+""",
+    "op13_repeated_passages": r"""
+WITH w AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT d, unnest(range(1, len(ws) - 33)) AS i, unnest(list_transform(range(1, len(ws) - 33), lambda k: array_to_string(ws[k:k + 34], ' '))) AS t FROM w WHERE len(ws) >= 35),
+twice AS (SELECT t FROM win GROUP BY t HAVING count(*) >= 2),
+hit AS (SELECT d, i FROM win JOIN twice USING (t)),
+each AS (SELECT d, doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS x FROM w),
+marked AS (
+  SELECT d, doc_id, i, x, max(CASE WHEN hit.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY each.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM each LEFT JOIN hit USING (d, i)),
+left_ AS (SELECT d, sum(gone) AS n_removed, string_agg(CASE WHEN gone = 0 THEN x END, ' ' ORDER BY i) AS kept FROM marked GROUP BY d)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_ USING (d)
 """,
 }
