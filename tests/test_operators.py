@@ -211,16 +211,6 @@ def test_order_ids(spark):
     assert keys[0] == keys[1] != keys[2] and all(len(k) == 16 for k in keys)
 
 
-def test_pairwise_as_pandas(spark):
-    rng = np.random.default_rng(1)
-    data = pd.DataFrame(rng.normal(size=(300, 5)), columns=list("abcde"))
-    data["c"] = data["a"] + rng.normal(size=300) / 10
-    data.loc[:50, "b"] = np.nan
-    got = screening.pairwise(spark.createDataFrame(data), list("abcde"), block=2)
-    assert np.allclose(got, data.corr().abs(), atol=1e-9)
-    assert screening.greedy([0.9, 0.8, 0.7, 0.6, 0.5], got, 3, 0.9) == [0, 1, 3]
-
-
 def test_generated_recipes_apply(spark):
     rng = np.random.default_rng(2)
     data = pd.DataFrame(rng.normal(size=(400, 2)), columns=["a", "b"]).assign(ts=range(400))

@@ -4,6 +4,8 @@ With d = 1 - alpha, everything rests on the decayed sum D_t = sum of d ** (t - i
 cut into blocks in which d ** n falls to 1e-30: inside a block D is d ** j times a running sum of x * d ** -j, which can't
 overflow, and the one block before adds its total, decayed; older blocks are too faint for a double.
 
+A series' windows are one task's; scan.Long, given as `engine`, has the same results without a task that holds a whole series.
+
 Values start at the first row that has one; there may be no missing values after it. `adjust` has no default: with it a mean
 divides by the weights so far, without it the first value has the weight that all before it would have had."""
 
@@ -41,6 +43,16 @@ class Decay:
         self.alpha = alpha
         self.df = df
 
+    def first(self, name: str, x: Column | str) -> None:
+        """Adds the first value so far to the frame."""
+        self.df = self.df.withColumn(name, F.first(col(x), ignorenulls=True).over(series(self.by).rowsBetween(W.unboundedPreceding, 0)))
+
+    def lag(self, name: str, x: str) -> None:
+        self.df = self.df.withColumn(name, F.lag(x).over(series(self.by)))
+
+    def number(self, name: str) -> None:
+        self.df = self.df.withColumn(name, (F.row_number().over(series(self.by)) - 1).cast("double"))
+
     def sums(self, **columns: Column | str) -> DataFrame:
         """Adds each column's decayed sum under the given name; also name__t, the rows since its first value (from 0), and
         name__first, that value. All columns share their blocks: rows before a column's first value add nothing to its sums."""
@@ -69,26 +81,25 @@ def _tidy(df: DataFrame, keep: list[str], **out: Column) -> DataFrame:
     return df.select(*keep, *[c.alias(n) for n, c in out.items()])
 
 
-def means(df: DataFrame, alpha: float, adjust: bool, by: str = KEY, **columns: Column | str) -> DataFrame:
+def means(df: DataFrame, alpha: float, adjust: bool, by: str = KEY, engine: type[Decay] = Decay, **columns: Column | str) -> DataFrame:
     """Adds the mean of each column under the given name."""
-    keep, decay = df.columns, Decay(df, alpha, by)
+    keep, decay = df.columns, engine(df, alpha, by)
     summed = decay.sums(**{f"__m_{n}": x for n, x in columns.items()})
     return _tidy(summed, keep, **{n: decay.mean(f"__m_{n}", adjust) for n in columns})
 
 
-def sums(df: DataFrame, alpha: float, by: str = KEY, **columns: Column | str) -> DataFrame:
+def sums(df: DataFrame, alpha: float, by: str = KEY, engine: type[Decay] = Decay, **columns: Column | str) -> DataFrame:
     keep = df.columns
-    return _tidy(Decay(df, alpha, by).sums(**{f"__m_{n}": x for n, x in columns.items()}), keep, **{n: F.col(f"__m_{n}") for n in columns})
+    return _tidy(engine(df, alpha, by).sums(**{f"__m_{n}": x for n, x in columns.items()}), keep, **{n: F.col(f"__m_{n}") for n in columns})
 
 
-def mean_and_std(df: DataFrame, alpha: float, x: Column | str, mean: str, std: str, by: str = KEY) -> DataFrame:
+def mean_and_std(df: DataFrame, alpha: float, x: Column | str, mean: str, std: str, by: str = KEY, engine: type[Decay] = Decay) -> DataFrame:
     """Adds the adjusted mean and the bias-corrected deviation, which is missing on the first row and 0 on a flat series.
 
     x is centred on its series' first value, else the difference of squares would cancel."""
-    keep = df.columns
-    first = F.first(col(x), ignorenulls=True).over(series(by).rowsBetween(W.unboundedPreceding, 0))
-    df = df.withColumn("__c", first).withColumn("__y", col(x) - F.col("__c"))
-    decay = Decay(df, alpha, by)
+    keep, decay = df.columns, engine(df, alpha, by)
+    decay.first("__c", x)
+    decay.df = decay.df.withColumn("__y", col(x) - F.col("__c"))
     out = decay.sums(__s1="__y", __s2=F.col("__y") * F.col("__y"))
     m1, m2 = decay.mean("__s1", True), decay.mean("__s2", True)
     d, n = F.lit(decay.d), F.col("__s1__t").cast("double") + 1
@@ -100,29 +111,28 @@ def mean_and_std(df: DataFrame, alpha: float, x: Column | str, mean: str, std: s
     return _tidy(out, keep, **{mean: m1 + F.col("__c"), std: value})
 
 
-def weighted(df: DataFrame, alpha: float, weight: str = "volume", by: str = KEY, **columns: Column | str) -> DataFrame:
+def weighted(df: DataFrame, alpha: float, weight: str = "volume", by: str = KEY, engine: type[Decay] = Decay, **columns: Column | str) -> DataFrame:
     """Adds volume-weighted means; missing while the weights' mean isn't positive."""
-    keep, decay = df.columns, Decay(df, alpha, by)
+    keep, decay = df.columns, engine(df, alpha, by)
     w = col(weight).cast("double")
     out = decay.sums(__w=w, **{f"__m_{n}": col(x) * w for n, x in columns.items()})
     below = decay.mean("__w", False)
     return _tidy(out, keep, **{n: F.when(below > 0, divide(decay.mean(f"__m_{n}", False), below)) for n in columns})
 
 
-def efficiency(df: DataFrame, alpha: float, name: str, x: str = "close", weight: str | None = None, by: str = KEY) -> DataFrame:
+def efficiency(df: DataFrame, alpha: float, name: str, x: str = "close", weight: str | None = None, by: str = KEY, engine: type[Decay] = Decay) -> DataFrame:
     """Adds the mean change divided by the mean absolute change, between -1 and 1."""
-    keep, decay = df.columns, None
-    df = df.withColumn("__d", (F.col(x) - F.lag(x).over(series(by))) * (F.col(weight).cast("double") if weight else F.lit(1.0)))
-    decay = Decay(df, alpha, by)
+    keep, decay = df.columns, engine(df, alpha, by)
+    decay.lag("__0", x)
+    decay.df = decay.df.withColumn("__d", (F.col(x) - F.col("__0")) * (F.col(weight).cast("double") if weight else F.lit(1.0)))
     out = decay.sums(__a="__d", __b=F.abs("__d"))
     return _tidy(out, keep, **{name: divide(decay.mean("__a", False), decay.mean("__b", False))})
 
 
-def slope(df: DataFrame, alpha: float, name: str, y: str = "close", by: str = KEY) -> DataFrame:
+def slope(df: DataFrame, alpha: float, name: str, y: str = "close", by: str = KEY, engine: type[Decay] = Decay) -> DataFrame:
     """Adds tanh of the weighted regression slope on the row number, relative to the weighted mean of |y|."""
-    keep = df.columns
-    df = df.withColumn("__n", (F.row_number().over(series(by)) - 1).cast("double"))
-    decay = Decay(df, alpha, by)
+    keep, decay = df.columns, engine(df, alpha, by)
+    decay.number("__n")
     out = decay.sums(__mt="__n", __my=y, __mtt=F.col("__n") * F.col("__n"), __mty=F.col("__n") * F.col(y), __ma=F.abs(y))
     t, v, tt, ty, a = (decay.mean(n, False) for n in ("__mt", "__my", "__mtt", "__mty", "__ma"))
     var = tt - t * t

@@ -1,20 +1,16 @@
-"""Feature screening: correlations in long form, generated pairs, recipes, greedy selection, folds in time.
-
-Statistics are Spark aggregations over all rows; greedy choices run on the driver over those few numbers."""
+"""Feature screening: correlations in long form, generated pairs, recipes, greedy selection, folds in time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window as W
 
 from tidebar.functions.columns import OPS, clean
+from tidebar.operators import redundancy
 
 FLOOR = 100
 CHUNK = 512
@@ -37,8 +33,9 @@ def correlations(df: DataFrame, candidates: dict[str, Column], target: str, floo
 
 
 def prefilter(df: DataFrame, columns: list[str], target: str, least: float = 0.03, floor: int = FLOOR) -> list[str]:
-    found = {r.name: r["corr"] for r in correlations(df, {c: F.col(c) for c in columns}, target, floor).collect()}
-    return [c for c in columns if found.get(c, 0.0) >= least]
+    table = redundancy.values(df, columns, target)
+    found = {r.i for r in redundancy.scores(table, len(columns), [None], floor=floor).where(F.col("corr") >= least).collect()}
+    return [c for i, c in enumerate(columns) if i in found]
 
 
 def pair_candidates(names: list[str], done: int = 0) -> dict[tuple[str, str, str], Column]:
@@ -47,81 +44,38 @@ def pair_candidates(names: list[str], done: int = 0) -> dict[tuple[str, str, str
     return {(op, a, b): f(F.col(a).cast("double"), F.col(b).cast("double")) for op, f in OPS.items() for a, b in pairs}
 
 
-def moments(df: DataFrame, columns: list[str], block: int = 128) -> dict[tuple[int, int], np.ndarray]:
-    """For each pair of columns: rows with both, and sums of x, y, xx, yy, xy over them, by blocks of columns.
-
-    Tasks add up their rows; the driver gets six numbers a pair."""
-    n = len(columns)
-    starts = range(0, n, block)
-    pairs = [(a, b) for a in starts for b in starts if a <= b]
-
-    def partial(batches: Iterable[pd.DataFrame]):
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            m = batch.to_numpy(dtype=float)
-            ok = np.isfinite(m)
-            v = np.where(ok, m, 0.0)
-            ok = ok.astype(float)
-            for a, b in pairs:
-                x, y, p, q = v[:, a : a + block], v[:, b : b + block], ok[:, a : a + block], ok[:, b : b + block]
-                made = np.stack([p.T @ q, x.T @ q, p.T @ y, (x * x).T @ q, p.T @ (y * y), x.T @ y])
-                total[a, b] = total.get((a, b), 0) + made
-        for (a, b), m in total.items():
-            yield pd.DataFrame({"a": [a], "b": [b], "m": [m.ravel().tolist()]})
-
-    def whole(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"a": [part["a"].iloc[0]], "b": [part["b"].iloc[0]], "m": [np.sum(np.stack(part["m"].to_numpy()), axis=0).tolist()]})
-
-    rows = df.select(*[F.col(c).cast("double") for c in columns]).mapInPandas(partial, "a int, b int, m array<double>").groupBy("a", "b").applyInPandas(whole, "a int, b int, m array<double>").collect()
-    return {(r.a, r.b): np.array(r.m).reshape(6, min(block, n - r.a), min(block, n - r.b)) for r in rows}
-
-
-def pairwise(df: DataFrame, columns: list[str], floor: int = FLOOR, block: int = 128) -> np.ndarray:
-    """|corr| of every two columns over rows with both; 0 under floor rows or where it isn't defined."""
-    n = len(columns)
-    out = np.zeros((n, n))
-    for (a, b), (c, sx, sy, sxx, syy, sxy) in moments(df, columns, block).items():
-        with np.errstate(all="ignore"):
-            r = np.abs(c * sxy - sx * sy) / np.sqrt((c * sxx - sx * sx) * (c * syy - sy * sy))
-        r = np.where((c >= floor) & np.isfinite(r), r, 0.0)
-        out[a : a + r.shape[0], b : b + r.shape[1]] = r
-        out[b : b + r.shape[1], a : a + r.shape[0]] = r.T
-    return out
-
-
-def greedy(scores: list[float], related: np.ndarray, most: int, limit: float) -> list[int]:
-    """Indexes by falling score (ties by place), leaving out what is too close to one taken before."""
-    taken: list[int] = []
-    for i in sorted(range(len(scores)), key=lambda i: -scores[i]):
-        if len(taken) >= most:
-            break
-        if not any(related[i, j] >= limit for j in taken):
-            taken.append(i)
-    return taken
-
-
 def generate(df: DataFrame, target: str, columns: list[str], iterations: int = 2, least: float = 0.02, inter: float = 0.95, new: int = 200, screened: int = 3000, floor: int = FLOOR) -> list[dict]:
-    """Ordered recipes {name, op, a, b, train_corr} of pairs that go with the target and not too much with one another."""
-    names, recipes, done = list(columns), [], 0
+    """Ordered recipes {name, op, a, b, train_corr} of pairs that go with the target and not too much with one another.
+
+    Candidates are scored in one scan and compared in another (see redundancy); the driver gets the `screened` best of them, and the
+    places of those chosen. Scores that agree to ten digits are ties, which go by operation, then pair."""
+    names, recipes, done, ops = list(columns), [], 0, list(OPS)
     for it in range(1, iterations + 1):
-        have = apply(df, recipes)
-        made = pair_candidates(names, done)
-        done = len(names)
-        keys = {f"g{it}_{op}__{a}__{b}": (op, a, b) for op, a, b in made}
-        scored = correlations(have, {n: made[k] for n, k in keys.items()}, target, floor).where(F.col("corr") >= least)
-        place = {n: i for i, n in enumerate(keys)}
-        top = sorted(((r["corr"], r.name) for r in scored.orderBy(F.desc("corr"), "name").limit(screened).collect()), key=lambda x: (-x[0], place[x[1]]))
-        if not top:
+        if len(names) < 2 or done >= len(names):
+            break
+        table, width = redundancy.values(apply(df, recipes), names, target), len(names)
+        scored = redundancy.scores(table, width, ops, done, floor).where(F.col("corr") >= least)
+        top = scored.orderBy(F.desc(F.round("corr", 10)), "o", "i", "j").limit(screened).collect()
+        done = width
+        for at in _spread([(r.op, r.i, r.j, r["mean"], r.dev) for r in top], table, width, inter, new, floor):
+            r = top[at]
+            a, b = names[r.i], names[r.j]
+            recipes.append({"name": f"g{it}_{r.op}__{a}__{b}", "op": r.op, "a": a, "b": b, "train_corr": round(float(r["corr"]), 6)})
+            names.append(recipes[-1]["name"])
+        if len(names) == width:
             break
-        related = pairwise(have.select(*[made[keys[n]].alias(n) for _, n in top]), [n for _, n in top], floor)
-        chosen = [top[i] for i in greedy([c for c, _ in top], related, new, inter)]
-        for corr, n in chosen:
-            op, a, b = keys[n]
-            recipes.append({"name": n, "op": op, "a": a, "b": b, "train_corr": round(float(corr), 6)})
-            names.append(n)
     return recipes
 
 
+def _spread(candidates: list[tuple], table: DataFrame, width: int, limit: float, most: int, floor: int) -> list[int]:
+    """Places of what a greedy choice takes of the candidates in their order."""
+    if not candidates:
+        return []
+    edges = redundancy.graph(table, width, candidates, limit, floor)
+    nodes = table.sparkSession.range(len(candidates)).select(F.col("id").cast("int").alias("id"))
+    return [r.id for r in redundancy.first_independent(nodes, edges, most).orderBy("id").collect()]
+
+
 def apply(df: DataFrame, recipes: list[dict]) -> DataFrame:
     """Adds the recipes' columns in their order, one projection a layer; recipes whose inputs are missing are skipped."""
     left = list(recipes)
@@ -139,9 +93,10 @@ def select(df: DataFrame, columns: list[str], target: str, most: int = 300, inte
     """Greedy choice by |corr| with the target after missing values became their column's mean; none with a zero correlation."""
     means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
     full = df.select(F.col(target), *[F.coalesce(F.col(c), F.lit(means[c])).alias(c) for c in columns])
-    scores = {r.name: r["corr"] for r in correlations(full, {c: F.col(c) for c in columns}, target, floor=1).collect()}
-    some = [c for c in columns if scores.get(c, 0.0) > 0]
-    return [some[i] for i in greedy([scores[c] for c in some], pairwise(full, some, floor=1), most, inter)] if some else []
+    table, width = redundancy.values(full, columns, target), len(columns)
+    found = redundancy.scores(table, width, [None], floor=1).where("corr > 0").collect()  # a row a column
+    top = sorted(found, key=lambda r: (-round(r["corr"], 10), r.i))
+    return [columns[top[at].i] for at in _spread([(None, r.i, r.i, r["mean"], r.dev) for r in top], table, width, inter, most, 1)]
 
 
 def timed_folds(df: DataFrame, k: int, order: str = "ts") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidebar.functions.columns import divide
-from tidebar.operators import candles
+from tidebar.operators import candles, quantiles
 from tidebar.operators import windows as win
 from tidebar.operators.candles import KEY, series
 
@@ -110,8 +110,9 @@ def profile(trips: DataFrame, key: Column, name: str) -> DataFrame:
 
 
 def quartiles(df: DataFrame, x: str, name: str = "bucket") -> DataFrame:
-    """Adds the quartile of x with its ends: right-closed, the lowest value included, equal edges merged. The edges are one row."""
-    edges = df.agg(F.array_distinct(F.expr(f"percentile({x}, array(0.0, 0.25, 0.5, 0.75, 1.0))")).alias("__e"))
+    """Adds the quartile of x with its ends: right-closed, the lowest value included, equal edges merged. The edges are one row, by
+    exact selection."""
+    edges = quantiles.quantiles(df, x, (0.0, 0.25, 0.5, 0.75, 1.0)).agg(F.array_sort(F.collect_set("value")).alias("__e"))
     out = df.crossJoin(F.broadcast(edges))
     place = F.greatest(F.lit(1), F.size(F.filter("__e", lambda e: e < F.col(x))))
     out = out.withColumn(name, F.when(F.col(x).isNotNull(), place))

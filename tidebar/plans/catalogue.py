@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidebar.plans import market, research
+from tidebar.plans import market, research, scale
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (market, research):
+for _module in (market, research, scale):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
