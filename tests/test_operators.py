@@ -229,7 +229,7 @@ def test_folds_and_model(spark, tmp_path):
     assert [r["count"] for r in screening.timed_folds(df, 3).groupBy("fold").count().orderBy("fold").collect()] == [50, 50, 50, 50]
     with pytest.raises(ValueError):
         screening.timed_folds(df, 1)
-    fitted = model.fit(df, ["x"], maxIter=3)
+    fitted = model.fit(df, ["x"], n_estimators=30)
     model.save(fitted, str(tmp_path / "m"), {"n": 1}, df, ["x"])
     again, meta = model.load(spark, str(tmp_path / "m"))
     assert meta == {"n": 1, "feature_cols": ["x"]} and model.predict(again, df, ["x"]).agg(F.corr("pred", "target")).first()[0] > 0.8
@@ -281,14 +281,12 @@ def test_asof_of_many_sources_is_one_by_one(bars):
 
 
 def test_draws_differ_and_latest_model(spark, tmp_path):
-    made = model.draws(30)
-    assert len({tuple(x.values()) for x in made}) == 30 and set(made[0]) == set(model.SPACE) and made == model.draws(30)
     df = spark.createDataFrame([(float(i), float(i % 7)) for i in range(60)], "x double, target double")
     assert model.latest(spark, str(tmp_path / "none")) is None
     out, meta = model.predictions(df, str(tmp_path / "none"), 1.0)
     assert meta is None and {r.pred for r in out.collect()} == {1.0}
     for name, at in (("a", "2024-02-01"), ("b", "2024-01-01")):
-        model.save(model.fit(df, ["x"], maxIter=1), str(tmp_path / "m" / name), {"timestamp": at}, df, ["x"])
+        model.save(model.fit(df, ["x"], n_estimators=1), str(tmp_path / "m" / name), {"timestamp": at}, df, ["x"])
     assert model.latest(spark, str(tmp_path / "m")).endswith("/a")
     out, meta = model.predictions(df, str(tmp_path / "m"), 1.0)
     assert meta["timestamp"] == "2024-02-01" and out.where("pred is null").count() == 0

@@ -26,6 +26,12 @@ def divide(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a).cast("double"), F.nullif(col(b).cast("double"), F.lit(0.0)))
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's, an aggregate over rows that have both; NULL where either doesn't vary (corr() raises there)."""
+    x, y = F.when(col(b).isNotNull(), col(a).cast("double")), F.when(col(a).isNotNull(), col(b).cast("double"))
+    return clean(F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))))
+
+
 def true(x: Column) -> Column:
     return F.coalesce(x, F.lit(False))
 

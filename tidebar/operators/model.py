@@ -1,23 +1,18 @@
-"""Return models: gradient-boosted trees from MLlib, forward-chaining validation, tuning, saved with their contract."""
+"""Return models: boosted trees that take missing values, forward-chaining validation, adaptive tuning, saved with their contract."""
 
 from __future__ import annotations
 
 import json
 import math
-import random
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.functions.columns import divide
-from tidebar.operators import screening
+from tidebar.functions.columns import clean, correlation, divide
+from tidebar.operators import boost, screening, tpe
 from tidebar.operators import windows as win
-
-DEFAULTS = {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1, "subsamplingRate": 1.0, "seed": 0}
+from tidebar.operators.tables import written
 
 
 def target() -> F.Column:
@@ -25,50 +20,61 @@ def target() -> F.Column:
     return divide("close", win.lag("close"))
 
 
-def fit(train: DataFrame, features: list[str], label: str = "target", **params) -> PipelineModel:
-    """Missing features become their column's mean; rows without a label are left out."""
-    filled = [f"{c}__f" for c in features]
-    stages = [Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep"), GBTRegressor(labelCol=label, predictionCol="pred", **(DEFAULTS | params))]
-    return Pipeline(stages=stages).fit(train.where(F.col(label).isNotNull()))
+def complete(df: DataFrame) -> DataFrame:
+    """Rows without a missing value or NaN in any column."""
+    numbers = {c for c, t in df.dtypes if t in ("double", "float")}
+    for c in df.columns:
+        df = df.where((clean(F.col(f"`{c}`")) if c in numbers else F.col(f"`{c}`")).isNotNull())
+    return df
 
 
-def predict(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
+def fit(train: DataFrame, features: list[str], label: str = "target", **params) -> boost.Model:
+    """Missing features go to the better side of each cut; rows without a label are left out."""
+    return boost.fit(train, features, label, **params)
+
+
+def predict(model: boost.Model, df: DataFrame, features: list[str]) -> DataFrame:
     missing = set(features) - set(df.columns)
     if missing:
         raise ValueError(f"missing features: {sorted(missing)}")
-    return model.transform(df).select(*df.columns, "pred")
+    return boost.predict(model, df)
+
+
+def mean_prediction(predicted: DataFrame, pred: str = "pred") -> float | None:
+    """Mean of the predictions that are there."""
+    return predicted.agg(F.avg(clean(F.col(pred)))).first()[0]
+
+
+def after_training(df: DataFrame, train_end, ready: DataFrame | None = None) -> DataFrame:
+    """Bars after the training's end. Indicators made from the result are warmed up anew on it; those of bars with indicators
+    made before (`ready`, by instrument and ts) keep what the bars before the cut gave them."""
+    out = df.where(F.col("ts") > F.lit(train_end).cast("timestamp_ntz"))
+    if ready is None:
+        return out
+    extra = [c for c in ready.columns if c not in df.columns]
+    return out.join(ready.select("instrument", "ts", *extra), ["instrument", "ts"], "left")
 
 
 def cv_corr(df: DataFrame, features: list[str], k: int = 5, label: str = "target", **params) -> list[float]:
     """Correlation of predictions with the label in each fold, trained on all folds before it; -1 where it isn't defined."""
-    folded = screening.timed_folds(df.where(F.col(label).isNotNull()), k).persist()
+    folded = written(screening.timed_folds(df.where(F.col(label).isNotNull()), k), "folds")
     out = []
     for f in range(1, k + 1):
         model = fit(folded.where(F.col("fold") < f), features, label, **params)
-        c = predict(model, folded.where(F.col("fold") == f), features).agg(F.corr("pred", label)).first()[0]
+        c = predict(model, folded.where(F.col("fold") == f), features).agg(correlation("pred", label)).first()[0]
         out.append(-1.0 if c is None or math.isnan(c) else c)
-    folded.unpersist()
     return out
 
 
-#: What tuning draws from.
-SPACE = {"maxIter": (5, 10, 20), "maxDepth": (2, 3, 4), "stepSize": (0.05, 0.1, 0.2), "subsamplingRate": (0.7, 0.85, 1.0), "minInstancesPerNode": (1, 5, 20), "minInfoGain": (0.0, 1e-6), "maxBins": (16, 32, 64), "featureSubsetStrategy": ("all", "sqrt", "onethird"), "minWeightFractionPerNode": (0.0, 0.01)}
-
-
-def draws(trials: int, seed: int = 0) -> list[dict]:
-    """Different sets of parameters, at most as many as there are."""
-    draw, seen = random.Random(seed), {}
-    while len(seen) < min(trials, math.prod(map(len, SPACE.values()))):
-        params = {n: draw.choice(values) for n, values in SPACE.items()}
-        seen.setdefault(tuple(params.values()), params)
-    return list(seen.values())
+def tune(df: DataFrame, features: list[str], trials: int = 30, k: int = 5, seed: int = 0, label: str = "target", space: tpe.Space = tpe.SPACE, **fixed) -> tuple[dict, float]:
+    """The parameters of the best mean correlation over the folds among so many trials of an adaptive search, and that mean."""
 
+    def mean(params: dict) -> float:
+        scores = cv_corr(df, features, k, label, **(fixed | params))
+        return sum(scores) / len(scores)
 
-def tune(df: DataFrame, features: list[str], trials: int = 30, k: int = 5, seed: int = 0, label: str = "target") -> tuple[dict, float]:
-    """Random search by the mean correlation over the folds: parameters and score of the best of so many different sets."""
-    scored = [(sum(scores) / len(scores), params) for params in draws(trials, seed) for scores in [cv_corr(df, features, k, label, **params)]]
-    score, params = max(scored, key=lambda x: x[0], default=(-2.0, {}))
-    return params, score
+    params, score, _ = tpe.search(mean, space, trials, seed)
+    return fixed | params, score
 
 
 def latest(spark: SparkSession, folder: str) -> str | None:
@@ -91,18 +97,19 @@ def predictions(df: DataFrame, folder: str, fill: float | None = None) -> tuple[
     return (out if fill is None else out.fillna(fill, subset=["pred"])), meta
 
 
-def save(model: PipelineModel, path: str, meta: dict, sample: DataFrame, features: list[str]) -> None:
-    """Writes model and meta, reads the model back, and compares its predictions on a sample."""
-    model.write().overwrite().save(path + "/model")
+def save(model: boost.Model, path: str, meta: dict, sample: DataFrame, features: list[str]) -> None:
+    """Writes model and meta as JSON, reads the model back, and compares its predictions on a sample."""
     spark = sample.sparkSession
-    spark.createDataFrame([(json.dumps(meta | {"feature_cols": features}),)], "value string").coalesce(1).write.mode("overwrite").text(path + "/meta")
-    again = PipelineModel.load(path + "/model")
+    for name, text in (("model", model.to_json()), ("meta", json.dumps(meta | {"feature_cols": features}))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+    again, _ = load(spark, path)
     if predict(model, sample, features).exceptAll(predict(again, sample, features)).limit(1).count():
         raise RuntimeError("the saved model predicts otherwise")
 
 
-def load(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
-    return PipelineModel.load(path + "/model"), json.loads(spark.read.text(path + "/meta").first()[0])
+def load(spark: SparkSession, path: str) -> tuple[boost.Model, dict]:
+    model, meta = (spark.read.text(f"{path}/{name}").first()[0] for name in ("model", "meta"))
+    return boost.Model.from_json(model), json.loads(meta)
 
 
 def split(df: DataFrame, holdout: str) -> tuple[DataFrame, DataFrame]:

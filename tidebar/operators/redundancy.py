@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.functions.columns import OPS
 from tidebar.operators.tables import written
 
 FLOOR = 100
@@ -46,6 +47,18 @@ def values(df: DataFrame, columns: Sequence[str], target: str | None = None) ->
     return written(df.select(F.array(*map(number, columns)).alias("x"), (number(target) if target else F.lit(0.0)).alias("y")), "values")
 
 
+def extended(table: DataFrame, made: Sequence[tuple[str, int, int]]) -> DataFrame:
+    """A table of values() with more values: operations (op, i, j) on those it has."""
+    new = [F.coalesce(OPS[op](F.get("x", F.lit(i)), F.get("x", F.lit(j))), F.lit(float("nan"))) for op, i, j in made]
+    return written(table.select(F.concat("x", F.array(*new)).alias("x"), "y"), "values")
+
+
+def _share(table: DataFrame, whole: int, state: int) -> int:
+    """Bytes of sums for one scan: at most `state`, and less where a table in few files wouldn't use all cores otherwise."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return min(state, max(1 << 20, whole * len(table.inputFiles()) // cores))
+
+
 def _rows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width), batch.column("y").to_numpy(zero_copy_only=False)
 
@@ -82,7 +95,7 @@ def scores(table: DataFrame, width: int, ops: Sequence[str | None], done: int =
     """Rows (op, i, j, n, corr, mean, dev) of all candidates over a table of values(): each op on each two columns i < j with j >= done
     (None: each column). mean and dev are the candidate's over the rows used."""
     groups: list[list[tuple[int, int, int]]] = [[]]
-    size = 0
+    size, state = 0, _share(table, 48 * len(ops) * width * (width + 1) // 2, state)
     for o, op in enumerate(ops):
         for i in range(width):
             first = max(i + 1, done)
@@ -138,7 +151,7 @@ def graph(table: DataFrame, width: int, candidates: Sequence[tuple[str | None, i
     n = len(candidates)
     starts = list(range(0, n, block))
     pairs = [(a, b) for a in starts for b in starts if a <= b]
-    most = max(1, state // (48 * block * block))
+    most = max(1, _share(table, 48 * block * block * len(pairs), state) // (48 * block * block))
     mean = np.array([c[3] for c in candidates])
     dev = np.array([c[4] if c[4] > 0 else 1.0 for c in candidates])
 
@@ -198,18 +211,15 @@ def first_independent(nodes: DataFrame, edges: DataFrame, most: int | None = Non
 
     Each round takes the nodes without an undecided neighbour before them, and drops those after them."""
     edges = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "edges")
-    open_ = written(nodes.select(F.col("id")).distinct(), "open")
-    taken = None
+    open_, taken = nodes.select("id").distinct(), None
     while True:
-        waits = edges.select(F.col("v").alias("id")).distinct()
-        chosen = written(open_.join(waits, "id", "left_anti"), "chosen")
+        waits = open_.join(edges.select(F.col("v").alias("id"), F.lit(True).alias("w")).distinct(), "id", "left")
+        after = edges.join(waits.where("w is null").select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id"), F.lit(True).alias("g")).distinct()
+        state = written(waits.join(after, "id", "left").select("id", F.when(F.col("w").isNull(), "taken").when(F.col("g"), "gone").otherwise("open").alias("state")), "state")
+        chosen, open_ = state.where("state = 'taken'").select("id"), state.where("state = 'open'").select("id")
         taken = chosen if taken is None else taken.unionByName(chosen)
-        gone = written(edges.join(chosen, F.col("u") == F.col("id"), "left_semi").select(F.col("v").alias("id")).distinct(), "gone")
-        decided = chosen.unionByName(gone)
-        open_ = written(open_.join(decided, "id", "left_anti"), "open")
-        edges = edges.join(decided.withColumnRenamed("id", "x"), F.col("u") == F.col("x"), "left_anti").join(decided.withColumnRenamed("id", "x"), F.col("v") == F.col("x"), "left_anti")
-        edges = written(edges, "edges")
         next_ = open_.agg(F.min("id").alias("id")).first()["id"]
         if next_ is None or (most is not None and taken.where(F.col("id") < next_).count() >= most):
             break
+        edges = written(edges.join(open_.withColumnRenamed("id", "u"), "u", "left_semi").join(open_.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v"), "edges")
     return taken.orderBy("id").limit(most) if most is not None else taken

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window as W
 
-from tidebar.functions.columns import OPS, clean
+from tidebar.functions.columns import OPS, clean, correlation
 from tidebar.operators import redundancy
 
 FLOOR = 100
@@ -26,7 +26,7 @@ def correlations(df: DataFrame, candidates: dict[str, Column], target: str, floo
     for at in range(0, len(names), CHUNK):
         part = names[at : at + CHUNK]
         long = df.select(F.col(target).alias("y"), F.posexplode(F.array(*[clean(candidates[n].cast("double")) for n in part])).alias("pos", "x")).where("x is not null and y is not null")
-        found = long.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.abs(F.corr("x", "y")).alias("c"))
+        found = long.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.abs(correlation("x", "y")).alias("c"))
         named = found.select(F.get(F.array(*map(F.lit, part)), F.col("pos")).alias("name"), "n", F.when(F.col("n") >= floor, F.coalesce(clean("c"), F.lit(0.0))).otherwise(0.0).alias("corr"))
         out = named if out is None else out.unionByName(named)
     return out
@@ -50,10 +50,9 @@ def generate(df: DataFrame, target: str, columns: list[str], iterations: int = 2
     Candidates are scored in one scan and compared in another (see redundancy); the driver gets the `screened` best of them, and the
     places of those chosen. Scores that agree to ten digits are ties, which go by operation, then pair."""
     names, recipes, done, ops = list(columns), [], 0, list(OPS)
+    table = redundancy.values(df, names, target)
     for it in range(1, iterations + 1):
-        if len(names) < 2 or done >= len(names):
-            break
-        table, width = redundancy.values(apply(df, recipes), names, target), len(names)
+        width, made = len(names), []
         scored = redundancy.scores(table, width, ops, done, floor).where(F.col("corr") >= least)
         top = scored.orderBy(F.desc(F.round("corr", 10)), "o", "i", "j").limit(screened).collect()
         done = width
@@ -62,8 +61,11 @@ def generate(df: DataFrame, target: str, columns: list[str], iterations: int = 2
             a, b = names[r.i], names[r.j]
             recipes.append({"name": f"g{it}_{r.op}__{a}__{b}", "op": r.op, "a": a, "b": b, "train_corr": round(float(r["corr"]), 6)})
             names.append(recipes[-1]["name"])
-        if len(names) == width:
+            made.append((r.op, r.i, r.j))
+        if not made:
             break
+        if it < iterations:
+            table = redundancy.extended(table, made)
     return recipes
 
 
@@ -116,7 +118,7 @@ def timed_folds(df: DataFrame, k: int, order: str = "ts") -> DataFrame:
 
 
 def period_corr(df: DataFrame, x: str, y: str, period: Column, least: int = 2) -> DataFrame:
-    return df.groupBy(period.alias("period")).agg(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"), F.corr(x, y).alias("corr")).where(F.col("n") >= least)
+    return df.groupBy(period.alias("period")).agg(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"), correlation(x, y).alias("corr")).where(F.col("n") >= least)
 
 
 def null_columns(df: DataFrame) -> list[str]:

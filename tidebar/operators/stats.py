@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidebar.functions.columns import divide
+from tidebar.functions.columns import correlation, divide
 from tidebar.operators import candles, quantiles
 from tidebar.operators import windows as win
 from tidebar.operators.candles import KEY, series
@@ -121,5 +121,5 @@ def quartiles(df: DataFrame, x: str, name: str = "bucket") -> DataFrame:
 
 def correlations(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """Pearson correlation of each column with the target over rows that have both: one aggregation, one row a column."""
-    made = df.agg(*[F.corr(c, target).alias(c) for c in columns])
+    made = df.agg(*[correlation(c, target).alias(c) for c in columns])
     return made.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.col(c), 6).alias("corr")) for c in columns])))

@@ -180,9 +180,10 @@ def period_corr(spark, sf_dir):
 
 @query("gbt_predictions")
 def gbt_predictions(spark, sf_dir):
-    names = ["ret1", "ret3", "spread", "body", "gap", "body_frac", "close_pos"]
+    """Of boosted trees over all base features, those of the first bars with missing values included."""
+    names = list(features.BASE)
     train, holdout = model.split(_train(spark, sf_dir), "2024-01-22")
-    return model.predict(model.fit(train, names, maxIter=5), holdout, names).select(KEY, "ts", "target", "pred")
+    return model.predict(model.fit(train, names, n_estimators=10), holdout, names).select(KEY, "ts", "target", "pred")
 
 
 _SIGNAL_PARTS = f"""{sql.candles('1h')}, {sql.numbered()}, {sql.ewm('f', 'b', 2 / 13, False, fast='close')}, {sql.ewm('w', 'b', 2 / 49, False, slow='close')},

@@ -7,10 +7,11 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tidebar.functions.columns import OPS
-from tidebar.operators import ewm, features, quantiles, redundancy, scan, screening
+from tidebar.operators import ewm, features, model, quantiles, redundancy, scan, screening
+from tidebar.operators import windows as win
 from tidebar.operators.candles import KEY
 from tidebar.plans import sql
-from tidebar.plans.market import _W, _base_sql, bars, rounded
+from tidebar.plans.market import _MOVES, _W, _base_sql, bars, rounded
 from tidebar.plans.research import _train
 
 QUERIES: dict = {}
@@ -29,7 +30,7 @@ def query(name: str, text: str | None = None):
 
 _LONG = [
     sql.candles("15min"), sql.numbered(), sql.ewm("e0", "b", 0.05, False, m="close", h="high * volume", v="volume"), sql.ewm("e1", "b", 0.02, True, t="close"), sql.deviation("e2", "b", 0.02),
-    "mv AS (SELECT *, coalesce(close - lag(close) OVER (PARTITION BY instrument ORDER BY i), 0.0) AS d FROM b)", sql.ewm("e3", "mv", 0.05, False, a="d", aa="abs(d)"),
+    _MOVES, sql.ewm("e3", "m", 0.05, False, a="d", aa="abs(d)"),
     sql.ewm("e4", "b", 0.05, False, t="CAST(i AS DOUBLE)", y="close", tt="CAST(i AS DOUBLE) * i", ty="close * i", a="abs(close)"),
 ]
 
@@ -37,7 +38,7 @@ _LONG = [
 @query("long_decays", "WITH RECURSIVE " + ",\n".join(_LONG) + """
 SELECT b.instrument, b.ts, CAST(b.i AS BIGINT) AS place, round(e0.m + 1e-9, 6) AS mean, round(e0.h / e0.v + 1e-9, 6) AS vwh, round(e1.t + 1e-9, 6) AS trend, round(e2.m + 1e-9, 4) AS centre, round(e2.sd + 1e-9, 4) AS std,
   round(e3.a / nullif(e3.aa, 0) + 1e-9, 6) AS eff, round(tanh(CASE WHEN e4.tt - e4.t * e4.t > 1e-12 THEN (e4.ty - e4.t * e4.y) / (e4.tt - e4.t * e4.t) ELSE 0.0 END / (e4.a + 1e-9)) + 1e-9, 4) + 0.0::DOUBLE AS slope
-FROM b JOIN e0 USING (instrument, i) JOIN e1 USING (instrument, i) JOIN e2 USING (instrument, i) JOIN e3 USING (instrument, i) JOIN e4 USING (instrument, i)""")
+FROM b JOIN e0 ON e0.instrument = b.instrument AND e0.i = b.i JOIN e1 ON e1.instrument = b.instrument AND e1.i = b.i JOIN e2 ON e2.instrument = b.instrument AND e2.i = b.i LEFT JOIN e3 ON e3.instrument = b.instrument AND e3.i = b.i - 1 JOIN e4 ON e4.instrument = b.instrument AND e4.i = b.i""")
 def long_decays(spark, sf_dir):
     """All kinds of decayed values by prefix scans: no task holds a series."""
     out = scan.numbered(bars(spark, sf_dir, "15min"), "place").drop("__part")
@@ -85,7 +86,7 @@ def _candidates_sql() -> str:
 t1 AS (SELECT row_number() OVER () AS r, target, [{', '.join(features.BASE)}] AS f FROM t0),
 pr(i, j) AS (VALUES {pairs}), op(o, op) AS (VALUES {ops}),
 v0 AS (SELECT r, target, o, op, i, j, f[i + 1]::DOUBLE AS a, f[j + 1]::DOUBLE AS b FROM t1, pr, op),
-v1 AS (SELECT r, target, o, op, i, j, {made} AS x FROM v0),
+v1 AS MATERIALIZED (SELECT r, target, o, op, i, j, {made} AS x FROM v0),
 cand AS (SELECT o, op, i, j, count(CASE WHEN x IS NOT NULL AND target IS NOT NULL THEN 1 END) AS n, abs(corr(x, target)) AS c FROM v1 GROUP BY ALL),
 nm AS (SELECT [{names}] AS names)"""
 
@@ -104,21 +105,32 @@ def recipes_frame(spark, recipes):
 
 
 @query("generated_base", f"""WITH RECURSIVE {_candidates_sql()},
-rk AS (SELECT *, row_number() OVER (ORDER BY round(c, 10) DESC, o, i, j) AS k FROM cand WHERE n >= 100 AND NOT isnan(c) AND c >= 0.02 QUALIFY k <= 3000),
-vs AS (SELECT r, k, x FROM v1 JOIN rk USING (o, i, j)),
-ed AS (SELECT p.k AS u, q.k AS v FROM vs p JOIN vs q ON p.r = q.r AND p.k < q.k AND p.x IS NOT NULL AND q.x IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 100 AND abs(corr(p.x, q.x)) >= 0.95 AND NOT isnan(corr(p.x, q.x))),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY round(c, 10) DESC, o, i, j) AS k FROM cand WHERE n >= 100 AND NOT isnan(c) AND c >= 0.02 QUALIFY k <= 3000),
+ms AS (SELECT k, avg(x) AS mean, greatest(stddev_pop(x), 1e-300) AS dev FROM v1 JOIN rk USING (o, i, j) GROUP BY k),
+vs AS MATERIALIZED (SELECT k, list(CASE WHEN x IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ORDER BY r) AS m, list(coalesce((x - mean) / dev, 0.0::DOUBLE) ORDER BY r) AS z, list(coalesce(power((x - mean) / dev, 2), 0.0::DOUBLE) ORDER BY r) AS zz
+  FROM v1 JOIN rk USING (o, i, j) JOIN ms USING (k) GROUP BY k),
+ps AS (SELECT p.k AS u, q.k AS v, list_inner_product(p.m, q.m) AS n, list_inner_product(p.z, q.m) AS sx, list_inner_product(p.m, q.z) AS sy, list_inner_product(p.zz, q.m) AS xx, list_inner_product(p.m, q.zz) AS yy, list_inner_product(p.z, q.z) AS xy FROM vs p JOIN vs q ON p.k < q.k),
+ed AS MATERIALIZED (SELECT u, v FROM ps WHERE n >= 100 AND (n * xx - sx * sx) * (n * yy - sy * sy) > 0 AND abs(n * xy - sx * sy) >= 0.95 * sqrt((n * xx - sx * sx) * (n * yy - sy * sy))),
 nr AS (SELECT v, list(u) AS near FROM ed GROUP BY v),
-od AS (SELECT k, coalesce(near, []) AS near FROM rk LEFT JOIN nr ON v = k),
+od AS MATERIALIZED (SELECT k, coalesce(near, []) AS near FROM rk LEFT JOIN nr ON v = k),
 gr AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS taken UNION ALL SELECT od.k, CASE WHEN len(taken) < 200 AND NOT list_has_any(taken, near) THEN list_append(taken, od.k) ELSE taken END FROM gr JOIN od ON od.k = gr.k + 1),
 ch AS (SELECT unnest(taken) AS k, generate_subscripts(taken, 1) AS place FROM (SELECT arg_max(taken, k) AS taken FROM gr))
-SELECT CAST(place AS INTEGER) AS place, 'g1_' || op || '__' || names[i + 1] || '__' || names[j + 1] AS name, op, names[i + 1] AS a, names[j + 1] AS b, round(c, 5) AS train_corr FROM ch JOIN rk USING (k), nm""")
+SELECT CAST(place AS INTEGER) AS place, 'g1_' || op || '__' || names[i + 1] || '__' || names[j + 1] AS name, op, names[i + 1] AS a, names[j + 1] AS b, round(c, 6) AS train_corr FROM ch JOIN rk USING (k), nm""")
 def generated_base(spark, sf_dir):
     """The first iteration over all base features, with the operator's own limits."""
-    out = recipes_frame(spark, screening.generate(_train(spark, sf_dir), "target", list(features.BASE), iterations=1))
-    return out.withColumn("train_corr", F.round("train_corr", 5))
+    return recipes_frame(spark, screening.generate(_train(spark, sf_dir), "target", list(features.BASE), iterations=1))
 
 
 @query("generated_twice")
 def generated_twice(spark, sf_dir):
     """Two iterations over all base features, with the operator's own limits; the second one's candidates are those of the first one's choice."""
     return recipes_frame(spark, screening.generate(_train(spark, sf_dir), "target", list(features.BASE)))
+
+
+@query("generated_extended")
+def generated_extended(spark, sf_dir):
+    """Two iterations over all base and extended features (some 780,000 candidates, then those of the first choice), with the operator's own limits."""
+    made = features.extended(bars(spark, sf_dir, "1h"))
+    names = [c for c in made.columns if c not in (KEY, "ts", "open", "high", "low", "close", "volume")]
+    rows = made.select(KEY, "ts", *[win.lag(n).alias(n) for n in names], model.target().alias("target"))
+    return recipes_frame(spark, screening.generate(rows, "target", names))
