@@ -122,3 +122,68 @@ def test_resolve_and_config(spark):
     assert store.load_env("A=1\n# no\nB='2'", {"A": "0"}) == {"A": "0", "B": "2"}
     with pytest.raises(ValueError):
         store.validated({"exchange": "x"})
+
+
+def test_ticks_to_signals_over_a_restart(spark, tmp_path):
+    """Closed candles feed signals in one stream that stops half-way: the same rows as from a table of candles."""
+    ticks = spark.read.parquet("/root/testdata/sf0.01/events.parquet").where("event_type in ('click', 'view')")
+    middle = datetime(2024, 1, 14, 11, 30)
+    for part in (ticks.where(F.col("ts") < middle), ticks.where(F.col("ts") >= middle)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(ticks.schema).parquet(str(tmp_path / "in"))
+        out = live.candle_signals(live.closed_candles(stream, "1h"))
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(200)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = spec.signals(candles.resample(ticks, "1h")).select(KEY, F.col("ts").cast("timestamp").alias("ts"), (F.col("in_session") & F.col("ready")).alias("in_session"), F.col("signal").cast("int").alias("signal"))
+    last = got.agg(F.max("ts")).first()[0]
+    want = want.where(F.col("ts") <= last)
+    assert got.count() == want.count() > 1000 and got.exceptAll(want).count() == 0 and got.where("signal != 0").count() > 10
+
+
+def test_log_holds_each_event_once(spark, tmp_path):
+    """A batch that fails after it was written runs again."""
+    path, failed = str(tmp_path / "log"), []
+    rows = spark.createDataFrame([(f"2024-01-01T00:00:0{i}", "r", "fill", "a", float(i)) for i in range(6)], "ts string, run_id string, type string, instrument string, qty double")
+    write = live.record(path)
+
+    def breaks(batch, number):
+        write(batch, number)
+        if number == 1 and not failed:
+            failed.append(number)
+            raise RuntimeError("lost")
+
+    for k in range(3):
+        rows.where(f"qty between {2 * k} and {2 * k + 1}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="lost"):
+        stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(breaks).trigger(availableNow=True).start().awaitTermination(120)
+    live.audit(stream, path, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r.qty for r in spark.read.option("recursiveFileLookup", True).json(path).collect()) == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0] and failed == [1]
+    live.audit(stream, path, str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination(120)
+    assert store.read_events(spark, path).count() == 12  # another query's log stands beside the first one's
+
+
+def test_stretches(spark):
+    from tidebar.operators import windows
+
+    flags = [False, True, True, None, True, False, True, True, True]
+    df = spark.createDataFrame([("a", START + timedelta(hours=i), f) for i, f in enumerate(flags)] + [("b", START, True)], f"{KEY} string, ts timestamp, f boolean")
+    hours = lambda rows: sorted((r[KEY], (r.start - START).seconds // 3600, (r.end - START).seconds // 3600, r.bars) for r in rows.collect())
+    assert hours(windows.stretches(df, "f")) == [("a", 1, 2, 2), ("a", 4, 4, 1), ("a", 6, 8, 3), ("b", 0, 0, 1)]
+    assert hours(windows.stretches(df, "f", START + timedelta(hours=2), START + timedelta(hours=8))) == [("a", 2, 2, 1), ("a", 4, 4, 1), ("a", 6, 7, 2)]
+    assert windows.stretches(df.limit(0), "f").count() == 0
+
+
+def test_trades_match_one_to_one(spark):
+    def side(qty):
+        return spark.createDataFrame([("a", START + timedelta(hours=i), float(q)) for i, q in enumerate(qty)], f"{KEY} string, ts timestamp, qty double")
+
+    test = side([1, 0, 0, -1, 0, 1, 0, 1, 0, 0, 0, 0, 0, 0, 1])
+    late = side([0, 1, 0, -1, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0, 0])
+    hour = lambda t: None if t is None else (t - START).seconds // 3600
+    got = sorted(((r.side, hour(r.live_ts), hour(r.test_ts), r.bars) for r in spec.trade_timing(late, test, most=3).collect()), key=str)
+    # 6 is as near to 5 as to 7: the earlier; then 10 takes 7; 14 has nothing within three bars.
+    assert got == sorted([(-1, 3, 3, 0), (1, 1, 0, 1), (1, 6, 5, 1), (1, 10, 7, 3), (1, None, 14, None)], key=str)
+    assert spec.trade_timing(late.where("qty = 5"), test.where("qty = 5")).count() == 0
+    assert sorted(r.bars is None for r in spec.trade_timing(late, test.where("qty < 0"), most=3).collect()) == [False, True, True, True]

@@ -13,6 +13,7 @@ from tidebar.operators import ewm
 from tidebar.operators import windows as win
 from tidebar.operators.candles import KEY, series
 from tidebar.operators.strategies import NEVER, numbered
+from tidebar.operators.tables import written
 
 DIGITS = 9
 
@@ -222,6 +223,51 @@ def drift(live: DataFrame, test: DataFrame) -> DataFrame:
     return out.select(KEY, "ts", F.col("live_signal").eqNullSafe(F.col("test_signal")).alias("same_signal"), (F.col("live_position") - F.col("test_position")).alias("position_diff"), (F.col("live_equity") - F.col("test_equity")).alias("equity_diff"), F.col("live_signal").isNull().alias("only_test"), F.col("test_signal").isNull().alias("only_live"))
 
 
+def replayed(events: DataFrame, minutes: DataFrame, sigma_days: int = 60, bar: str = "15 minutes", cooldown: int = 4, **execution) -> DataFrame:
+    """The strategy run again over the candles that a log holds, so that data revised since don't count as drift. Executions need
+    minutes, which a log doesn't hold."""
+    logged = events.where("type = 'candle'").select(KEY, F.col("bar_ts").alias("ts"), "open", "high", "low", "close", "volume").dropDuplicates([KEY, "ts"])
+    return executions(signals(logged, cooldown), minutes, sigma_daily(logged, sigma_days), bar=bar, **execution)
+
+
+def trade_timing(live: DataFrame, test: DataFrame, most: int = 8) -> DataFrame:
+    """Each side's trades with the other's nearest ones: instrument, side, live_ts, test_ts and bars, by how many bars the live trade came
+    later (earlier: negative). Trades without a partner have one time only.
+
+    Trades match one to one, on the same side and at most `most` bars apart, the nearest pairs first (then the earlier live, then
+    the earlier test trade). Bars are numbered over both sides' rows. In each round every trade looks at its nearest unmatched
+    ones before and after, by windows, and trades that are each other's first choice pair off."""
+    key = [KEY, "ts"]
+    live, test = written(live.select(*key, "qty"), "live"), written(test.select(*key, "qty"), "test")
+    place = live.select(*key).union(test.select(*key)).distinct().withColumn("n", F.row_number().over(series()))
+    place = written(place, "places")
+    trades = lambda df, who: df.where("qty <> 0").select(*key, F.signum("qty").cast("int").alias("side"), F.lit(who).alias("who"))
+    both = written(trades(live, "l").union(trades(test, "t")).join(place, key), "trades")
+    left, pairs = both, None
+    back = W.partitionBy(KEY, "side").orderBy("n", "who")
+    while True:
+        seen = left
+        for who in ("l", "t"):
+            known = F.when(F.col("who") == who, F.col("n"))
+            seen = seen.withColumn(f"{who}_before", F.last(known, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0))).withColumn(f"{who}_after", F.first(known, ignorenulls=True).over(back.rowsBetween(0, W.unboundedFollowing)))
+        near = lambda who: F.array_min(F.array_compact(F.array(*[F.when(F.abs(F.col(f"{who}_{x}") - F.col("n")) <= most, F.struct(F.abs(F.col(f"{who}_{x}") - F.col("n")).alias("far"), F.col(f"{who}_{x}").alias("n"))) for x in ("before", "after")])))
+        seen = seen.withColumn("other", F.when(F.col("who") == "l", near("t")).otherwise(near("l"))["n"])
+        one = seen.where("who = 'l' and other is not null").select(KEY, "side", F.col("n").alias("l"), F.col("other").alias("t"))
+        two = seen.where("who = 't' and other is not null").select(KEY, "side", F.col("other").alias("l"), F.col("n").alias("t"))
+        found = written(one.join(two, [KEY, "side", "l", "t"]), "pairs")
+        if not found.limit(1).count():
+            break
+        pairs = found if pairs is None else pairs.unionByName(found)
+        used = found.select(KEY, "side", F.explode(F.array(F.struct(F.lit("l").alias("who"), F.col("l").alias("n")), F.struct(F.lit("t").alias("who"), F.col("t").alias("n")))).alias("x")).select(KEY, "side", "x.*")
+        left = written(left.join(used, [KEY, "side", "who", "n"], "left_anti").select(both.columns), "left")
+    time = lambda name: place.select(KEY, F.col("n").alias(name), F.col("ts").alias(f"{name}s"))
+    alone = left.select(KEY, "side", *[F.when(F.col("who") == w, F.col("ts")).alias(f"{n}_ts") for w, n in (("l", "live"), ("t", "test"))], F.lit(None).cast("long").alias("bars"))
+    if pairs is None:
+        return alone
+    matched = pairs.join(time("l"), [KEY, "l"]).join(time("t"), [KEY, "t"])
+    return matched.select(KEY, "side", F.col("ls").alias("live_ts"), F.col("ts").alias("test_ts"), (F.col("l") - F.col("t")).cast("long").alias("bars")).unionByName(alone)
+
+
 def splits(warmup: tuple[str, str], train: tuple[str, str], validation: tuple[str, str], test: tuple[str, str]) -> Column:
     """The part a bar's time falls into; parts are half-open, in order, and may not overlap."""
     parts = [("warmup", *warmup), ("train", *train), ("validation", *validation), ("test", *test)]

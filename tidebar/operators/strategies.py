@@ -64,14 +64,19 @@ def _decided(df: DataFrame, unknown: Column, session: str, exit_long: Column, ex
     return df.select(*keep, F.coalesce(before("__flat"), F.lit(True)).alias("force0"), true(before("__xl")).alias("exit_long"), true(before("__xs")).alias("exit_short"), entry.cast("int").alias("entry"), F.lit(NEVER if max_hold is None else max_hold).alias("max_hold"))
 
 
-def ewm_quiet(bars: DataFrame, trend_alpha=0.02, entry_pct=0.3, exit_pct=0.05, max_slope_pct=0.05, slope_window=15, vol_alpha=0.05, vol_window=240, vol_ratio_max=0.9, min_quiet_bars=10, time_stop_bars=60, session=(9, 16), size=1, predictions: bool = False, pred_long=1.002, pred_short=0.998) -> DataFrame:
-    """Decisions of reversion to a mean in quiet markets; with predictions, bars have `pred`, which gates entries."""
+def quiet(bars: DataFrame, trend_alpha=0.02, max_slope_pct=0.05, slope_window=15, vol_alpha=0.05, vol_window=240, vol_ratio_max=0.9) -> DataFrame:
+    """Adds __dev, the deviation from the trend in percent, and __run, for how many bars trend and volume have been quiet."""
     df = ewm.means(numbered(bars), trend_alpha, True, __trend="close")
     df = ewm.means(df, vol_alpha, True, __fast=F.col("volume").cast("double"))
     df = df.withColumn("__dev", F.round((divide("close", "__trend") - 1) * 100, DIGITS)).withColumn("__slope", F.round(F.abs(divide("__trend", win.lag("__trend", slope_window)) - 1) * 100, DIGITS))
     calm = F.col("__fast") < F.round(F.lit(vol_ratio_max) * win.rolling(F.avg, F.col("volume").cast("double"), vol_window), DIGITS)
-    df = df.withColumn("__fast", F.round("__fast", DIGITS)).withColumn("__quiet", true((F.col("__slope") < max_slope_pct) & calm)).withColumn("__in", in_hours(*session))
-    df = win.run_lengths(df, "__quiet", "__run")
+    df = df.withColumn("__fast", F.round("__fast", DIGITS)).withColumn("__quiet", true((F.col("__slope") < max_slope_pct) & calm))
+    return win.run_lengths(df, "__quiet", "__run")
+
+
+def ewm_quiet(bars: DataFrame, trend_alpha=0.02, entry_pct=0.3, exit_pct=0.05, max_slope_pct=0.05, slope_window=15, vol_alpha=0.05, vol_window=240, vol_ratio_max=0.9, min_quiet_bars=10, time_stop_bars=60, session=(9, 16), size=1, predictions: bool = False, pred_long=1.002, pred_short=0.998) -> DataFrame:
+    """Decisions of reversion to a mean in quiet markets; with predictions, bars have `pred`, which gates entries."""
+    df = quiet(bars, trend_alpha, max_slope_pct, slope_window, vol_alpha, vol_window, vol_ratio_max).withColumn("__in", in_hours(*session))
     dev, run = win.lag("__dev"), win.lag("__run")
     long, short = (dev <= -entry_pct) & (run >= min_quiet_bars), (dev >= entry_pct) & (run >= min_quiet_bars)
     if predictions:

@@ -54,6 +54,17 @@ def run_lengths(df: DataFrame, flag: str, name: str, by: tuple[str, ...] = (KEY,
     return flagged.withColumn(name, F.sum("__f").over(group)).drop("__f", "__g")
 
 
+def stretches(df: DataFrame, flag: str, start=None, end=None, by: tuple[str, ...] = (KEY,)) -> DataFrame:
+    """The longest runs of rows with the flag: by, start, end (times of the first and last row) and bars. With start or end, of the rows in
+    [start, end) alone, so that runs are cut off at the range's ends. Rows without a known flag end a run."""
+    for at, inside in ((start, lambda t: F.col("ts") >= t), (end, lambda t: F.col("ts") < t)):
+        if at is not None:
+            df = df.where(inside(F.lit(at).cast(df.schema["ts"].dataType)))
+    flagged = df.select(*by, "ts", F.coalesce(F.col(flag), F.lit(False)).alias("__f"))
+    group = so_far(F.sum, (~F.col("__f")).cast("int"), W.partitionBy(*by).orderBy("ts"))
+    return flagged.withColumn("__g", group).where("__f").groupBy(*by, "__g").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("bars")).drop("__g")
+
+
 def last_of_day(over=None) -> Column:
     """The next row is of another day; so is the final row's."""
     return F.coalesce(F.to_date("ts") != F.lead(F.to_date("ts")).over(over if over is not None else S()), F.lit(True))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidebar.plans import market, research, scale
+from tidebar.plans import market, periods, research, scale
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (market, research, scale):
+for _module in (market, research, scale, periods):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -90,7 +90,8 @@ def resolve(instruments: DataFrame, tickers: list[str], class_code: str = "TQBR"
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENT).json(path)
+    """The events of a log's files, in folders of streams' batches or not."""
+    return spark.read.schema(EVENT).option("recursiveFileLookup", True).json(path)
 
 
 def append_events(events: DataFrame, path: str) -> None:

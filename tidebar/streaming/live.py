@@ -4,6 +4,7 @@ A candle is closed once the watermark has passed its end, so the last open ones
 
 from __future__ import annotations
 
+import statistics
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidebar.functions.columns import TIMEFRAMES, order_id
 from tidebar.operators.candles import KEY
 
+#: As in spec.
+DIGITS = 9
+
 
 def closed_candles(ticks: DataFrame, timeframe: str, late: str = "10 minutes", price: str = "value", instrument: str = "event_type", tie: str = "event_id") -> DataFrame:
     """Candles of a stream of ticks, in append mode; ticks later than `late` are left out."""
@@ -34,6 +38,18 @@ def transition(prev: int, up: bool, at_lower: bool, at_upper: bool, gate_open: b
     return 1 if gate_open and at_lower and up else -1 if gate_open and upper and not up else 0
 
 
+def step(state: tuple, up: bool, at_lower: bool, at_upper: bool, crossed: bool, live: bool, cooldown: int) -> tuple[int, bool, int, bool]:
+    """Signal, open gate, bars since the exit and whether the middle was crossed since, after one more bar."""
+    signal, open_, since, seen = state
+    new = transition(signal, up, at_lower, at_upper, open_) if live else 0
+    if signal != 0 and new == 0:
+        return new, False, 0, False
+    if open_:
+        return new, True, 0, False
+    since, seen = since + 1, seen or crossed
+    return new, since >= cooldown and seen, since, seen
+
+
 class SignalStep(StatefulProcessor):
     """Signal, gate and intended position of one instrument; a discrepancy halts it for good, and no row comes out after that."""
 
@@ -50,16 +66,7 @@ class SignalStep(StatefulProcessor):
             halted = halted or bool(b.discrepancy)
             if halted:
                 break
-            new = transition(signal, b.up, b.at_lower, b.at_upper, open_) if b.live else 0
-            if signal != 0 and new == 0:
-                open_, since, crossed = False, 0, False
-            elif open_:
-                since, crossed = 0, False
-            else:
-                since, crossed = since + 1, crossed or b.crossed
-                if since >= self.cooldown and crossed:
-                    open_, since, crossed = True, since, crossed
-            signal = new
+            signal, open_, since, crossed = step((signal, open_, since, crossed), b.up, b.at_lower, b.at_upper, b.crossed, b.live, self.cooldown)
             out.append((key[0], b.ts, int(signal)))
         self.state.update((int(signal), bool(open_), int(since), bool(crossed), bool(halted)))
         yield pd.DataFrame(out, columns=[KEY, "ts", "signal"])
@@ -79,6 +86,53 @@ def signal_stream(bars: DataFrame, cooldown: int = 4, initial: DataFrame | None
     return grouped.transformWithStateInPandas(statefulProcessor=SignalStep(cooldown), outputStructType="instrument string, ts timestamp, signal int", outputMode="Append", timeMode="None", initialState=initial.groupBy(KEY) if initial is not None else None)
 
 
+class CandleSignals(StatefulProcessor):
+    """Signals of one instrument from its closed candles: decayed means as recurrences, the last closes as a list, gate and signal as
+    in SignalStep. Means and bands are those of the candle before."""
+
+    def __init__(self, cooldown: int = 4, fast: int = 12, slow: int = 48, window: int = 20, width: float = 2.0):
+        self.cooldown, self.alphas, self.window, self.width = cooldown, (2 / (fast + 1), 2 / (slow + 1)), window, width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "signal int, open boolean, since int, crossed boolean")
+        self.means = handle.getValueState("means", "fast double, slow double")
+        self.closes = handle.getListState("closes", "close double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        state = tuple(self.state.get()) if self.state.exists() else (0, True, 0, False)
+        means = list(self.means.get()) if self.means.exists() else []
+        closes = [x[0] for x in self.closes.get()] if self.closes.exists() else []
+        out = []
+        for b in pd.concat(list(rows)).sort_values("ts").itertuples(index=False):
+            ready = len(closes) == self.window
+            up = bool(means) and round(means[0], DIGITS) > round(means[1], DIGITS)
+            lower = upper = crossed = False
+            if ready:
+                middle, away = statistics.fmean(closes), self.width * statistics.stdev(closes)
+                lower, upper = b.close <= round(middle - away, DIGITS), b.close >= round(middle + away, DIGITS)
+                crossed = (b.close - round(middle, DIGITS)) * (closes[-1] - round(middle, DIGITS)) < 0
+            minute = b.ts.hour * 60 + b.ts.minute
+            live = ready and b.ts.weekday() < 5 and 420 <= minute < 940
+            state = step(state, up, lower, upper, crossed, live, self.cooldown)
+            out.append((key[0], b.ts, live, int(state[0])))
+            means = [(1 - a) * m + a * b.close for a, m in zip(self.alphas, means, strict=True)] if means else [b.close, b.close]
+            closes = [*closes, b.close][-self.window :]
+        self.state.update((int(state[0]), bool(state[1]), int(state[2]), bool(state[3])))
+        self.means.update((float(means[0]), float(means[1])))
+        self.closes.put([(float(x),) for x in closes])
+        yield pd.DataFrame(out, columns=[KEY, "ts", "in_session", "signal"])
+
+    def close(self) -> None:
+        pass
+
+
+def candle_signals(candles: DataFrame, **options) -> DataFrame:
+    """A row for every closed candle of a stream: instrument, ts, in_session and signal, as spec.signals has them for a table. Candles
+    may be closed_candles() of ticks, in the same stream. Needs the RocksDB state store."""
+    rows = candles.select(KEY, "ts", "close")
+    return rows.groupBy(KEY).transformWithStateInPandas(statefulProcessor=CandleSignals(**options), outputStructType=f"{KEY} string, ts timestamp, in_session boolean, signal int", outputMode="Append", timeMode="None")
+
+
 class OrderTimeouts(StatefulProcessor):
     """Orders that no fill has closed after a time are reported as stuck, once."""
 
@@ -183,6 +237,17 @@ def once(orders: DataFrame, late: str = "1 hour") -> DataFrame:
     return named.withWatermark("bar_ts", late).dropDuplicatesWithinWatermark(["order_id"])
 
 
+def record(path: str):
+    """What writes a batch of events to a JSON log: a batch has a folder of its own, named by the query's checkpoint and the batch, so
+    that one that runs again after a failure replaces what it had left."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        batch.write.mode("overwrite").json(f"{path}/query={query}/batch={number}")
+
+    return write
+
+
 def audit(events: DataFrame, path: str, checkpoint: str):
-    """Appends a stream of events to a JSON log."""
-    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: batch.write.mode("append").json(path))
+    """Adds a stream of events to a JSON log, each event once; store.read_events reads it."""
+    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(record(path))
