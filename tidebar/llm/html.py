@@ -1,10 +1,13 @@
 """HTML extraction with removal of site templates.
 
 Pass one hashes every element's subtree (start tag, text and child hashes, each with a mark of what it is) of every page, and
-counts per host on how many different pages each hash stands. Pass two removes subtrees that recur on MIN_PAGES different pages
-of their host, however many pages it has. Of what is left, tags, roles and classes that name menus, headers, footers, side bars,
+counts per host on how many different pages each hash stands at its place: the tags around it, its own tag and attributes. Pass two
+removes subtrees that recur on MIN_PAGES different pages of their host, if they fill SHARE of the pages that have the place at all, or
+are menus (MENU_LINKS links with two thirds of the text): a value that some pages have in common isn't a template, however many
+pages the host has. Only regions can be templates (REGIONS_OF): never inline elements, headings, cells, list items or tables, nor
+what holds a table or stands inside of a paragraph, heading, item, cell or quotation. Of what is left, tags, roles and classes that name menus, headers, footers, side bars,
 notices, adverts, forms, scripts, styles or comments are dropped, and the text of the remaining blocks is joined. The column
-n_templates counts the subtrees removed, n_template_chars their characters (white space aside).
+n_templates counts the subtrees removed, those inside of others included, n_template_chars their characters (white space aside).
 
 An article is content even where many pages share it: subtrees in `article` or `main`, or around one, are never templates.
 Where a page has an `article` or `main` with text, outside of furniture, text outside of it is left out. A class or id that only
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from tidebar.llm.common import cut, forget, table
 
 MIN_PAGES = 5
+SHARE = 0.9
+MENU_LINKS = 3
 SOFT_CHARS = 400
 TAG = 1 << 13
 
@@ -53,6 +58,10 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 BLOCKS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPES = frozenset("article aside body div fieldset figure footer form header html main nav ol section table td th ul blockquote details dialog".split())
 
+#: What can be a template, and what holds content whose parts can't.
+REGIONS_OF = frozenset("div section p ul ol center".split())
+HOLDERS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre blockquote figure figcaption".split())
+
 _OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 _QUOTED = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -60,12 +69,20 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _END = {x: re.compile(rf"</{x}[\s/>]", re.I) for x in RAW}
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 class Node:
-    __slots__ = ("tag", "hash", "drop", "mild", "soft", "main", "start", "has_main", "live", "chars")
+    __slots__ = ("tag", "hash", "drop", "mild", "soft", "main", "start", "has_main", "live", "chars", "around", "place", "inside", "table", "links", "link_chars")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None, start: int):
         self.tag, self.start, self.has_main, self.live = tag, start, False, False  # live: holds an article or main that isn't dropped
         self.chars = 0  # of text outside of links
+        self.links, self.link_chars, self.table = 0, 0, tag == "table"
+        self.around = f"{parent.around}>{tag}" if parent is not None and len(parent.around) < TAG else tag  # tags; begun anew where they are very deep
+        self.place = xxhash.xxh64_intdigest(f"{self.around} {attributes}") if tag in REGIONS_OF else 0
+        self.inside = parent is not None and (parent.inside or parent.tag in HOLDERS)
         self.main = tag in MAIN or parent is not None and parent.main
         self.hash = xxhash.xxh64(f"<{tag} {attributes}>")
         furniture, self.mild, self.soft = self._furniture(tag, attributes)
@@ -92,6 +109,7 @@ class Page:
     def __init__(self, html: str):
         self.html = html
         self.subtrees: list[tuple[int, int, int]] = []  # hash, and first and last piece of text
+        self.regions: list[tuple[int, int, bool, int, int]] = []  # of what may be a template: hash, place, whether it is a menu, pieces
         self.texts: list[tuple[str, bool, bool]] = []  # text, kept, main; an empty text ends a block
         self.dropped: list[tuple[int, int]] = []  # first and last piece of text of furniture that is known when it closes
         self._read()
@@ -115,10 +133,16 @@ class Page:
             parent.has_main |= node.has_main or node.tag in MAIN
             parent.live |= node.live
             parent.chars += 0 if node.tag == "a" else node.chars
+            parent.table |= node.table
+            parent.links += node.links + (node.tag == "a")
+            parent.link_chars += node.link_chars + (node.chars if node.tag == "a" else 0)
         if not node.live and (node.mild or node.soft and node.chars < SOFT_CHARS):
             self.dropped.append((node.start, len(self.texts)))
         if not node.main and not node.has_main and node.tag not in ("html", "body"):
-            self.subtrees.append((digest - (1 << 64) if digest >> 63 else digest, node.start, len(self.texts)))
+            self.subtrees.append((_signed(digest), node.start, len(self.texts)))
+            if node.tag in REGIONS_OF and not node.inside and not node.table:
+                menu = node.links >= MENU_LINKS and node.link_chars >= 2 * node.chars
+                self.regions.append((_signed(xxhash.xxh64_intdigest(digest.to_bytes(8, "little") + node.place.to_bytes(8, "little"))), _signed(node.place), menu, node.start, len(self.texts)))
         if node.tag not in INLINE:
             self.texts.append(("", True, True))
 
@@ -202,14 +226,15 @@ class Page:
                 return
 
     def text(self, templates: set[int]) -> str:
-        """The main text without these subtrees; afterwards n_templates and n_template_chars tell what they took."""
+        """The main text without these regions; afterwards n_templates and n_template_chars tell what they took."""
         marks = np.zeros(len(self.texts) + 1, np.int64)
-        self.n_templates = 0
-        for digest, a, b in self.subtrees:
+        for digest, _, _, a, b in self.regions:
             if digest in templates:
                 marks[a] += 1
                 marks[b] -= 1
-                self.n_templates += 1
+        left = np.concatenate(([0], np.cumsum(np.cumsum(marks)[:-1] == 0)))  # pieces that stay before each place
+        inside = [left[a] == left[b] for _, a, b in self.subtrees if b > a]
+        self.n_templates = int(sum(inside)) if left[-1] < len(self.texts) else 0
         self.n_template_chars = sum(len("".join(self.texts[i][0].split())) for i in np.flatnonzero(np.cumsum(marks)[:-1]))
         for a, b in self.dropped:
             marks[a] += 1
@@ -240,28 +265,37 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", host_of(F.col("url")).alias("__host"), F.xxhash64("html").alias("__page"))
 
 
-def subtree_hashes(pages: DataFrame) -> DataFrame:
-    """__host, __page and __subtree of each different subtree of each page that may be a template."""
+def region_hashes(pages: DataFrame) -> DataFrame:
+    """Rows (__host, __page, __place, __region, __menu, __first) of the different regions of each page that may be templates; __first is 1
+    for one region of each place of the page."""
 
     def run(batches):
         for b in batches:
-            subtree, row = [], []
+            rows, row = [], []
             for i, html in enumerate(b.column("html")):
-                found = {x[0] for x in Page(html.as_py() or "").subtrees}
-                subtree += found
+                found, places = {}, set()
+                for digest, place, menu, *_ in Page(html.as_py() or "").regions:
+                    if digest not in found:
+                        found[digest] = (place, digest, menu, int(place not in places))
+                        places.add(place)
+                rows += found.values()
                 row += [i] * len(found)
             at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("__host").take(at), b.column("__page").take(at), pa.array(subtree, pa.int64())], names=["__host", "__page", "__subtree"])
+            place, region, menu, first = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("__host").take(at), b.column("__page").take(at), pa.array(place, pa.int64()), pa.array(region, pa.int64()), pa.array(menu, pa.bool_()), pa.array(first, pa.int32())], names=["__host", "__page", "__place", "__region", "__menu", "__first"])
 
-    return _keyed(pages).select("__host", "__page", "html").mapInArrow(run, "__host string, __page long, __subtree long")
+    return _keyed(pages).select("__host", "__page", "html").mapInArrow(run, "__host string, __page long, __place long, __region long, __menu boolean, __first int")
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """__h (host), __p (page) and __templates, the hashes of its subtrees that recur on the host."""
-    seen = cut(subtree_hashes(pages).distinct(), "subtrees")
-    often = seen.groupBy(F.col("__host").alias("__o"), F.col("__subtree").alias("__s")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_pages)
-    own = seen.join(often, (F.col("__host") == F.col("__o")) & (F.col("__subtree") == F.col("__s")))
-    out = cut(own.groupBy(F.col("__host").alias("__h"), F.col("__page").alias("__p")).agg(F.collect_list("__subtree").alias("__templates")), "templates")
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+    """__h (host), __p (page) and __templates, the hashes of its regions that recur on the host."""
+    seen = cut(region_hashes(pages).distinct(), "regions")
+    places = seen.groupBy(F.col("__host").alias("__ho"), F.col("__place").alias("__pl")).agg(F.sum("__first").alias("__all"))
+    often = seen.groupBy("__host", "__place", "__region").agg(F.count(F.lit(1)).alias("__n"), F.max("__menu").alias("__m")).where(F.col("__n") >= min_pages)
+    often = often.join(places, (F.col("__host") == F.col("__ho")) & (F.col("__place") == F.col("__pl"))).where(F.col("__m") | (F.col("__n") >= F.lit(share) * F.col("__all")))
+    often = often.select(F.col("__host").alias("__o"), F.col("__region").alias("__s"))
+    own = seen.join(often, (F.col("__host") == F.col("__o")) & (F.col("__region") == F.col("__s")))
+    out = cut(own.groupBy(F.col("__host").alias("__h"), F.col("__page").alias("__p")).agg(F.collect_list("__region").alias("__templates")), "templates")
     forget(seen)
     return out
 
