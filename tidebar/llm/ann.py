@@ -18,8 +18,8 @@ Cells are dealt in blocks of at most about CELL rows by a row's place in the tab
 queries, so neither a crowded cell, a repeated id nor many queries meet in one task; a crowded cell just has more blocks.
 
 Nulls and odd rows: vectors that are null, zero, of another length than most, or hold nulls, NaN or infinities take no part, as
-queries or candidates. Ties go to the smaller id. Rows that repeat an id are candidates each; a query's own id is never its
-candidate. Extra columns are left out. Empty tables give no rows.
+queries or candidates. Ties go to the smaller id. Rows that repeat an id are candidates each, and queries each, with
+neighbours of their own (so a query that stands twice gives its rows twice); a query's own id is never its candidate. Extra columns are left out. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def usable(vectors: DataFrame, size: int) -> DataFrame:
     return out.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).where("norm > 0")
 
 
-FOUND = "query_id long, vec_id long, score double, verified long"
+FOUND = "query_at long, query_id long, vec_id long, score double, verified long"
 
 
 def _search(matrix: np.ndarray, top: int, limit: float, slice_: int = 256):
@@ -117,7 +117,7 @@ def _search(matrix: np.ndarray, top: int, limit: float, slice_: int = 256):
             far = (px * px).sum(axis=1)
             for a in range(0, len(queries), slice_):
                 part = queries.iloc[a : a + slice_]
-                q, q_ids, worst = np.stack(part["v"].to_numpy()), part["vec_id"].to_numpy(), part["best"].to_numpy().copy()
+                q, q_ids, q_at, worst = np.stack(part["v"].to_numpy()), part["vec_id"].to_numpy(), part["at"].to_numpy(), part["best"].to_numpy().copy()
                 pq, length = q @ matrix, (q * q).sum(axis=1)[:, None]
                 away = far + (pq * pq).sum(axis=1)[:, None] - 2 * (pq @ px.T)
                 other = ids != q_ids[:, None]
@@ -143,9 +143,9 @@ def _search(matrix: np.ndarray, top: int, limit: float, slice_: int = 256):
                 i, exact, found, place = (y[place < top] for y in (i, exact, found, place))
                 verified = np.where(place == 0, near.sum(axis=1)[i], 0)
                 none = np.setdiff1d(np.arange(len(q)), i)
-                out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": pd.array(found, "Int64"), "score": exact, "verified": verified}))
-                out.append(pd.DataFrame({"query_id": q_ids[none], "vec_id": pd.array([None] * len(none), "Int64"), "score": np.full(len(none), -math.inf), "verified": near.sum(axis=1)[none]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="Int64"), "score": pd.Series(dtype="float64"), "verified": pd.Series(dtype="int64")})
+                out.append(pd.DataFrame({"query_at": q_at[i], "query_id": q_ids[i], "vec_id": pd.array(found, "Int64"), "score": exact, "verified": verified}))
+                out.append(pd.DataFrame({"query_at": q_at[none], "query_id": q_ids[none], "vec_id": pd.array([None] * len(none), "Int64"), "score": np.full(len(none), -math.inf), "verified": near.sum(axis=1)[none]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_at": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="Int64"), "score": pd.Series(dtype="float64"), "verified": pd.Series(dtype="int64")})
 
     return run
 
@@ -196,7 +196,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, confidence:
         def run(batches):
             for b in batches:
                 out = []
-                for q_id, v, own, best in zip(b["vec_id"], b["v"], b["cell"], b["best"], strict=True):
+                for q_at, q_id, v, own, best in zip(b["at"], b["vec_id"], b["v"], b["cell"], b["best"], strict=True):
                     if first:
                         to = np.array([own])
                     else:
@@ -207,31 +207,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, confidence:
                     to = to[blocks[to] > 0]
                     at = np.repeat(to, blocks[to])
                     block = np.concatenate([np.arange(n) for n in blocks[to]]) if len(to) else np.empty(0, np.int64)
-                    out += [(q_id, v, best, c, k) for c, k in zip(at.tolist(), block.tolist(), strict=True)]
-                yield pd.DataFrame(out, columns=["vec_id", "v", "best", "cell", "block"]).astype({"v": object})
+                    out += [(q_at, q_id, v, best, c, k) for c, k in zip(at.tolist(), block.tolist(), strict=True)]
+                yield pd.DataFrame(out, columns=["at", "vec_id", "v", "best", "cell", "block"]).astype({"v": object})
 
         return run
 
     def searched(from_: DataFrame, first: bool) -> DataFrame:
-        sent = cut(from_.mapInPandas(visits(first), "vec_id long, v array<double>, best double, cell long, block int"), "visits")
+        sent = cut(from_.mapInPandas(visits(first), "at long, vec_id long, v array<double>, best double, cell long, block int"), "visits")
         sent_.append(sent)
         # Queries of a block of rows are dealt in parts too; each part gets the rows.
         parts = sent.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("parts"))
-        left = sent.join(parts, ["cell", "block"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+        left = sent.join(parts, ["cell", "block"]).withColumn("part", F.pmod(F.xxhash64("at"), F.col("parts")).cast("int"))
         right = dealt.join(parts, ["cell", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         key = ["cell", "block", "part"]
-        return left.select(*key, "vec_id", "v", "best").groupBy(*key).cogroup(right.select(*key, "vec_id", "v").groupBy(*key)).applyInPandas(_search(matrix, top, limit), FOUND)
+        return left.select(*key, "at", "vec_id", "v", "best").groupBy(*key).cogroup(right.select(*key, "vec_id", "v").groupBy(*key)).applyInPandas(_search(matrix, top, limit), FOUND)
 
-    home = asked.select("vec_id", "v").mapInPandas(located, "vec_id long, v array<double>, cell long").withColumn("best", F.lit(-math.inf))
-    of = W.partitionBy("query_id")
+    # Queries are known by a number, so that those that repeat an id or a vector have neighbours each.
+    home = asked.select("vec_id", "v").mapInPandas(located, "vec_id long, v array<double>, cell long")
+    home = cut(home.withColumn("at", F.monotonically_increasing_id()).withColumn("best", F.lit(-math.inf)), "queries")
+    of = W.partitionBy("query_at")
     order = of.orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     ranked = lambda df: df.select("*", F.row_number().over(order).alias("rank"), F.sum("verified").over(of).alias("all")).where(F.col("rank") <= top)
     near = cut(ranked(searched(home, True)), "near")
-    best = near.where((F.col("rank") == top) & F.col("vec_id").isNotNull()).select(F.col("query_id").alias("q"), F.col("score").alias("kth"))
-    again = home.drop("best").join(best, F.col("vec_id") == F.col("q"), "left").select("vec_id", "v", "cell", F.coalesce("kth", F.lit(-math.inf)).alias("best"))
-    both = near.select("query_id", "vec_id", "score", F.when(F.col("rank") == 1, F.col("all")).otherwise(0).alias("verified")).unionByName(searched(again, False))
+    best = near.where((F.col("rank") == top) & F.col("vec_id").isNotNull()).select(F.col("query_at").alias("q"), F.col("score").alias("kth"))
+    again = home.drop("best").join(best, F.col("at") == F.col("q"), "left").select("at", "vec_id", "v", "cell", F.coalesce("kth", F.lit(-math.inf)).alias("best"))
+    both = near.select("query_at", "query_id", "vec_id", "score", F.when(F.col("rank") == 1, F.col("all")).otherwise(0).alias("verified")).unionByName(searched(again, False))
     out = cut(ranked(both).where("vec_id is not null").select("query_id", "rank", "vec_id", "score", F.col("all").alias("verified")), "nearest")
-    forget(near, placed, *sent_)
+    forget(near, placed, home, *sent_)
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,8 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths of the tables that cut() has written and nothing has emptied yet; the second by the DataFrame that reads them.
 _WRITTEN: set[str] = set()
 _PATH: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Paths of what the innermost running settled() has cut: each thread has its own.
+_OWN: ContextVar[set[str] | None] = ContextVar("own", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +59,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN.add(path)
     _PATH[out] = path
+    if (own := _OWN.get()) is not None:
+        own.add(path)
     return out
 
 
@@ -73,8 +78,13 @@ def forget(*tables: DataFrame | None) -> None:
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What make() gives, cut; the tables that it has cut on the way are emptied."""
-    before = set(_WRITTEN)
-    out = cut(make(), name)
-    for path in _WRITTEN - before - {_PATH[out]}:
+    outer = _OWN.set(own := set())
+    try:
+        out = cut(make(), name)
+    finally:
+        _OWN.reset(outer)
+    for path in (own - {_PATH[out]}) & _WRITTEN:
         _empty(out.sparkSession, path)
+    if (around := _OWN.get()) is not None:
+        around.add(_PATH[out])
     return out
