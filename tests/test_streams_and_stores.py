@@ -10,7 +10,7 @@ from tidebar.functions.columns import order_id
 from tidebar.operators import candles, spec
 from tidebar.operators.candles import KEY
 from tidebar.plans.market import bars
-from tidebar.sources import store
+from tidebar.sources import ingest, store
 from tidebar.streaming import live
 
 START = datetime(2024, 1, 1, 7)
@@ -106,7 +106,7 @@ def test_paged_source(spark):
         last = min(end, start + 2 * 3600)
         return [(instrument, datetime.fromtimestamp(t), 1.0, 1.0, 1.0, 1.0, 1) for t in range(-(-start // 3600) * 3600, last, 3600)]
 
-    spark.dataSource.register(store.paged_source("pages_of_candles", fetch))
+    spark.dataSource.register(ingest.source("pages_of_candles", fetch))
     start = int(START.timestamp()) // 3600 * 3600
     df = spark.read.format("pages_of_candles").options(instruments=json.dumps(["a", "b"]), start=start, end=start + 10 * 3600, days=1).load()
     assert df.count() == 20 and df.distinct().count() == 20
@@ -187,3 +187,59 @@ def test_trades_match_one_to_one(spark):
     assert got == sorted([(-1, 3, 3, 0), (1, 1, 0, 1), (1, 6, 5, 1), (1, 10, 7, 3), (1, None, 14, None)], key=str)
     assert spec.trade_timing(late.where("qty = 5"), test.where("qty = 5")).count() == 0
     assert sorted(r.bars is None for r in spec.trade_timing(late, test.where("qty < 0"), most=3).collect()) == [False, True, True, True]
+
+
+def test_rows_come_once_over_failures():
+    class Status(Exception):
+        pass
+
+    start, waits = int(START.timestamp()) // 86400 * 86400, []
+
+    def fetch(script):
+        calls = iter(script)
+
+        def run(instrument, a, b):
+            step = next(calls, None)
+            for k, t in enumerate(range(a, b, 3600)):
+                if step is not None and k == step[1]:
+                    raise Status(step[0])
+                yield (instrument, datetime.fromtimestamp(t), 0.0, 0.0, 0.0, 0.0, 0)
+
+        return run
+
+    hours = lambda script, delays=ingest.DELAYS: [int(r[1].timestamp() - start) // 3600 for r in ingest.rows(fetch(script), "a", start, start + 36000, delays, waits.append)]
+    assert hours([("UNAVAILABLE", 3), ("status UNAVAILABLE", 1), ("RESOURCE_EXHAUSTED", 0), ("UNAVAILABLE", 4)]) == list(range(10)) and waits == [2, 5, 10, 2]
+    few = {"UNAVAILABLE": [1], "RESOURCE_EXHAUSTED": [7]}
+    waits.clear()
+    assert hours([("UNAVAILABLE", 2), ("RESOURCE_EXHAUSTED", 1), ("UNAVAILABLE", 3)], few) == list(range(10)) and waits == [1, 7, 1]
+    for script in ([("UNAVAILABLE", 2), ("UNAVAILABLE", 1)], [("INTERNAL", 0)]):
+        with pytest.raises(ingest.GaveUp):
+            hours(script, few)
+
+
+def test_a_stream_of_an_api_goes_on_where_it_stopped(spark, tmp_path):
+    start = 1_704_067_200
+    out = str(tmp_path / "out")
+    for hours in (7, 7, 30):  # the time of each run; the second has nothing new
+        spark.dataSource.register(ingest.source("breaking_candles", _breaking(str(tmp_path)), lambda hours=hours: start + hours * 3600 + 59))
+        stream = spark.readStream.format("breaking_candles").options(instruments=json.dumps(["a", "b"]), start=start, step=3600, days=0.5, delays=json.dumps({"UNAVAILABLE": [0, 0]})).load()
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+        rows = spark.read.parquet(out)
+        assert rows.count() == 2 * hours == rows.select("instrument", "ts").distinct().count()
+
+
+def _breaking(folder):
+    def fetch(instrument, start, end):
+        import os
+        from datetime import datetime
+
+        for t in range(-(-start // 3600) * 3600, min(end, start + 3 * 3600 + 1), 3600):
+            flag = f"{folder}/{instrument}-{t}"
+            if t // 3600 % 24 == 5 and not os.path.exists(flag):
+                open(flag, "w").close()
+                raise ConnectionError("gone")
+            yield (instrument, datetime.fromtimestamp(t), 1.0, 1.0, 1.0, float(t // 3600 % 24), 1)
+
+    return fetch

@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import html
 import json
-import time
-from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidebar.operators import candles
 from tidebar.operators.candles import KEY
@@ -170,55 +167,3 @@ def validated(config: dict) -> dict:
     if wrong:
         raise ValueError("; ".join(wrong))
     return config
-
-
-class Span(InputPartition):
-    def __init__(self, instrument: str, start: int, end: int):
-        self.instrument, self.start, self.end = instrument, start, end
-
-
-class PagedReader(DataSourceReader):
-    def __init__(self, options: dict, fetch: Callable):
-        self.options, self.fetch = options, fetch
-
-    def partitions(self) -> list[Span]:
-        day = 86400 * int(self.options.get("days", "7"))
-        start, end = int(self.options["start"]), int(self.options["end"])
-        return [Span(i, a, min(a + day, end)) for i in json.loads(self.options["instruments"]) for a in range(start, end, day)]
-
-    def read(self, span: Span) -> Iterator[tuple]:
-        """Pages on from the last row; rows that a page repeats are skipped. Failures that bring nothing new count, up to five, with waits
-        that double from the option wait (seconds)."""
-        last, failures, wait = span.start - 1, 0, float(self.options.get("wait", "0.5"))
-        while last < span.end - 1:
-            try:
-                page = [r for r in self.fetch(span.instrument, last + 1, span.end) if r[1].timestamp() > last]
-            except ConnectionError:
-                failures += 1
-                if failures > 5:
-                    raise
-                time.sleep(wait * 2 ** (failures - 1))
-                continue
-            if not page:
-                return
-            failures = 0
-            yield from page
-            last = int(page[-1][1].timestamp())
-
-
-def paged_source(name_: str, fetch: Callable) -> type[DataSource]:
-    """A Spark data source over fetch(instrument, from, to), which gives rows (instrument, ts, open, high, low, close, volume)
-    in order; options: instruments (JSON), start, end (epoch seconds), days (per partition)."""
-
-    class Source(DataSource):
-        @classmethod
-        def name(cls):
-            return name_
-
-        def schema(self):
-            return "instrument string, ts timestamp, open double, high double, low double, close double, volume bigint"
-
-        def reader(self, schema):
-            return PagedReader(self.options, fetch)
-
-    return Source
