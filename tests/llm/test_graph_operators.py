@@ -121,14 +121,14 @@ def test_bands_follow_the_similarity():
         assert len(set(neardup.band_keys(neardup.shingles("a b c d e f g"), percent))) == 256 // n
 
 
-def walks(seed, links, d=urls.DAMPING):
-    """The chance that a walk along links (a, b) -> weight ends in a seed, by solving the equations."""
+def walks(seed, links, ends=None, d=urls.DAMPING):
+    """The chance that a walk along links (a, b) -> weight ends in a seed, by solving the equations; ends: host -> pages that link nowhere."""
     nodes = sorted(set(seed) | {x for k in links for x in k})
     at = {n: i for i, n in enumerate(nodes)}
     share = np.zeros((len(nodes), len(nodes)))
     for (a, b), w in links.items():
         share[at[a], at[b]] = w
-    share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
+    share /= np.maximum(share.sum(axis=1, keepdims=True) + np.array([[(ends or {}).get(n, 0)] for n in nodes]), 1e-300)
     s = np.array([seed.get(n, 0.0) for n in nodes])
     return dict(zip(nodes, np.linalg.solve(np.eye(len(nodes)) - d * (1 - s)[:, None] * share, s), strict=True))
 
@@ -137,12 +137,13 @@ def test_verdicts_by_solving(spark, tmp_path):
     """The query on a random graph of hosts, with cycles, hubs and hosts that rules block or allow in part, against linear equations."""
     rng = np.random.default_rng(7)
     names = [f"h{i}.{'com' if i % 4 == 0 else 'org' if i % 4 == 1 else 'net'}" for i in range(40)] + ["example.com", "a.example.com"]
-    rows, links = [], defaultdict(int)
+    rows, links, ends = [], defaultdict(int), defaultdict(int)
     for i in range(400):
         host = names[rng.integers(len(names)) if i >= len(names) else i]
         path = str(rng.choice(["en/7", "en/1", "es/1", "de/2", "x"], p=[0.1, 0.1, 0.1, 0.1, 0.6]))
         to = [names[int(j)] for j in rng.zipf(1.5, rng.integers(0, 5)) % len(names)]
         rows.append((i, f"https://{host.upper()}/{path}", " ".join(f'<a href="//{t}/q">' for t in to)))
+        ends[host] += all(t == host for t in to)
         for t in to:
             if t != host:
                 links[host, t] += 1
@@ -150,7 +151,7 @@ def test_verdicts_by_solving(spark, tmp_path):
     got = queries.QUERIES["op1_url_verdicts"](spark, str(tmp_path)).collect()
     by_rule = {r.page_id: dict(urls.RULES).get(r.rule) for r in got}
     seed = {v: {h: np.mean([by_rule[r.page_id] == v for r in got if r.host == h]) for h in names} for v in ("allow", "block")}
-    trust, distrust = walks(seed["allow"], {(b, a): w for (a, b), w in links.items()}), walks(seed["block"], links)
+    trust, distrust = walks(seed["allow"], {(b, a): w for (a, b), w in links.items()}), walks(seed["block"], links, ends)
     assert len(got) == len(rows) and len({r.verdict for r in got if not r.rule}) == 2
     for r in got:
         assert abs(r.trust - trust[r.host]) < 1e-4 and abs(r.distrust - distrust[r.host]) < 1e-4
@@ -183,6 +184,15 @@ def test_linkers_of_a_blocked_host(spark, linkers):
         assert verdict == ("block" if re.match("bad|only|most|far|own", host) else "allow"), (host, path)
 
 
+def test_one_bad_link_on_a_large_clean_host(spark):
+    """Of 51 pages one has a link, to a blocked host; a host of one page with the same link goes."""
+    bad = "<a href='http://bad.org/es/1'>"
+    rows = [("http://bad.org/es/1", None), ("http://one.net/1", bad)] + [(f"http://clean.net/{i}", bad if i == 7 else "<a href='http://clean.net/0'>" if i % 2 else None) for i in range(51)]
+    got = urls.judge(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")).collect()
+    assert {r.verdict for r in got if r.host == "clean.net"} == {"allow"} and {r.verdict for r in got if r.host == "one.net"} == {"block"}
+    assert all(abs(r.distrust - 0.85 / 51) < 1e-4 for r in got if r.host == "clean.net")
+
+
 def test_all_pages_judged(spark, sf_dir):
     got = queries.QUERIES["op1_url_verdicts"](spark, sf_dir).toPandas()
     assert set(got["verdict"]) <= {"allow", "block"} and got["page_id"].is_unique

@@ -7,7 +7,8 @@ Distrust goes from blocked seeds against the links, trust from trusted seeds alo
 the receiving host's end: distrust is the chance that a walk from the host along its links, which at each host stops there with
 the chance of its seed and else goes on with DAMPING, ends in a blocked host; trust is the chance that the same walk against the
 links ends in a trusted one. So a value never falls below a host's own seed and doesn't shrink with the number of hosts that
-link to a blocked one, as mass that is split among them would; one threshold holds for every degree. Hosts are blocked at a
+link to a blocked one, as mass that is split among them would; one threshold holds for every degree. A page without links to other
+hosts ends a walk along links where it is, in nothing, so that one link among many pages that link nowhere weighs little. Hosts are blocked at a
 distrust of at least THRESHOLD that also exceeds their trust.
 
 Links come from absolute href attributes in the html; links inside a host move nothing and are left out. Propagation is
@@ -57,11 +58,15 @@ def linked_hosts(html: Column) -> Column:
     return F.transform(found, lambda x: F.translate(x, _UPPER, _LOWER))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, epsilon: float = EPSILON) -> DataFrame:
-    """host, trust and distrust of all hosts of seeds (host, trusted, blocked) and links (src, dst, weight)."""
+def propagate(seeds: DataFrame, links: DataFrame, ends: DataFrame | None = None, damping: float = DAMPING, epsilon: float = EPSILON) -> DataFrame:
+    """host, trust and distrust of all hosts of seeds (host, trusted, blocked) and links (src, dst, weight); ends (host, weight) are the
+    places of a host where a walk along links finds none and ends."""
     # Value flows from b to a, in shares of a's links: out-links for distrust, in-links for trust.
     ways = links.select(F.lit(False).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight").unionByName(links.select(F.lit(True).alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
-    total = ways.groupBy(F.col("kind").alias("k"), F.col("a").alias("s")).agg(F.sum("weight").alias("total"))
+    out_of = ways.select("kind", "a", "weight")
+    if ends is not None:
+        out_of = out_of.unionByName(ends.select(F.lit(False).alias("kind"), F.col("host").alias("a"), "weight"))
+    total = out_of.groupBy(F.col("kind").alias("k"), F.col("a").alias("s")).agg(F.sum("weight").alias("total"))
     ways = cut(ways.join(total, (F.col("kind") == F.col("k")) & (F.col("a") == F.col("s"))).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")), "ways")
     hosts = seeds.select("host", "trusted", "blocked").unionByName(links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("trusted"), F.lit(0.0).alias("blocked")))
     hosts = hosts.groupBy("host").agg(F.max("trusted").alias("trusted"), F.max("blocked").alias("blocked"))
@@ -85,9 +90,10 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
     # Everything that is needed of a page, so that its html is read once.
     found = cut(read.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), linked_hosts(F.col("html")).alias("to")), "pages")
     seeds = found.where("host != ''").groupBy("host").agg(F.avg(F.expr("if(by_rule <=> 'allow', 1.0D, 0.0D)")).alias("trusted"), F.avg(F.expr("if(by_rule <=> 'block', 1.0D, 0.0D)")).alias("blocked"))
+    ends = found.where("host != '' and not exists(to, x -> x != '' and x != host)").groupBy("host").agg(F.count(F.lit(1)).alias("weight"))
     links = found.where("host != ''").select(F.col("host").alias("src"), F.explode("to").alias("dst")).where("dst != '' and src != dst")
     links = cut(links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")), "links")
-    hosts = settled(lambda: propagate(seeds, links, **options).withColumnRenamed("host", "__h"), "hosts")
+    hosts = settled(lambda: propagate(seeds, links, ends, **options).withColumnRenamed("host", "__h"), "hosts")
     out = found.select("page_id", "host", "path", "rule", "by_rule").join(hosts, F.col("host") == F.col("__h"), "left")
     method = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), "trust", "distrust")
