@@ -243,3 +243,67 @@ def _breaking(folder):
             yield (instrument, datetime.fromtimestamp(t), 1.0, 1.0, 1.0, float(t // 3600 % 24), 1)
 
     return fetch
+
+
+def test_orders_that_no_fill_closes_are_stuck_once(spark, tmp_path):
+    rows = spark.createDataFrame([("x", "order"), ("y", "order"), ("y", "fill")], "order_id string, type string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    watched = live.watch_orders(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), seconds=1)
+    q = watched.writeStream.format("memory").queryName("watched").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    end = time.time() + 90
+    while time.time() < end and not spark.table("watched").count():
+        time.sleep(1)
+    time.sleep(3)
+    q.stop()
+    assert [tuple(r) for r in spark.table("watched").collect()] == [("x", "stuck")]
+
+
+def test_series_replaced_in_a_universe(spark):
+    rows = [(n, tf, START + timedelta(hours=h), 1.0) for n in "ab" for tf in ("1h", "15min") for h in range(3)]
+    universe = spark.createDataFrame(rows, f"{KEY} string, timeframe string, ts timestamp, close double")
+    new = spark.createDataFrame([("a", START, 9.0)], f"{KEY} string, ts timestamp, close double")
+    got = sorted((r[KEY], r.timeframe, r.close) for r in candles.replace_series(universe, new, "a", "1h").collect())
+    assert got == sorted([("a", "15min", 1.0)] * 3 + [("b", "15min", 1.0)] * 3 + [("b", "1h", 1.0)] * 3 + [("a", "1h", 9.0)])
+
+
+def test_data_for_charts_and_diagnostics(spark):
+    import pandas as pd
+
+    rows = [("a", START + timedelta(days=i), 10.0 + i, 11.0 + i, (1, 0, -1)[i % 3], i % 2, 100.0 - (i % 4)) for i in range(12)]
+    path = spark.createDataFrame(rows, f"{KEY} string, ts timestamp_ntz, open double, close double, qty int, position int, equity double")
+    got = [r.asDict() for r in store.chart_data(path).orderBy("ts").collect()]
+    top = 0.0
+    for r, (_, _, o, _, q, _, e) in zip(got, rows, strict=True):
+        top = max(top, e)
+        assert (r["bought"], r["sold"], r["drawdown"]) == (o if q > 0 else None, o if q < 0 else None, e - top)
+    seen = store.diagnostics(path, 0.3, 5.0, "2024-01-08", "2024-01-11", warmup_days=3).orderBy("ts").collect()
+    close = pd.Series([r[3] for r in rows if datetime(2024, 1, 5) <= r[1] < datetime(2024, 1, 11)])
+    trend = close.ewm(alpha=0.3).mean().tolist()[-3:]
+    assert len(seen) == 3 and all(r.trend == pytest.approx(t) and r.lower == pytest.approx(0.95 * t) and r.upper == pytest.approx(1.05 * t) and r.dev_pct == pytest.approx((c / t - 1) * 100) for r, t, c in zip(seen, trend, close.tolist()[-3:], strict=True))
+
+
+def test_columns_without_values(spark):
+    from tidebar.operators import screening
+
+    df = spark.createDataFrame([(1, None, None), (2, "x", None)], "a int, b string, c double")
+    assert screening.null_columns(df) == ["c"] and screening.null_columns(df.limit(0)) == ["a", "b", "c"]
+
+
+def test_universe_in_one_scan(spark, tmp_path):
+    rows = [("x", f"f{n}", tf, START + timedelta(hours=h), 1.0, 1.0, 1.0, float(h), 1) for n in range(3) for tf in ("1h", "15min", "1day") for h in range(40)]
+    df = spark.createDataFrame(rows, store.CANDLE)
+    store.write_candles(df, str(tmp_path / "c"))
+    start, end = START + timedelta(hours=2), START + timedelta(hours=30)
+    assets = {"A": "f0", "B": "f1"}
+    got = store.load_universe(spark, str(tmp_path / "c"), assets, ["1h", "15min"], start, end)
+    assert sorted((r[KEY], r.timeframe, r["count"]) for r in got.groupBy(KEY, "timeframe").count().collect()) == [(n, tf, 29) for n in "AB" for tf in ("15min", "1h")]
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    plan = got._jdf.queryExecution().toString()
+    assert plan.count("FileScan parquet") == 1 and all(x in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0] for x in ("instrument", "timeframe", "month"))
+    own = df.where("instrument = 'f2' and timeframe = '1h'").withColumn("close", F.lit(-1.0))
+    swapped = store.load_universe(spark, str(tmp_path / "c"), assets, ["1h", "15min"], start, end, own, ("A", "1h"))
+    assert {(r[KEY], r.timeframe, r.close < 0) for r in swapped.collect()} == {("A", "1h", True), ("A", "15min", False), ("B", "1h", False), ("B", "15min", False)}
+    assert swapped.count() == 4 * 29
+    for bad in ({"primary": own}, {"primary": own, "primary_key": ("C", "1h")}):
+        with pytest.raises(ValueError):
+            store.load_universe(spark, str(tmp_path / "c"), assets, ["1h"], start, end, **bad)

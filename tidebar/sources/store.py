@@ -48,6 +48,24 @@ def read_candles(spark: SparkSession, root: str, instruments: list[str] | None =
     return out.select(*CANDLE.names)
 
 
+def load_universe(spark: SparkSession, root: str, assets: dict[str, str], timeframes: list[str], start, end, primary: DataFrame | None = None, primary_key: tuple[str, str] | None = None) -> DataFrame:
+    """Candles of all assets (name to instrument) and timeframes in one pruned scan, under the assets' names. With primary, its bars take the
+    place of the series primary_key (name, timeframe)."""
+    if (primary is None) != (primary_key is None):
+        raise ValueError("primary and primary_key go together")
+    if primary_key is not None and (primary_key[0] not in assets or primary_key[1] not in timeframes):
+        raise ValueError(f"{primary_key} isn't in the universe")
+    names = {instrument: name for name, instrument in assets.items()}
+    if len(names) < len(assets):
+        raise ValueError("two names of one instrument")
+    out = read_candles(spark, root, list(names), None, start, end).where(F.col("timeframe").isin(timeframes))
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col(KEY))
+    out = out.withColumn(KEY, named)
+    if primary is None:
+        return out
+    return candles.replace_series(out, candles.between(primary.drop("timeframe").withColumn(KEY, F.lit(primary_key[0])), F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")), *primary_key)
+
+
 def append_fresh(spark: SparkSession, root: str, fresh: DataFrame, prefer: str = "cached") -> None:
     """Merges new bars into the months they touch. The merged rows are written beside the cache first, as Spark can't overwrite what it reads."""
     months = fresh.select(*PARTITIONS[:3], F.year("ts").alias("year"), F.month("ts").alias("month")).distinct()

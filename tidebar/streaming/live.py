@@ -152,7 +152,7 @@ class OrderTimeouts(StatefulProcessor):
             self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.millis)
         yield pd.DataFrame({"order_id": [], "status": []}).astype(str)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         stuck = self.state.exists()
         self.state.clear()
         yield pd.DataFrame({"order_id": [key[0]] if stuck else [], "status": ["stuck"] if stuck else []}).astype(str)
