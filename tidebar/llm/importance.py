@@ -58,11 +58,18 @@ def chunks(texts: DataFrame, order: int = ORDER, chunk: int = CHUNK) -> DataFram
         carry = lambda i: F.slice(tokens(F.array_join(F.slice("__heads", i + 2, order - 1), " ")), 1, order - 1)
     else:
         carry = lambda i: F.array().cast("array<string>")
-    cut_ = cut_.select(*rest, F.posexplode(F.transform("__p", lambda p, i: F.struct(p.alias("p"), carry(i).alias("c")))).alias("__i", "__c"))
-    cut_ = cut_.repartition("__at", "__i").select(*rest, tokens(F.col("__c.p")).alias("__own"), F.col("__c.c").alias("__carry"))
+    cut_ = cut_.select(*rest, F.posexplode_outer(F.transform("__p", lambda p, i: F.struct(p.alias("p"), carry(i).alias("c")))).alias("__i", "__c"))
+    # A text without words is one chunk without any.
+    none = F.array().cast("array<string>")
+    cut_ = cut_.repartition("__at", "__i").select(*rest, tokens(F.coalesce("__c.p", F.lit(""))).alias("__own"), F.coalesce("__c.c", none).alias("__carry"))
     return short.unionByName(cut_)
 
 
+def _run_of(k: int):
+    """The k words from a place on; a default argument would count as the place's index."""
+    return lambda i: F.array_join(F.slice("__w", i, k), " ")
+
+
 def hashed(texts: DataFrame, order: int = ORDER, buckets: int = BUCKETS, chunk: int = CHUNK) -> DataFrame:
     """Rows of (__at, __words, __grams, other columns) for each chunk of the texts (text, other columns); __at numbers the texts."""
     rest = [F.col(f"`{c}`") for c in texts.columns if c != "text"]
@@ -72,7 +79,7 @@ def hashed(texts: DataFrame, order: int = ORDER, buckets: int = BUCKETS, chunk:
     for k in range(2, order + 1):
         n = F.least(F.size("__own"), F.size("__w") - (k - 1))
         starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, k=k: F.array_join(F.slice("__w", i, k), " ")))
+        grams.append(F.transform(starts, _run_of(k)))
     bucket = F.transform(F.concat(*grams), lambda g: (F.crc32(g.cast("binary")) % buckets).cast("int"))
     return out.select(*rest, "__at", F.size("__own").cast("long").alias("__words"), bucket.alias("__grams"))
 
