@@ -75,7 +75,7 @@ def exact_quantiles(spark, sf_dir):
 
 def _candidates_sql() -> str:
     """x: the rows' base features of the bar before by number (0 on), and the target, in long form; cand: all first-round candidates' scores."""
-    lagged = ", ".join(f"lag({n}) OVER s AS {n}" for n in features.BASE)
+    lagged = ", ".join(f"round(lag({n}) OVER s, 9) AS {n}" for n in features.BASE)
     n = len(features.BASE)
     pairs = ", ".join(f"({i}, {j})" for i, j in combinations(range(n), 2))
     ops = ", ".join(f"({k}, '{op}')" for k, op in enumerate(OPS))
@@ -94,12 +94,18 @@ nm AS (SELECT [{names}] AS names)"""
 @query("candidate_scores", f"WITH RECURSIVE {_candidates_sql()} SELECT op, names[i + 1] AS a, names[j + 1] AS b, n, round(CASE WHEN n >= 100 AND NOT isnan(c) THEN c ELSE 0.0 END, 5) AS corr FROM cand, nm")
 def candidate_scores(spark, sf_dir):
     """Every operation on every two base features, with the target, in one scan."""
-    table = redundancy.values(_train(spark, sf_dir), features.BASE, "target")
+    table = redundancy.values(_rows(spark, sf_dir), features.BASE, "target")
     out = redundancy.scores(table, len(features.BASE), list(OPS))
     name = lambda c: F.get(F.array(*map(F.lit, features.BASE)), F.col(c))
     return out.select("op", name("i").alias("a"), name("j").alias("b"), "n", F.round("corr", 5).alias("corr"))
 
 
+def _rows(spark, sf_dir):
+    """Rounded, so that engines agree on what is zero, and may not divide."""
+    rows = _train(spark, sf_dir)
+    return rows.select(*[F.round(c, 9).alias(c) if c in features.BASE else F.col(c) for c in rows.columns])
+
+
 def recipes_frame(spark, recipes):
     return spark.createDataFrame([(k, *r.values()) for k, r in enumerate(recipes, 1)], "place int, name string, op string, a string, b string, train_corr double")
 
@@ -118,13 +124,13 @@ ch AS (SELECT unnest(taken) AS k, generate_subscripts(taken, 1) AS place FROM (S
 SELECT CAST(place AS INTEGER) AS place, 'g1_' || op || '__' || names[i + 1] || '__' || names[j + 1] AS name, op, names[i + 1] AS a, names[j + 1] AS b, round(c, 6) AS train_corr FROM ch JOIN rk USING (k), nm""")
 def generated_base(spark, sf_dir):
     """The first iteration over all base features, with the operator's own limits."""
-    return recipes_frame(spark, screening.generate(_train(spark, sf_dir), "target", list(features.BASE), iterations=1))
+    return recipes_frame(spark, screening.generate(_rows(spark, sf_dir), "target", list(features.BASE), iterations=1))
 
 
 @query("generated_twice")
 def generated_twice(spark, sf_dir):
     """Two iterations over all base features, with the operator's own limits; the second one's candidates are those of the first one's choice."""
-    return recipes_frame(spark, screening.generate(_train(spark, sf_dir), "target", list(features.BASE)))
+    return recipes_frame(spark, screening.generate(_rows(spark, sf_dir), "target", list(features.BASE)))
 
 
 @query("generated_extended")
