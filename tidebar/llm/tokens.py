@@ -38,8 +38,8 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from tidebar.llm.common import new_path, table
 
-PIECES = 600_000
-MATCHES = 200_000
+PIECES = 250_000
+MATCHES = 120_000
 #: Longer pieces are encoded each time they come.
 LONG_PIECE = 200
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -197,7 +197,7 @@ class Codec:
         return e.ids, e.offsets
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Smaller batches, of a row or about `most` bytes of text, so that long texts stay small once encoded."""
     for b in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -285,7 +285,7 @@ def write_tokens(docs: DataFrame, path: str, target: str, end_id: int = 0, parti
 
     encoded = ranged.mapInArrow(run, "doc_id long, seq long, ids array<int>")
     out = encoded.select(F.spark_partition_id().alias("part"), "seq", "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
-    out.write.options(**{"orc.compress": "ZSTD", "orc.stripe.size": str(32 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}).orc(target)
+    out.write.options(**{"orc.compress": "ZSTD", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}).orc(target)
 
 
 def read_tokens(spark: SparkSession, target: str, doc_ids: list[int] | None = None) -> DataFrame:
