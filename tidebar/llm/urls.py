@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidebar.llm.common import cut, forget, settled, table
 
 # The rules and their verdicts.
-RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
+RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 DAMPING = 0.85
 EPSILON = 1e-5
 THRESHOLD = 0.5
