@@ -80,6 +80,16 @@ def test_flat_series_has_no_score(spark):
     assert features.base(flat).where("body_frac != 0 or close_pos != 0.5").count() == 0
 
 
+def test_trend_has_no_sign_before_closes_vary(spark):
+    """While all closes are equal both means are that close, whatever it is; after that the trend is the change's, and missing at a close of 0."""
+    rows = [(f"s{k}", START + timedelta(hours=i), *[float(c)] * 4, 1) for k in range(40) for i, c in enumerate([0.07 + 3.31 * k] * 5 + [500.0, 0.5])]
+    rows += [("zero", START, *[0.0] * 4, 1)]
+    out = features.base(spark.createDataFrame(rows, [KEY, "ts", *features.OHLC])).select(KEY, "ts", "trend").toPandas()
+    some, late = out[KEY] != "zero", out["ts"] >= START + timedelta(hours=5)
+    assert (out.loc[some & ~late, "trend"] == 0).all() and (out.loc[some & late, "trend"] != 0).all()
+    assert out.loc[~some, "trend"].isna().all()
+
+
 @pytest.mark.parametrize("make", [features.base, lambda b: strategies.vw_bands(b, 0.05), lambda b: win.run_lengths(b.withColumn("f", F.col("volume") > 3), "f", "run"), lambda b: spec.indicators(b)])
 def test_no_lookahead(bars, make):
     """Bars after a time are changed; nothing up to it changes."""

@@ -80,7 +80,10 @@ def base(bars: DataFrame) -> DataFrame:
     out = ewm.means(bars, ewm.span(5), False, __e5="close")
     out = ewm.means(out, ewm.span(20), False, __e20="close")
     out = out.select("*", *[c.alias(n) for n, c in (first | {"__r": win.change("close")}).items()])
-    made = returns() | anatomy() | breakout() | volume() | strength | {"trend": divide("__e5", "__e20") - 1, "volat20": win.rolling(F.stddev_samp, "__r", 20)}
+    # Means of closes that have all been equal are that close; the sums' rounding would give their trend a sign.
+    flat = win.so_far(F.max, "close") == win.so_far(F.min, "close")
+    trend = F.when(flat, divide("close", "close")).otherwise(divide("__e5", "__e20")) - 1
+    made = returns() | anatomy() | breakout() | volume() | strength | {"trend": trend, "volat20": win.rolling(F.stddev_samp, "__r", 20)}
     return out.select(*bars.columns, *[made[n].alias(n) for n in BASE])
 
 
