@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -7,6 +8,7 @@ from datetime import date
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -146,6 +148,19 @@ def test_encoding_of_odd_rows(docs, none, name):
     assert tokens.encode(none, path).count() == 0
 
 
+def test_pieces_are_cut_as_by_the_pattern():
+    """Cut with and without the pattern, and encoded, pieces of letters, marks, numbers and line breaks give the library's ids."""
+    codec, rng = tokens.Codec(public_tokenizers.path(tokens.MODEL)), random.Random(3)
+    parts = ["a", "Word", "s", "é", "ß", "语", "'", "'s", ".", "!!", "_", "***", "\n", "\n\n", "7", "42", "²", "ª", "\u0301", "—", "\t", "\x00", "\u00a0"]
+    pieces = ["".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(4000)]
+    for x in pieces:
+        for lead in (" ", ""):
+            assert x.isalpha() or codec._cut(x, lead) == codec.matches.findall(lead + x)
+    texts = [" ".join(rng.choices(pieces, k=9)) for _ in range(500)]
+    for _ in range(2):  # anew and remembered
+        assert codec.encode(pa.array(texts)) == [np.asarray(codec.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_token_files(spark, sf_dir, docs, none):
     model = Tokenizer.from_file(public_tokenizers.path(tokens.MODEL))
     model.encode_special_tokens = True

@@ -22,8 +22,10 @@ import base64
 import hashlib
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +44,8 @@ PIECES = 250_000
 MATCHES = 120_000
 #: Longer pieces are encoded each time they come.
 LONG_PIECE = 200
+#: Characters that are neither letters nor numbers nor white space.
+MARKS = string.punctuation
 RANKS = "byte_bpe_multi_50k.tiktoken"
 MODEL = "byte_bpe_50k.json"
 
@@ -99,6 +103,11 @@ class Codec:
         self.model.encode_special_tokens = True
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.line_break = self.bytes.index(b"\n")
+        # And for words after a space each, which tell where they start.
+        self.words = self._load(path)
+        self.words.encode_special_tokens = True
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.starts_word = np.array([x[:1] == b" " for x in self.bytes])
         self.known: dict[str, bytes] = {}  # pieces after a space
         self.small: dict[str, bytes] = {}  # matches of the pattern
 
@@ -117,33 +126,56 @@ class Codec:
                 a = z + 4
             yield packed[a:]
 
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each of some words after a space. Only the first id of a word has that space."""
+        runs = [" " + " ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+        for e in self.words.encode_batch_fast(runs, add_special_tokens=False):
+            ids = np.asarray(e.ids, "<u4")
+            packed, at = ids.tobytes(), (np.flatnonzero(self.starts_word[ids]) * 4).tolist()
+            for a, z in zip(at, [*at[1:], len(packed)], strict=True):
+                yield packed[a:z]
+
     def _fresh(self, pieces: list[str], lead: str) -> dict[str, bytes]:
         """Ids of different pieces. A piece of letters is one match; others are cut by the pattern."""
         letters = [x for x in pieces if x.isalpha()]
-        out = dict(zip(letters, self._encode_matches([lead + x for x in letters]), strict=True))
-        cut = [(x, self.matches.findall(lead + x)) for x in pieces if x not in out]
-        new = {m for _, ms in cut for m in ms} - self.small.keys()
-        # A match after a space may be known as a piece.
-        made = {m: ids for m in new if m[:1] == " " and (ids := self.known.get(m[1:]) or (out.get(m[1:]) if lead else None)) is not None}
-        plain = [m for m in new if "\n" not in m and m not in made]
-        made |= zip(plain, self._encode_matches(plain), strict=True)
-        for m in new:
-            if "\n" in m and m not in made:
-                made[m] = np.asarray(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes()
+        out = dict(zip(letters, self._encode_words(letters) if lead else self._encode_matches(letters), strict=True))
+        cut = {x: self._cut(x, lead) for x in pieces if x not in out}
+        # A match may be known by itself or, after a space, as a piece.
+        ids = {m: self.small.get(m) for m in dict.fromkeys(chain.from_iterable(cut.values()))}
+        beside = out if lead else {}
+        ids |= {m: self.known.get(m[1:]) or beside.get(m[1:]) for m, known in ids.items() if known is None and m[0] == " "}
+        new = [m for m, known in ids.items() if known is None]
+        plain = [m for m in new if "\n" not in m]
+        made = dict(zip(plain, self._encode_matches(plain), strict=True))
+        if len(plain) < len(new):
+            made |= {m: np.asarray(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in new if "\n" in m}
+        ids |= made
         if len(self.small) < MATCHES:
-            self.small.update((m, ids) for m, ids in made.items() if len(m) <= LONG_PIECE)
-        look = self.small | made if len(made) > len(self.small) else made
-        for x, ms in cut:
-            out[x] = b"".join([look[m] if m in look else self.small[m] for m in ms])
+            self.small.update((m, x) for m, x in made.items() if len(m) <= LONG_PIECE)
+        find = ids.__getitem__
+        for x, ms in cut.items():
+            out[x] = b"".join(map(find, ms))
         return out
 
+    def _cut(self, piece: str, lead: str) -> list[str]:
+        """The pattern's matches in a piece after its lead. Most are letters with marks after them, or such parts at single line breaks,
+        which need no pattern: letters are one match, so are marks, and so is a line break between two that aren't white space."""
+        out = []
+        for part in piece.split("\n"):
+            word = part.rstrip(MARKS)
+            if not word.isalpha():
+                return self.matches.findall(lead + piece)
+            out += (word if out else lead + word, part[len(word) :], "\n") if len(word) < len(part) else (word if out else lead + word, "\n")
+        return out[:-1]
+
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of different pieces that follow a space. The first ones seen, which are the frequent ones, are remembered."""
         out = list(map(self.known.get, pieces))
-        new = [x for x, ids in zip(pieces, out, strict=True) if ids is None]
-        if new:
-            fresh = self._fresh(new, " ")
-            out = [fresh[x] if ids is None else ids for x, ids in zip(pieces, out, strict=True)]
+        gaps = [i for i, ids in enumerate(out) if ids is None]
+        if gaps:
+            fresh = self._fresh([pieces[i] for i in gaps], " ")
+            for i in gaps:
+                out[i] = fresh[pieces[i]]
             if len(self.known) < PIECES:
                 self.known.update((x, ids) for x, ids in fresh.items() if len(x) <= LONG_PIECE)
         return out
@@ -167,7 +199,7 @@ class Codec:
             return out
         split = pc.split_pattern(texts.take(pa.array(plain)), " ")
         ends, numbered = np.asarray(split.offsets), split.values.dictionary_encode()
-        codes, different = np.asarray(numbered.indices).astype(np.int64), numbered.dictionary.to_pylist()
+        codes, different = np.asarray(numbered.indices).astype(np.int64), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         firsts = [different[i] for i in codes[ends[:-1]].tolist()]
         of_first = self._fresh(list(dict.fromkeys(firsts)), "")
         used = np.ones(len(codes), bool)
