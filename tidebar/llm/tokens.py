@@ -108,7 +108,8 @@ class Codec:
         self.words.encode_special_tokens = True
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.starts_word = np.array([x[:1] == b" " for x in self.bytes])
-        self.known: dict[str, bytes] = {}  # pieces after a space
+        # Pieces after a space: where each one's ids start and how many they are, in ids of all.
+        self.known, self.starts, self.lengths, self.known_ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
         self.small: dict[str, bytes] = {}  # matches of the pattern
 
     def _load(self, path: str):
@@ -142,8 +143,9 @@ class Codec:
         cut = {x: self._cut(x, lead) for x in pieces if x not in out}
         # A match may be known by itself or, after a space, as a piece.
         ids = {m: self.small.get(m) for m in dict.fromkeys(chain.from_iterable(cut.values()))}
+        spaced = [m[1:] for m, known in ids.items() if known is None and m[0] == " "]
         beside = out if lead else {}
-        ids |= {m: self.known.get(m[1:]) or beside.get(m[1:]) for m, known in ids.items() if known is None and m[0] == " "}
+        ids |= {" " + x: self.known_ids[self.starts[k] : self.starts[k] + self.lengths[k]].tobytes() if k >= 0 else beside.get(x) for x, k in zip(spaced, self._places(pa.array(spaced, pa.string())).tolist(), strict=True)}
         new = [m for m, known in ids.items() if known is None]
         plain = [m for m in new if "\n" not in m]
         made = dict(zip(plain, self._encode_matches(plain), strict=True))
@@ -168,22 +170,43 @@ class Codec:
             out += (word if out else lead + word, part[len(word) :], "\n") if len(word) < len(part) else (word if out else lead + word, "\n")
         return out[:-1]
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of different pieces that follow a space. The first ones seen, which are the frequent ones, are remembered."""
-        out = list(map(self.known.get, pieces))
-        gaps = [i for i, ids in enumerate(out) if ids is None]
-        if gaps:
-            fresh = self._fresh([pieces[i] for i in gaps], " ")
-            for i in gaps:
-                out[i] = fresh[pieces[i]]
-            if len(self.known) < PIECES:
-                self.known.update((x, ids) for x, ids in fresh.items() if len(x) <= LONG_PIECE)
-        return out
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each piece among the known ones, else -1."""
+        return pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+
+    def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For different pieces that follow a space, where the ids of each start, how many they are, and the ids. The first pieces seen,
+        which are the frequent ones, are remembered."""
+        place = self._places(pieces)
+        gaps = np.flatnonzero(place < 0)
+        starts, lengths = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        starts[place >= 0], lengths[place >= 0] = self.starts[place[place >= 0]], self.lengths[place[place >= 0]]
+        if not len(gaps):
+            return starts, lengths, self.known_ids
+        new = pieces.take(pa.array(gaps))
+        names = new.to_numpy(zero_copy_only=False).tolist()
+        fresh = self._fresh(names, " ")
+        made = [fresh[x] for x in names]
+        lengths[gaps] = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        starts[gaps] = len(self.known_ids) + np.cumsum(lengths[gaps]) - lengths[gaps]
+        ids = np.concatenate([self.known_ids, np.frombuffer(b"".join(made), "<u4")])
+        if len(self.known) < PIECES:
+            short = pc.less_equal(pc.utf8_length(new), LONG_PIECE)
+            kept = gaps[short.to_numpy(zero_copy_only=False)]
+            self.known = pa.concat_arrays([self.known, new.filter(short)])
+            self.lengths = np.append(self.lengths, lengths[kept])
+            # Without those of long pieces.
+            self.known_ids = np.concatenate([self.known_ids, np.frombuffer(b"".join([x for x, keep in zip(made, short.to_pylist(), strict=True) if keep]), "<u4")])
+            self.starts = np.cumsum(self.lengths) - self.lengths
+        return starts, lengths, ids
 
     def _slow(self, text: str) -> bytes:
         """A text in which spaces stand beside other white space."""
         first, *rest = _SAFE_SPACE.split(text)
-        return self._fresh([first], "")[first] + b"".join(self._ids(rest))
+        numbered = pa.array(rest, pa.string()).dictionary_encode()
+        starts, lengths, ids = self._ids(numbered.dictionary)
+        own = [ids[a : a + n].tobytes() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        return self._fresh([first], "")[first] + b"".join([own[i] for i in numbered.indices.to_pylist()])
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, put together.
@@ -199,23 +222,26 @@ class Codec:
             return out
         split = pc.split_pattern(texts.take(pa.array(plain)), " ")
         ends, numbered = np.asarray(split.offsets), split.values.dictionary_encode()
-        codes, different = np.asarray(numbered.indices).astype(np.int64), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-        firsts = [different[i] for i in codes[ends[:-1]].tolist()]
+        codes, different = np.asarray(numbered.indices).astype(np.int64), numbered.dictionary
+        firsts = different.take(pa.array(codes[ends[:-1]])).to_pylist()
         of_first = self._fresh(list(dict.fromkeys(firsts)), "")
         used = np.ones(len(codes), bool)
         used[ends[:-1]] = False
         place = np.flatnonzero(np.bincount(codes[used], minlength=len(different)))
-        table = self._ids([different[i] for i in place.tolist()]) + [of_first[x] for x in firsts]
+        starts, lengths, ids = self._ids(different.take(pa.array(place)))
         renumber = np.zeros(len(different), np.int64)
         renumber[place] = np.arange(len(place))
         codes = renumber[codes]
         codes[ends[:-1]] = len(place) + np.arange(len(firsts))
-        lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        starts, ids = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(table), "<u4")
+        begun = [of_first[x] for x in firsts]
+        more = np.fromiter(map(len, begun), np.int64, len(begun)) // 4
+        starts, lengths = np.append(starts, len(ids) + np.cumsum(more) - more), np.append(lengths, more)
+        ids = np.append(ids, np.frombuffer(b"".join(begun), "<u4"))
         n = lengths[codes]
         after = np.cumsum(n)
-        values = ids[np.repeat(starts[codes] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
-        packed, at = values.tobytes(), (np.append(0, after)[ends] * 4).tolist()
+        index = np.repeat(starts[codes] - (after - n), n)
+        index += np.arange(len(index))
+        packed, at = ids[index].tobytes(), (np.append(0, after)[ends] * 4).tolist()
         for i, a, z in zip(plain.tolist(), at, at[1:], strict=False):
             out[i] = packed[a:z]
         return out
@@ -229,7 +255,7 @@ class Codec:
         return e.ids, e.offsets
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Smaller batches, of a row or about `most` bytes of text, so that long texts stay small once encoded."""
     for b in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
